@@ -195,7 +195,7 @@ def _bounds(lv: DataFrame, bins: DataFrame) -> DataFrame:
         F.when(same, F.col("_mx") + 0.5).otherwise(F.col("_mx")).alias("hi"))
 
 
-def histograms(df: DataFrame, spec: dict[str, int]) -> DataFrame:
+def histograms(df: DataFrame, spec: dict[str, int], digits: int | None = DIGITS) -> DataFrame:
     """``agg_histogram``: equal-width bins over [min, max] per column, the
     last bin closed on the right (numpy, R10). Empty bins are listed with
     count 0. Long form: series, bin, lo, hi, count.
@@ -219,9 +219,9 @@ def histograms(df: DataFrame, spec: dict[str, int]) -> DataFrame:
     w = (F.col("hi") - F.col("lo")) / F.col("nbins")
     return (grid.join(counts, ["series", "bin"], "left")
                 .select("series", "bin",
-                        (F.col("lo") + F.col("bin") * w).alias("lo"),
-                        F.when(F.col("bin") == F.col("nbins") - 1, F.col("hi"))
-                         .otherwise(F.col("lo") + (F.col("bin") + 1) * w).alias("hi"),
+                        _r(F.col("lo") + F.col("bin") * w, digits).alias("lo"),
+                        _r(F.when(F.col("bin") == F.col("nbins") - 1, F.col("hi"))
+                            .otherwise(F.col("lo") + (F.col("bin") + 1) * w), digits).alias("hi"),
                         F.coalesce(F.col("count"), F.lit(0)).cast("bigint").alias("count")))
 
 
@@ -242,7 +242,7 @@ def kde(df: DataFrame, spec: dict[str, int], grid: int = 200, fine_bins: int = 1
                                    F.max("value").alias("mx"))
     bw = F.col("sd") * F.pow(F.col("n").cast("double"), F.lit(-0.2))
     mom = mom.select("series", "n", "mn", "mx", bw.alias("bw"))
-    h = histograms(df, {c: fine_bins for c in cols}).filter(F.col("count") > 0)
+    h = histograms(df, {c: fine_bins for c in cols}, digits=None).filter(F.col("count") > 0)
     centres = h.select("series", ((F.col("lo") + F.col("hi")) / 2).alias("c"), "count")
     pts = centres.join(mom, "series", "inner").select(
         "series", "c", "count", "n", "bw", "mn", "mx",

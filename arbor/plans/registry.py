@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from arbor.plans import hr, oracle_hr
+from arbor.plans import hr, listings, oracle_hr, oracle_listings
 
 QUERIES = {}
 ORACLE = {}
 
 QUERIES.update(hr.QUERIES)
 ORACLE.update(oracle_hr.ORACLE)
+QUERIES.update(listings.QUERIES)
+ORACLE.update(oracle_listings.ORACLE)

@@ -99,6 +99,7 @@ def raw_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     no_city = pk % 11 == 0
     return part.select(
         pk.alias("id"),
+        pk.alias("ingest_seq"),  # row position in the scraped file
         F.concat(F.col("p_type"), F.lit(" home for sale in "), F.col("p_name"))
          .alias("title"),
         F.concat(F.col("p_brand"),
