@@ -55,10 +55,29 @@ def replace_regex(c: ColumnOrName, pattern: str, new: str = "") -> Column:
     return F.regexp_replace(_c(c), java_pattern(pattern), new)
 
 
+def _group_is_whole(pattern: str) -> bool:
+    if not (pattern.startswith("(") and pattern.endswith(")")) or pattern.startswith("(?"):
+        return False
+    depth = 0
+    for i, ch in enumerate(pattern):
+        if ch == "(" and (i == 0 or pattern[i - 1] != "\\"):
+            depth += 1
+        elif ch == ")" and (i == 0 or pattern[i - 1] != "\\"):
+            depth -= 1
+            if depth == 0 and i != len(pattern) - 1:
+                return False
+    return True
+
+
 def extract(c: ColumnOrName, pattern: str) -> Column:
-    """``str_extract``: first match of a one-group pattern, NULL when there
-    is no match (R4: ``regexp_substr``, not ``regexp_extract``)."""
-    return F.regexp_substr(_c(c), F.lit(java_pattern(pattern)))
+    """``str_extract``: group 1 of the first match, NULL when there is no
+    match (R4). A pattern whose group is the whole pattern uses
+    ``regexp_substr`` (one regex pass); otherwise ``regexp_extract`` guarded
+    by ``regexp_like`` (``regexp_extract`` alone gives '' on no match)."""
+    p = F.lit(java_pattern(pattern))
+    if _group_is_whole(pattern):
+        return F.regexp_substr(_c(c), p)
+    return F.when(F.regexp_like(_c(c), p), F.regexp_extract(_c(c), java_pattern(pattern), 1))
 
 
 def contains(c: ColumnOrName, keyword: str, lower: bool = True,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from arbor.plans import hr, listings, oracle_hr, oracle_listings
+from arbor.plans import crawl, hr, listings, oracle_crawl, oracle_hr, oracle_listings, quality
 
 QUERIES = {}
 ORACLE = {}
@@ -11,3 +11,6 @@ QUERIES.update(hr.QUERIES)
 ORACLE.update(oracle_hr.ORACLE)
 QUERIES.update(listings.QUERIES)
 ORACLE.update(oracle_listings.ORACLE)
+QUERIES.update(crawl.QUERIES)
+QUERIES.update(quality.QUERIES)
+ORACLE.update(oracle_crawl.ORACLE)
