@@ -76,8 +76,41 @@ def extract(c: ColumnOrName, pattern: str) -> Column:
     by ``regexp_like`` (``regexp_extract`` alone gives '' on no match)."""
     p = F.lit(java_pattern(pattern))
     if _group_is_whole(pattern):
-        return F.regexp_substr(_c(c), p)
-    return F.when(F.regexp_like(_c(c), p), F.regexp_extract(_c(c), java_pattern(pattern), 1))
+        out = F.regexp_substr(_c(c), p)
+    else:
+        out = F.when(F.regexp_like(_c(c), p), F.regexp_extract(_c(c), java_pattern(pattern), 1))
+    hint = required_literal(pattern)
+    if len(hint) >= 3:
+        # a row without the pattern's mandatory literal cannot match: skip
+        # the regex scan for it (same result, far less work)
+        out = F.when(F.contains(_c(c), F.lit(hint)), out)
+    return out
+
+
+_META = set("\\^$.|?*+()[]{}")
+
+
+def required_literal(pattern: str) -> str:
+    """Longest run of plain characters that every match must contain, for
+    patterns without alternation; '' when none can be proven."""
+    if "|" in pattern or "[" in pattern or "{" in pattern:
+        return ""
+    best, run, i = "", "", 0
+    while i < len(pattern):
+        ch = pattern[i]
+        if ch == "\\":
+            best, run = max(best, run, key=len), ""
+            i += 2
+            continue
+        if ch in "*?":
+            run = run[:-1]  # the quantified char is optional
+            best, run = max(best, run, key=len), ""
+        elif ch in _META:
+            best, run = max(best, run, key=len), ""
+        else:
+            run += ch
+        i += 1
+    return max(best, run, key=len)
 
 
 def contains(c: ColumnOrName, keyword: str, lower: bool = True,

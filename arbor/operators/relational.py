@@ -21,9 +21,36 @@ def _c(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def avg_round(c: Column | str, digits: int = 2) -> Column:
-    """``agg_avg_round``: ROUND(AVG(CAST(x AS FLOAT)), 2)."""
-    return F.round(F.avg(_c(c).cast("double")), digits)
+def round_ratio(num: Column, den: Column, digits: int = 2) -> Column:
+    """num / den rounded to ``digits`` places, half away from zero, computed
+    exactly on integers (no binary-float ties, R12):
+    sign(n) * floor((2|n| + den) / (2 den)) / 10^d with n = num * 10^d.
+    NULL when den = 0. Inputs must be integral (bigint range)."""
+    n = num.cast("bigint") * F.lit(10 ** digits)
+    d = den.cast("bigint")
+    a, b = F.lit(2) * F.abs(n) + d, F.lit(2) * d
+    # exact integral division: (a - a mod b) is a multiple of b, and the
+    # quotient is small (the rounded mean in 10^-d units)
+    q = F.round((a - F.pmod(a, b)) / b).cast("bigint")
+    units = F.when(d != 0, F.signum(n).cast("bigint") * q)
+    return units / F.lit(float(10 ** digits))
+
+
+def avg_round(c: Column | str, digits: int = 2, scale: int = 0) -> Column:
+    """``agg_avg_round``: ROUND(AVG(CAST(x AS FLOAT)), 2) for a column of
+    integers (``scale`` 0) or fixed-point values with ``scale`` decimals
+    (money): the exact mean rounded half away from zero, from an exact
+    integer sum and count (both partial aggregates)."""
+    units = _c(c) if scale == 0 else F.round(_c(c) * F.lit(10 ** scale), 0)
+    units = units.cast("bigint")
+    return round_ratio(F.sum(units), F.count(units) * F.lit(10 ** scale), digits)
+
+
+def sum_fixed(c: Column | str, scale: int = 2) -> Column:
+    """Exact sum of fixed-point values with ``scale`` decimals (in integer
+    units, then back to double)."""
+    units = F.round(_c(c) * F.lit(10 ** scale), 0).cast("bigint")
+    return F.sum(units) / F.lit(float(10 ** scale))
 
 
 def avg_double(c: Column | str) -> Column:

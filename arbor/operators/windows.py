@@ -24,6 +24,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from arbor.operators.relational import round_ratio
 from arbor.operators.stats import group_median
 
 
@@ -38,7 +39,7 @@ def lead_change(df: DataFrame, part: Sequence[str], order: Sequence[str],
 
 
 def mean_change(df: DataFrame, key: Sequence[str], order: Sequence[str],
-                value: str, name: str) -> DataFrame:
+                value: str, name: str, digits: int | None = None) -> DataFrame:
     """Per-key mean of (next - current) along ``order`` without a window.
 
     sum(next_i - v_i) over consecutive rows equals v_last - v_first, so the
@@ -50,8 +51,12 @@ def mean_change(df: DataFrame, key: Sequence[str], order: Sequence[str],
     agg = df.groupBy(*key).agg(
         F.min_by(v, o).alias("_first"), F.max_by(v, o).alias("_last"),
         F.count(F.lit(1)).alias("_n"))
-    mean = F.try_divide((F.col("_last") - F.col("_first")).cast("double"),
-                        F.when(F.col("_n") > 1, F.col("_n") - 1))
+    steps = F.when(F.col("_n") > 1, F.col("_n") - 1)
+    diff = F.col("_last") - F.col("_first")
+    if digits is None:
+        mean = F.try_divide(diff.cast("double"), steps)
+    else:
+        mean = round_ratio(diff, steps, digits)
     return agg.select(*key, mean.alias(name))
 
 

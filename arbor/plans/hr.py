@@ -69,11 +69,11 @@ def hr_satisfaction_trend(spark, sf):
     the reference sums; the mean is returned too). The per-employee mean
     uses the telescoping aggregate (no window over a hot employee)."""
     per_emp = W.mean_change(_er(spark, sf), ["EmployeeID", "Attrition"],
-                            ["ReviewDate", "ReviewID"], "JobSatisfaction", "_chg")
-    per_emp = per_emp.withColumn("AvgSatisfactionChange", F.round("_chg", 2))
+                            ["ReviewDate", "ReviewID"], "JobSatisfaction",
+                            "AvgSatisfactionChange", digits=2)
     return per_emp.groupBy("Attrition").agg(
-        F.round(F.sum("AvgSatisfactionChange"), 2).alias("TotalSatisfactionChange"),
-        F.round(F.avg("AvgSatisfactionChange"), 6).alias("MeanSatisfactionChange"))
+        R.sum_fixed("AvgSatisfactionChange", 2).alias("TotalSatisfactionChange"),
+        R.avg_round("AvgSatisfactionChange", 6, scale=2).alias("MeanSatisfactionChange"))
 
 
 def win_lead_diff(spark, sf):
@@ -211,7 +211,7 @@ def hr_rating_by_ethnicity(spark, sf):
 
 def _salary_by(spark, sf, key):
     return (employee(spark, sf).groupBy(key)
-            .agg(R.avg_round("Salary").alias("AvgSalary"),
+            .agg(R.avg_round("Salary", scale=2).alias("AvgSalary"),
                  F.count(F.lit(1)).alias("Total"))
             .orderBy("AvgSalary"))
 
@@ -275,7 +275,7 @@ def hr_attrition_by_travel(spark, sf):
     return employee(spark, sf).groupBy("BusinessTravel").agg(
         F.count("EmployeeID").alias("TotalEmployees"),
         s.alias("AttritionCount"),
-        F.round(R.rate_pct(s, F.count("EmployeeID")), 2).alias("AttritionRate"))
+        R.round_ratio(s * 100, F.count("EmployeeID"), 2).alias("AttritionRate"))
 
 
 def hr_rating_by_travel(spark, sf):
