@@ -78,10 +78,11 @@ def hr_satisfaction_trend(spark, sf):
 
 def win_lead_diff(spark, sf):
     """Per review: next job satisfaction of the same employee and the
-    change to it (the literal LEAD form)."""
+    change to it (LEAD over range partitions, balanced under a hot
+    employee)."""
     r = review(spark, sf).select("EmployeeID", "ReviewID", "ReviewDate", "JobSatisfaction")
-    return W.lead_change(r, ["EmployeeID"], ["ReviewDate", "ReviewID"], "JobSatisfaction",
-                         "NextJobSatisfaction", "SatisfactionChange")
+    return W.lead_change_ranged(r, ["EmployeeID"], ["ReviewDate", "ReviewID"], "JobSatisfaction",
+                                "NextJobSatisfaction", "SatisfactionChange")
 
 
 def hr_distance_by_attrition(spark, sf):

@@ -66,3 +66,16 @@ def test_crawl_keeps_prefix_up_to_last_page(spark):
                                                    F.count_if("is_last").alias("lasts"))
     for r in per_seed.collect():
         assert r["lasts"] <= 1 and r["m"] <= X.PAGE_CAP
+
+
+def test_ranged_lead_equals_window_lead_under_skew(spark):
+    from pyspark.sql import functions as F
+    r = review(spark, SF_SMALL).select("EmployeeID", "ReviewID", "ReviewDate", "JobSatisfaction")
+    # make one employee hold about a third of all reviews
+    hot = r.withColumn("EmployeeID", F.when(F.col("ReviewID") % 3 == 0, F.lit(-1))
+                       .otherwise(F.col("EmployeeID")))
+    a = W.lead_change(hot, ["EmployeeID"], ["ReviewDate", "ReviewID"], "JobSatisfaction", "n", "c")
+    b = W.lead_change_ranged(hot, ["EmployeeID"], ["ReviewDate", "ReviewID"], "JobSatisfaction",
+                             "n", "c", partitions=7)
+    assert a.count() == b.count()
+    assert a.exceptAll(b.select(*a.columns)).count() == 0
