@@ -80,7 +80,6 @@ SELECT doc_id, doc_id <> min(doc_id) OVER (PARTITION BY text) AS duplicated FROM
     "lim_tail": with_listing("SELECT id, title, price FROM raw_listing ORDER BY ingest_seq DESC LIMIT 5"),
 }
 
-_ = L  # listing constants are shared with the listing oracle
 
 # Spark type names of the structured listing, as ``DataFrame.dtypes`` gives them.
 _STRUCTURED_TYPES = {

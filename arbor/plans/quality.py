@@ -4,7 +4,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from arbor.operators import quality as Q
 from arbor.operators import textrules as TR

@@ -6,8 +6,7 @@ tables (FIXTURES.md section 3).
   keys, training counts from the order's line items.
 * ``raw_listing``: one scraped listing per part, with the title, place,
   price text and the short feature list as its text repr.
-* ``seed`` / ``list_page``: the crawl frontier and the fetched list pages,
-  taken from ``pages``.
+* crawl seeds and list pages come from ``pages`` (``arbor.operators.extract``).
 
 Every column is a built-in expression, so the views stay inside whole-stage
 codegen and Catalyst prunes what a query does not read.
@@ -110,13 +109,3 @@ def raw_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
          .alias("price"),
         features.alias("features"),
     )
-
-
-def list_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fetched list pages: ``pages`` with the seed (language segment of the
-    URL path) each page belongs to and its page index within the seed."""
-    pages = load(spark, sf_dir, "pages")
-    return pages.select(
-        "page_id", "url", "html",
-        F.regexp_extract("url", r"^https?://[^/]+/([a-z]+)/", 1).alias("seed"),
-    )
