@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -41,25 +42,34 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
+    """Return the shared folder named by ``spark.checkpoint.dir``.
 
-    On a cluster the setting names a shared folder and is used as is. Only
-    when it is unset (tests, a laptop) do we create a scratch folder.
+    The setting is used as it is. Where it is unset, a ``local`` master gets a
+    scratch folder (tests, a laptop); any other master is an error, because a
+    folder of the driver's machine is not there for the executors.
     """
     current = spark.conf.get("spark.checkpoint.dir", None)
     if not current:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and "
+                               f"all executors of {master} share")
         current = tempfile.mkdtemp(prefix="arbor-ckpt-")
         spark.conf.set("spark.checkpoint.dir", current)
     spark.sparkContext.setCheckpointDir(current)
     return current
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A path of its own (no two jobs get the same) under the shared folder."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/stages/{uuid.uuid4().hex}/{name}"
+
+
 def stage_table(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a Parquet stage table under the shared checkpoint
-    folder and read it back: cuts lineage so a lost executor recomputes from
-    the stage, not from the first scan. Returns the re-read DataFrame."""
+    """Write ``df`` as a Parquet stage table under the shared folder and read
+    it back: cuts lineage, so a lost executor recomputes from the stage, not
+    from the first scan. Returns the re-read DataFrame."""
     spark = df.sparkSession
-    base = ensure_checkpoint_dir(spark)
-    path = os.path.join(base, "stages", name)
-    df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    path = shared_path(spark, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
