@@ -7,11 +7,12 @@ import duckdb
 import pytest
 
 import __spark_entry__ as E
+from arbor.plans import registry
 from arbor.sources.tables import TABLES
 from conftest import SF_SMALL
 
-QUERIES = E.queries()
-ORACLE = E.oracle_sql()
+QUERIES = dict(registry.QUERIES)
+ORACLE = dict(registry.ORACLE)
 
 
 def _norm(v):
@@ -53,6 +54,10 @@ def test_matches_oracle(spark, duck, name):
     assert _rows(srows, df.columns) == _rows(orows, ocols)
 
 
+def test_entry_registers_all():
+    assert set(QUERIES) <= set(E.queries()) and set(ORACLE) <= set(E.oracle_sql())
+
+
 def test_entry_runs(spark):
     df = E.entry(spark)
     assert df.columns == ["TrainingOpportunitiesTaken", "AttritionCount", "NoAttritionCount",

@@ -5,6 +5,7 @@ whole rule table."""
 import pytest
 
 import __spark_entry__ as E
+from arbor.plans import registry
 from conftest import SF_SMALL
 
 
@@ -12,7 +13,7 @@ def _plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", sorted(E.queries()))
+@pytest.mark.parametrize("name", sorted(registry.QUERIES))
 def test_no_python_evaluation(spark, name):
     p = _plan(E.queries()[name](spark, SF_SMALL))
     assert "BatchEvalPython" not in p and "ArrowEvalPython" not in p
