@@ -1,24 +1,29 @@
 """MinHash near-dedup with bottom-k sketches from one hash function.
 
 Every shingle has one 64-bit hash. A document's sketch is the bottom of its
-set in one order common to all documents: rare shingles first (by a table of
-hashed counts over all documents), then by hash. Sets of n shingles with a
-similarity of at least s share an element among the first
-k = n - ceil(s * n) + 1 in any common order, so sketches of that k lose no link.
-
-1. Documents with equal sets are one class; only classes go on.
-2. Inverted lists of the retained values give overlaps: a class pair and the
-   number of retained values both hold.
-3. The union sketch of a pair bounds its similarity from that number; pairs
-   that cannot reach s go.
-4. The rest are confirmed by exact Jaccard on their full sets.
+set in one order common to all documents: by the number of sets that hold the
+shingle, then by hash. Sets of n shingles with a similarity of at least s
+share an element among the first k = n - ceil(s * n) + 1 in any common order,
+so sketches of that k lose no link, and rare shingles first keeps lists short.
+
+1. Documents with equal sets are one class; only one row of each goes on.
+2. One shuffle by shingle counts its holders. Shingles of one set alone are
+   the first in its order and can be in no overlap, so only their number
+   counts; the others go back to their document, which retains the rarest.
+3. Inverted lists of the retained values give overlaps: a pair of classes and
+   the number of retained values that both hold.
+4. The union sketch of a pair bounds its similarity from that number; pairs
+   that cannot reach s go. The rest are confirmed by exact Jaccard on full sets.
 5. Links are joined to components by alternating star contraction.
 
-A value that many classes hold (a family of near copies) would give all pairs
-of its list. Such a list first meets one member, the one with the commonest
-shingles; members confirmed with it are one component already, and only pairs
-across components go on. That is exact, as a pair inside a component adds
-nothing to it. There are no caps.
+Hot shingles (found in a sample of texts; at most ``HOT_ROWS``) stand last in
+the order and are not shuffled for counting, so no task gathers all rows of
+one. Which shingles are found hot changes the work, never the links.
+
+A value that many classes retain (a family of near copies) would give all
+pairs of its list. Such a list first meets one member; members confirmed with
+it are one component already, and only pairs across components go on. That is
+exact, as a pair inside a component adds nothing to it. There are no caps.
 
 Defined cases: null and empty texts have no shingles and are linked with
 nothing; a text shorter than a shingle is one shingle; repeated rows and
@@ -28,30 +33,27 @@ are null; an empty table gives no rows; extra columns are kept by ``dedup``.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from arbor.llm.common import fresh, load, null_safe, ship_code, slices, stage_table
+from arbor.llm.common import fresh, join_bounded, load, null_safe, ship_code, slices, stage_table
 
 #: Lists longer than this meet one member first.
 LONG_LIST = 24
-#: The table of counts is cut in this many slices, which are summed apart.
-SLICES = 64
+#: One text in so many is looked at for hot shingles; hot ones are in at least
+#: HOT_LEAST texts of the sample, the HOT_ROWS most frequent at most.
+HOT_SAMPLE, HOT_LEAST, HOT_ROWS = 64, 8, 1 << 16
+#: Tables of up to so many pairs of numbers are broadcast to the sets.
+SMALL_ROWS = 1_000_000
 #: Distinct words whose hashes a worker remembers between batches.
-MEMORY = 1_000_000
+MEMORY = 200_000
 _WORDS: dict[bytes, int] = {}
 
 
-def retained(n: int, percent: int) -> int:
-    """Sketch size for a set of n."""
-    return n - (n * percent + 99) // 100 + 1 if n else 0
-
-
 def shingle_hashes(text: str, width: int) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the text's word shingles."""
     import xxhash
@@ -75,145 +77,91 @@ def shingle_hashes(text: str, width: int) -> np.ndarray:
     return np.unique(out)
 
 
-# ---------------------------------------------------------- common order
-def table_bits(docs: DataFrame, text: str) -> int:
-    """log2 of the count table's cells: about one for each 6 code points of
-    the corpus, between 2^16 and 2^24 (16 MB). It sets how well rare shingles
-    are told apart, and so the work; links do not depend on it."""
-    chars = docs.agg(F.coalesce(F.sum(F.length(text)), F.lit(0))).first()[0]
-    return min(24, max(16, math.ceil(math.log2(chars / 6 + 1))))
-
-
-def count_table(docs: DataFrame, text: str, width: int, bits: int) -> np.ndarray:
-    """For each cell (the first bits of a hash) the number of (document,
-    shingle) in it, as 8 * log2(1 + n) in one byte: at most 16 MB at the driver.
-
-    Tasks emit sparse slices; slices are summed by Spark in two steps, so that
-    no group holds more than the square root of all tasks' slices."""
-    spark = docs.sparkSession
-    ship_code(spark)
-    tasks = max(1, math.isqrt(docs.rdd.getNumPartitions()))
-    per = (1 << bits) // SLICES
-
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "t"):
-            sets = [shingle_hashes(t, width) for t in batch.column("t").to_pylist() if t]
-            if not sets:
-                continue
-            cells, n = np.unique(np.concatenate(sets) >> np.uint64(64 - bits), return_counts=True)
-            cells = cells.astype(np.int64)
-            yield _slices(cells, n, per)
-
-    def merge(table: pa.Table) -> pa.Table:
-        total = np.zeros(per, np.int64)
-        for at, n in zip(table.column("at").to_pylist(), table.column("n").to_pylist()):
-            total[np.frombuffer(at, np.uint32)] += np.frombuffer(n, np.uint32)
-        at = np.flatnonzero(total)
-        counts = np.minimum(total[at], 2**31)
-        return pa.table({"slice": table.column("slice").slice(0, 1), "at": [at.astype(np.uint32).tobytes()],
-                         "n": [counts.astype(np.uint32).tobytes()]},
-                        schema=pa.schema([("slice", pa.int32()), ("at", pa.binary()), ("n", pa.binary())]))
-
-    schema = "slice int, at binary, n binary"
-    parts = (docs.select(F.col(text).alias("t")).mapInArrow(emit, schema)
-             .withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(tasks))))
-    parts = (parts.groupBy("slice", "salt").applyInArrow(merge, schema)
-             .groupBy("slice").applyInArrow(merge, schema))
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for at, n in zip(batch.column("at").to_pylist(), batch.column("n").to_pylist()):
-                codes = np.zeros(per, np.uint8)
-                codes[np.frombuffer(at, np.uint32)] = np.minimum(
-                    8 * np.log2(1.0 + np.frombuffer(n, np.uint32)), 255)
-                out.append(codes.tobytes())
-            yield pa.RecordBatch.from_pydict({"slice": batch.column("slice"), "codes": pa.array(out, pa.binary())})
-
-    table = np.zeros(1 << bits, np.uint8)
-    for row in parts.mapInArrow(pack, "slice int, codes binary").toLocalIterator():
-        table[row["slice"] * per:(row["slice"] + 1) * per] = np.frombuffer(row["codes"], np.uint8)
-    return table
-
-
-def _slices(cells: np.ndarray, n: np.ndarray, per: int) -> pa.RecordBatch:
-    cuts = np.searchsorted(cells, np.arange(SLICES + 1) * per)
-    rows = [(k, a, b) for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])) if b > a]
-    return pa.RecordBatch.from_pydict({
-        "slice": pa.array([k for k, _, _ in rows], pa.int32()),
-        "at": pa.array([(cells[a:b] - k * per).astype(np.uint32).tobytes() for k, a, b in rows], pa.binary()),
-        "n": pa.array([n[a:b].astype(np.uint32).tobytes() for _, a, b in rows], pa.binary())})
+# -------------------------------------------------------------- sketches
+def hot_shingles(docs: DataFrame, text: str, width: int) -> np.ndarray:
+    """Sorted hashes of the hot shingles: at most ``HOT_ROWS`` numbers."""
+    ship_code(docs.sparkSession)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "t", 2 << 20):
+            sets = [shingle_hashes(t, width) for t in batch.column("t").to_pylist()]
+            found, n = np.unique(np.concatenate(sets), return_counts=True)
+            yield pa.RecordBatch.from_pydict({"val": pa.array(found.view(np.int64)), "n": pa.array(n, pa.int64())})
 
-# -------------------------------------------------------------- sketches
-def sketches(docs: DataFrame, doc_id: str, text: str, width: int, percent: int) -> DataFrame:
-    """One row per input row: i, th (hash of the text), n, set (two 64-bit
-    digests s1, s2; null for empty sets), common (how common its shingles
-    are), vals (retained values that another document may hold)."""
-    spark = docs.sparkSession
-    bits = table_bits(docs, text)
-    table = spark.sparkContext.broadcast(count_table(docs, text, width, bits))  # at most 16 MB
+    sample = docs.select(F.col(text).alias("t")).where(F.pmod(F.xxhash64("t"), F.lit(HOT_SAMPLE)) == 0)
+    rows = (sample.where(F.col("t").isNotNull()).mapInArrow(run, "val long, n long")
+            .groupBy("val").agg(F.sum("n").alias("n")).where(F.col("n") >= HOT_LEAST)
+            .orderBy(F.desc("n"), "val").limit(HOT_ROWS).collect())
+    return np.sort(np.array([r["val"] for r in rows], np.int64).view(np.uint64))
+
+
+def sets_of(docs: DataFrame, doc_id: str, text: str, width: int, hot: np.ndarray) -> DataFrame:
+    """One row per input row: i, th (hash of the text), n, s1 and s2 (two
+    digests of the set; null if empty), light and hot (its hashes, sorted)."""
+    ship_code(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
-        codes = table.value
-        alone = np.uint8(8)  # a cell that one (document, shingle) is in
-        for batch in slices(batches, "t"):
-            out = []
-            for t in batch.column("t").to_pylist():
-                found = shingle_hashes(t or "", width)
-                if not found.size:
-                    out.append((0, None, None, 0.0, []))
-                    continue
-                raw = found.tobytes()
-                code = codes[found >> np.uint64(64 - bits)]
-                keep = np.lexsort((found, code))[:retained(found.size, percent)]
-                keep = keep[code[keep] > alone]
-                out.append((found.size, _signed(xxhash.xxh3_64_intdigest(raw)),
-                            _signed(xxhash.xxh3_64_intdigest(raw, 1)), float(code.mean()),
-                            found[keep].view(np.int64)))
+        for batch in slices(batches, "t", 2 << 20):
+            sets = [shingle_hashes(t or "", width) for t in batch.column("t").to_pylist()]
+            raw = [x.tobytes() for x in sets]
+            flat = np.concatenate(sets)
+            at = np.minimum(np.searchsorted(hot, flat), max(hot.size - 1, 0))
+            is_hot = hot[at] == flat if hot.size else np.zeros(flat.size, bool)
+            ends = np.cumsum([0, *(x.size for x in sets)])
+            hots = np.concatenate([[0], np.cumsum(is_hot)])[ends]
             yield pa.RecordBatch.from_pydict({
-                "i": batch.column("i"), "th": batch.column("th"),
-                "n": pa.array([o[0] for o in out], pa.int64()), "s1": pa.array([o[1] for o in out], pa.int64()),
-                "s2": pa.array([o[2] for o in out], pa.int64()),
-                "common": pa.array([o[3] for o in out], pa.float64()),
-                "vals": pa.array([o[4] for o in out], pa.list_(pa.int64()))})
+                "i": batch.column("i"), "th": batch.column("th"), "n": pa.array(np.diff(ends), pa.int64()),
+                "s1": pa.array([_signed(xxhash.xxh3_64_intdigest(x)) if x else None for x in raw], pa.int64()),
+                "s2": pa.array([_signed(xxhash.xxh3_64_intdigest(x, 1)) if x else None for x in raw], pa.int64()),
+                "light": _lists(flat[~is_hot], ends - hots), "hot": _lists(flat[is_hot], hots)})
 
     kind = docs.schema[doc_id].dataType.simpleString()
-    return (docs.select(F.col(doc_id).alias("i"), F.xxhash64(text).alias("th"), F.col(text).alias("t"))
-            .mapInArrow(run, f"i {kind}, th long, n long, s1 long, s2 long, common double, vals array<long>"))
+    rows = (docs.select(F.col(doc_id).alias("i"), F.xxhash64(text).alias("th"), F.col(text).alias("t"))
+            .mapInArrow(run, f"i {kind}, th long, n long, s1 long, s2 long, light array<long>, hot array<long>"))
+    return rows.select(F.monotonically_increasing_id().alias("rid"), "*")
 
 
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
 
-def full_sets(docs: DataFrame, wanted: DataFrame, doc_id: str, text: str, width: int) -> DataFrame:
-    """(c, hashes) of the wanted classes (c, i, th): full sets, from the text
-    of one member each."""
-    import xxhash  # noqa: F401  (needed by the tasks)
-
-    texts = docs.select(F.col(doc_id).alias("i"), F.xxhash64(text).alias("th"), F.col(text).alias("t"))
-    texts = texts.join(wanted.select(F.col("i").alias("wi"), F.col("th").alias("wt"), "c"),
-                       F.col("i").eqNullSafe(F.col("wi")) & (F.col("th") == F.col("wt")))
+def _lists(flat: np.ndarray, ends: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat.view(np.int64)))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "t"):
-            sets = [shingle_hashes(t or "", width).view(np.int64) for t in batch.column("t").to_pylist()]
-            yield pa.RecordBatch.from_pydict({"c": batch.column("c"), "hashes": pa.array(sets, pa.list_(pa.int64()))})
 
-    return (texts.select("c", "t").mapInArrow(run, "c long, hashes array<long>").dropDuplicates(["c"]))
+def retained_values(sets: DataFrame, percent: int) -> DataFrame:
+    """(rid, n, light, hot) of distinct sets -> (c, n, val): the values of
+    each sketch that another set may hold."""
+    kept = F.col("n") - _kept("n", percent) + 1
+    # places of the sketch beyond the light shingles, less the light ones not alone
+    spare = (kept - F.size("light")).cast("int")
+    light = sets.select(F.col("rid").alias("c"), "n", spare.alias("spare"), F.explode("light").alias("val"))
+    held = light.withColumn("held", F.count(F.lit(1)).over(Window.partitionBy("val"))).where(F.col("held") > 1)
+    own = Window.partitionBy("c")
+    held = (held.withColumn("place", F.row_number().over(own.orderBy("held", "val")))
+            .withColumn("shared", F.count(F.lit(1)).over(own))
+            .where(F.col("place") <= F.col("spare") + F.col("shared")))
+    hot = (sets.where(kept > F.size("light"))
+           .select(F.col("rid").alias("c"), "n", F.explode(F.slice("hot", F.lit(1), spare)).alias("val")))
+    return held.select("c", "n", "val").unionByName(hot)
 
 
 def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose exact Jaccard reaches the limit."""
-    one = sets.select(F.col("c").alias("a"), F.col("hashes").alias("ha"))
-    two = sets.select(F.col("c").alias("b"), F.col("hashes").alias("hb"))
-    both = pairs.select("a", "b").join(one, "a").join(two, "b")
-    inter = F.size(F.array_intersect("ha", "hb"))
-    union = F.size("ha") + F.size("hb") - F.col("inter")
-    return (both.withColumn("inter", inter).where(100 * F.col("inter").cast("long") >= percent * union)
+    ends = pairs.select(F.col("a").alias("rid")).unionByName(pairs.select(F.col("b").alias("rid"))).distinct()
+    wanted = stage_table(ends, "near-wanted")
+    full = stage_table(join_bounded(sets.select("rid", "n", "light", "hot"), wanted, ["rid"], "left_semi",
+                                    SMALL_ROWS), "near-sets")
+    one = full.select(F.col("rid").alias("a"), F.col("n").alias("na"), F.col("light").alias("la"),
+                      F.col("hot").alias("ha"))
+    two = full.select(F.col("rid").alias("b"), F.col("n").alias("nb"), F.col("light").alias("lb"),
+                      F.col("hot").alias("hb"))
+    inter = (F.size(F.array_intersect("la", "lb")) + F.size(F.array_intersect("ha", "hb"))).cast("long")
+    return (pairs.select("a", "b").join(one, "a").join(two, "b")
+            .select("a", "b", "na", "nb", inter.alias("inter"))
+            .where(100 * F.col("inter") >= percent * (F.col("na") + F.col("nb") - F.col("inter")))
             .select("a", "b"))
 
 
@@ -247,33 +195,30 @@ def components(links: DataFrame) -> DataFrame:
 
 
 # -------------------------------------------------------------- the whole
-def link_classes(docs: DataFrame, classes: DataFrame, doc_id: str, text: str, width: int,
-                 percent: int) -> DataFrame:
-    """(c, i, th, n, common, vals) -> (a, b): confirmed links between classes,
-    enough of them that their components are those of all links."""
-    posts = classes.where(F.size("vals") > 0).select("c", "n", "common", F.explode("vals").alias("val"))
-    lists = (posts.groupBy("val").agg(F.count(F.lit(1)).alias("held"), F.max(F.struct("common", "c")).alias("top"))
-             .where(F.col("held") > 1).select("val", "held", F.col("top.c").alias("pivot")))
-    posts = stage_table(posts.select("c", "n", "val").join(lists, "val"), "near-lists")
-    sizes = classes.select("c", "n")
-    least = lambda a, b: F.ceil((F.col(a) + F.col(b)) * percent / (100 + percent) - 1e-9)
-
-    # long lists meet one member first
-    stars = (posts.where((F.col("held") > LONG_LIST) & (F.col("c") != F.col("pivot")))
-             .groupBy(F.col("pivot").alias("a"), F.col("c").alias("b"), F.col("n").alias("nb"))
-             .agg(F.count(F.lit(1)).alias("shared"))
-             .join(sizes.select(F.col("c").alias("a"), F.col("n").alias("na")), "a")
-             .where(_near("na", "nb", percent)).select("a", "b"))
-    stars = stage_table(stars, "near-stars")
+def link_sets(sets: DataFrame, percent: int) -> DataFrame:
+    """Distinct sets -> (a, b): confirmed links, enough of them that their
+    components are those of all links."""
+    posts = stage_table(retained_values(sets, percent), "near-sketches")
+    lists = posts.groupBy("val").agg(F.count(F.lit(1)).alias("held")).where(F.col("held") > 1)
+    posts = stage_table(posts.join(lists, "val"), "near-lists")
+
+    # long lists meet one member first, the one that is in most long lists
+    long = posts.where(F.col("held") > LONG_LIST)
     known = None
-    if stars.limit(1).count():
-        sure = stage_table(confirm(stars, _sets(docs, classes, stars, doc_id, text, width), percent), "near-star-links")
+    if long.limit(1).count():
+        often = long.groupBy("c").agg(F.count(F.lit(1)).alias("lists"))
+        pivots = (long.join(often, "c").groupBy("val")
+                  .agg(F.max(F.struct("lists", "c")).alias("best")).select("val", F.col("best.c").alias("a")))
+        sizes = sets.select(F.col("rid").alias("a"), F.col("n").alias("na"))
+        stars = (long.join(pivots, "val").where(F.col("a") != F.col("c"))
+                 .select("a", F.col("c").alias("b"), F.col("n").alias("nb")).distinct()
+                 .join(sizes, "a").where(_near("na", "nb", percent)).select("a", "b"))
+        sure = stage_table(confirm(stage_table(stars, "near-stars"), sets, percent), "near-star-links")
         known = stage_table(components(sure), "near-star-components")
-        own = F.coalesce("comp", "c")
-        posts = posts.join(known, "c", "left").select("c", "n", "val", own.alias("g"))
+        posts = posts.join(known, "c", "left").select("c", "n", "val", F.coalesce("comp", "c").alias("g"))
+        posts = stage_table(posts, "near-grouped-lists")
         mixed = posts.groupBy("val").agg(F.min("g").alias("g1"), F.max("g").alias("g2"))
-        posts = stage_table(posts.join(mixed.where(F.col("g1") != F.col("g2")).select("val"), "val", "left_semi"),
-                            "near-open-lists")
+        posts = posts.join(mixed.where(F.col("g1") != F.col("g2")).select("val"), "val", "left_semi")
     else:
         posts = posts.select("c", "n", "val", F.col("c").alias("g"))
 
@@ -284,8 +229,9 @@ def link_classes(docs: DataFrame, classes: DataFrame, doc_id: str, text: str, wi
              .groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("shared")))
     # union sketch: what both sketches hold, and at most all that lies beyond one of them
     beyond = F.greatest(_kept("na", percent), _kept("nb", percent)) - 1
-    pairs = stage_table(pairs.where(F.col("shared") + beyond >= least("na", "nb")).select("a", "b"), "near-pairs")
-    links = stage_table(confirm(pairs, _sets(docs, classes, pairs, doc_id, text, width), percent), "near-links")
+    enough = (100 + percent) * (F.col("shared") + beyond) >= percent * (F.col("na") + F.col("nb"))
+    pairs = stage_table(pairs.where(enough).select("a", "b"), "near-pairs")
+    links = stage_table(confirm(pairs, sets, percent), "near-links")
     if known is not None:
         links = links.unionByName(known.select(F.col("c").alias("a"), F.col("comp").alias("b")))
     return links
@@ -301,31 +247,24 @@ def _near(a: str, b: str, percent: int):
     return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
 
-def _sets(docs: DataFrame, classes: DataFrame, pairs: DataFrame, doc_id: str, text: str, width: int) -> DataFrame:
-    ends = pairs.select(F.col("a").alias("c")).unionByName(pairs.select(F.col("b").alias("c"))).distinct()
-    wanted = stage_table(classes.select("c", "i", "th").join(ends, "c", "left_semi"), "near-wanted")
-    return stage_table(full_sets(docs, wanted, doc_id, text, width), "near-sets")
-
-
 def near_groups(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", width: int = 5,
                 percent: int = 80) -> DataFrame:
     """One row per input row: id, th, n_shingles, component_id, kept."""
-    rows = stage_table(sketches(docs, doc_id, text, width, percent), "near-sketches")
-    held = rows.where(F.col("n") > 0)
-    one = F.min(F.struct(F.col("i").isNull().alias("none"), "i", "th")).alias("first")
+    rows = stage_table(sets_of(docs, doc_id, text, width, hot_shingles(docs, text, width)), "near-all-sets")
     classes = stage_table(
-        held.groupBy("s1").agg(one, F.min("n").alias("n"), F.min("s2").alias("low"), F.max("s2").alias("high"),
-                               F.first("common").alias("common"), F.first("vals").alias("vals"))
-        .select(F.col("s1").alias("c"), F.col("first.i").alias("i"), F.col("first.th").alias("th"), "n", "low",
-                "high", "common", "vals"), "near-classes")
+        rows.where(F.col("n") > 0).groupBy("s1")
+        .agg(F.min("rid").alias("rid"), F.min("s2").alias("low"), F.max("s2").alias("high"), F.min("i").alias("i")),
+        "near-classes")
     if classes.where(F.col("low") != F.col("high")).limit(1).count():
         raise RuntimeError("two sets share a 64-bit digest")
-    links = link_classes(docs, classes, doc_id, text, width, percent)
-    comp = components(links)
-    named = classes.select("c", "i").join(comp, "c", "left").select("c", "i", F.coalesce("comp", "c").alias("comp"))
-    named = stage_table(named, "near-components")
+    copies = stage_table(rows.where(F.col("n") > 0).select("rid", "s1").join(classes.select("rid"), "rid", "left_anti")
+                         .select("rid"), "near-copies")
+    sets = join_bounded(rows.where(F.col("n") > 0), copies, ["rid"], "left_anti", SMALL_ROWS)
+    comp = components(link_sets(sets, percent))
+    named = stage_table(classes.join(comp.withColumnRenamed("c", "rid"), "rid", "left")
+                        .select("s1", "i", F.coalesce("comp", "rid").alias("comp")), "near-components")
     best = named.groupBy("comp").agg(F.min("i").alias("component_id"))
-    named = named.join(best, "comp").select(F.col("c").alias("s1"), "component_id")
+    named = named.join(best, "comp").select("s1", "component_id")
     found = rows.select("i", "th", "n", "s1").join(named, "s1", "left")
     own = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("i"))
     return found.select(F.col("i").alias(doc_id), "th", F.col("n").alias("n_shingles"), own.alias("component_id"),
