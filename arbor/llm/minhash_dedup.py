@@ -1,24 +1,23 @@
 """MinHash near-dedup with bottom-k sketches from one hash function.
 
 Every shingle has one 64-bit hash. A document's sketch is the bottom of its
-set in one order common to all documents: by the number of sets that hold the
-shingle, then by hash. Sets of n shingles with a similarity of at least s
-share an element among the first k = n - ceil(s * n) + 1 in any common order,
-so sketches of that k lose no link, and rare shingles first keeps lists short.
+set in one order common to all documents: rare shingles first, by a table of
+hashed counts over all documents, then by hash. Sets of n shingles with a
+similarity of at least s share an element among the first
+k = n - ceil(s * n) + 1 in any common order, so sketches of that k lose no link.
 
 1. Documents with equal sets are one class; only one row of each goes on.
-2. One shuffle by shingle counts its holders. Shingles of one set alone are
-   the first in its order and can be in no overlap, so only their number
-   counts; the others go back to their document, which retains the rarest.
-3. Inverted lists of the retained values give overlaps: a pair of classes and
-   the number of retained values that both hold.
-4. The union sketch of a pair bounds its similarity from that number; pairs
+2. Inverted lists of the retained values give overlaps: a pair of classes and
+   the number of retained values that both hold. Values that no other document
+   can hold (their cell of the table counts one) are left out of the lists.
+3. The union sketch of a pair bounds its similarity from that number; pairs
    that cannot reach s go. The rest are confirmed by exact Jaccard on full sets.
-5. Links are joined to components by alternating star contraction.
+4. Links are joined to components by alternating star contraction.
 
-Hot shingles (found in a sample of texts; at most ``HOT_ROWS``) stand last in
-the order and are not shuffled for counting, so no task gathers all rows of
-one. Which shingles are found hot changes the work, never the links.
+The table is at most 2^26 bytes. Over more than some 10^8 shingles its cells
+hold several each; their mean is common to all, so what is lost is only the
+order among shingles whose counts differ by less than its square root: lists
+get longer, links stay the same.
 
 A value that many classes retain (a family of near copies) would give all
 pairs of its list. Such a list first meets one member; members confirmed with
@@ -33,21 +32,23 @@ are null; an empty table gives no rows; extra columns are kept by ``dedup``.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from arbor.llm.common import fresh, join_bounded, load, null_safe, ship_code, slices, stage_table
 
 #: Lists longer than this meet one member first.
 LONG_LIST = 24
-#: One text in so many is looked at for hot shingles; hot ones are in at least
-#: HOT_LEAST texts of the sample, the HOT_ROWS most frequent at most.
-HOT_SAMPLE, HOT_LEAST, HOT_ROWS = 64, 8, 1 << 16
-#: Tables of up to so many pairs of numbers are broadcast to the sets.
+#: log2 of the count table's cells, at least and at most.
+LEAST_BITS, MOST_BITS = 16, 26
+#: The table is cut in this many slices, which are summed apart.
+SLICES = 64
+#: Tables of up to so many pairs of numbers are broadcast to the texts.
 SMALL_ROWS = 1_000_000
 #: Distinct words whose hashes a worker remembers between batches.
 MEMORY = 200_000
@@ -77,49 +78,123 @@ def shingle_hashes(text: str, width: int) -> np.ndarray:
     return np.unique(out)
 
 
-# -------------------------------------------------------------- sketches
-def hot_shingles(docs: DataFrame, text: str, width: int) -> np.ndarray:
-    """Sorted hashes of the hot shingles: at most ``HOT_ROWS`` numbers."""
-    ship_code(docs.sparkSession)
+# ---------------------------------------------------------- common order
+def table_bits(docs: DataFrame, text: str) -> int:
+    """About one cell for each 8 code points of the corpus."""
+    chars = docs.agg(F.coalesce(F.sum(F.length(text)), F.lit(0))).first()[0]
+    return min(MOST_BITS, max(LEAST_BITS, math.ceil(math.log2(chars / 8 + 1))))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "t", 2 << 20):
-            sets = [shingle_hashes(t, width) for t in batch.column("t").to_pylist()]
-            found, n = np.unique(np.concatenate(sets), return_counts=True)
-            yield pa.RecordBatch.from_pydict({"val": pa.array(found.view(np.int64)), "n": pa.array(n, pa.int64())})
 
-    sample = docs.select(F.col(text).alias("t")).where(F.pmod(F.xxhash64("t"), F.lit(HOT_SAMPLE)) == 0)
-    rows = (sample.where(F.col("t").isNotNull()).mapInArrow(run, "val long, n long")
-            .groupBy("val").agg(F.sum("n").alias("n")).where(F.col("n") >= HOT_LEAST)
-            .orderBy(F.desc("n"), "val").limit(HOT_ROWS).collect())
-    return np.sort(np.array([r["val"] for r in rows], np.int64).view(np.uint64))
+def count_table(docs: DataFrame, text: str, width: int, bits: int) -> np.ndarray:
+    """For each cell (the first bits of a hash) a code of one byte that grows
+    with the number of (document, shingle) in it: 0 and 1 are exact.
 
-
-def sets_of(docs: DataFrame, doc_id: str, text: str, width: int, hot: np.ndarray) -> DataFrame:
-    """One row per input row: i, th (hash of the text), n, s1 and s2 (two
-    digests of the set; null if empty), light and hot (its hashes, sorted)."""
+    Tasks emit sparse slices; slices are summed by Spark in two steps, so that
+    no group holds more than the square root of all tasks' slices. The driver
+    gets the codes, at most 2^26 bytes."""
     ship_code(docs.sparkSession)
+    salts = max(1, math.isqrt(docs.rdd.getNumPartitions()))
+    per = (1 << bits) // SLICES
+    schema = "slice int, cells binary, n binary"
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "t", 4 << 20):
+            sets = [shingle_hashes(t or "", width) for t in batch.column("t").to_pylist()]
+            cells, n = np.unique(np.concatenate(sets) >> np.uint64(64 - bits), return_counts=True)
+            cuts = np.searchsorted(cells.astype(np.int64), np.arange(SLICES + 1) * per)
+            rows = [(k, x, y) for k, (x, y) in enumerate(zip(cuts[:-1], cuts[1:])) if y > x]
+            yield pa.RecordBatch.from_pydict({
+                "slice": pa.array([k for k, _, _ in rows], pa.int32()),
+                "cells": pa.array([_planes(cells[x:y].astype(np.int64) - k * per, True) for k, x, y in rows],
+                                  pa.binary()),
+                "n": pa.array([_planes(n[x:y], False) for _, x, y in rows], pa.binary())})
+
+    def merge(table: pa.Table) -> pa.Table:
+        total = np.zeros(per, np.int64)
+        for cells, n in zip(table.column("cells").to_pylist(), table.column("n").to_pylist()):
+            total[_unplanes(cells, True)] += _unplanes(n, False)
+        at = np.flatnonzero(total)
+        return pa.table({"slice": table.column("slice").slice(0, 1), "cells": [_planes(at, True)],
+                         "n": [_planes(np.minimum(total[at], 2**31), False)]},
+                        schema=pa.schema([("slice", pa.int32()), ("cells", pa.binary()), ("n", pa.binary())]))
+
+    parts = (docs.select(F.col(text).alias("t")).mapInArrow(emit, schema)
+             .withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(salts))))
+    parts = (parts.groupBy("slice", "salt").applyInArrow(merge, schema)
+             .groupBy("slice").applyInArrow(merge, schema))
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for cells, n in zip(batch.column("cells").to_pylist(), batch.column("n").to_pylist()):
+                codes = np.zeros(per, np.uint8)
+                codes[_unplanes(cells, True)] = _codes(_unplanes(n, False))
+                out.append(codes.tobytes())
+            yield pa.RecordBatch.from_pydict({"slice": batch.column("slice"), "codes": pa.array(out, pa.binary())})
+
+    table = np.zeros(1 << bits, np.uint8)
+    for row in parts.mapInArrow(pack, "slice int, codes binary").toLocalIterator():
+        table[row["slice"] * per:(row["slice"] + 1) * per] = np.frombuffer(row["codes"], np.uint8)
+    return table
+
+
+def _codes(n: np.ndarray) -> np.ndarray:
+    """1 for 1, then 24 steps for each doubling up to 16 times the mean of
+    these cells, and one for each doubling beyond it."""
+    if not n.size:
+        return n.astype(np.uint8)
+    low = max(1.0, float(n.mean()) / 16)
+    fine = 24 * np.log2(np.clip(n / low, 1, 256))
+    coarse = np.log2(np.maximum(n / low / 256, 1))
+    return np.where(n <= 1, n, np.minimum(2 + fine + coarse, 255)).astype(np.uint8)
+
+
+def _planes(x: np.ndarray, deltas: bool) -> bytes:
+    """Whole numbers as four planes of bytes, which compress well: small
+    numbers leave three planes empty. ``deltas``: differences of sorted ones."""
+    x = np.diff(x, prepend=0) if deltas else x
+    return x.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def _unplanes(raw: bytes, deltas: bool) -> np.ndarray:
+    x = np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
+    return np.cumsum(x) if deltas else x
+
+
+# -------------------------------------------------------------- sketches
+def sketches(docs: DataFrame, doc_id: str, text: str, width: int, percent: int) -> DataFrame:
+    """One row per input row: rid, i, th (hash of the text), n, s1 and s2 (two
+    digests of the set; null if empty), vals (retained values that another
+    document may hold)."""
+    spark = docs.sparkSession
+    bits = table_bits(docs, text)
+    table = spark.sparkContext.broadcast(count_table(docs, text, width, bits))  # at most 2^26 bytes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
+        codes = table.value
         for batch in slices(batches, "t", 2 << 20):
-            sets = [shingle_hashes(t or "", width) for t in batch.column("t").to_pylist()]
-            raw = [x.tobytes() for x in sets]
-            flat = np.concatenate(sets)
-            at = np.minimum(np.searchsorted(hot, flat), max(hot.size - 1, 0))
-            is_hot = hot[at] == flat if hot.size else np.zeros(flat.size, bool)
-            ends = np.cumsum([0, *(x.size for x in sets)])
-            hots = np.concatenate([[0], np.cumsum(is_hot)])[ends]
+            n, one, two, vals = [], [], [], []
+            for t in batch.column("t").to_pylist():
+                found = shingle_hashes(t or "", width)
+                raw = found.tobytes()
+                n.append(found.size)
+                one.append(_signed(xxhash.xxh3_64_intdigest(raw)) if raw else None)
+                two.append(_signed(xxhash.xxh3_64_intdigest(raw, 1)) if raw else None)
+                code = codes[found >> np.uint64(64 - bits)]
+                kept = found.size - (found.size * percent + 99) // 100 + 1
+                keep = np.argsort(code, kind="stable")[:kept]  # by code, then by hash
+                vals.append(found[keep[code[keep] > 1]].view(np.int64))
+            ends = np.cumsum([0, *map(len, vals)]).astype(np.int32)
             yield pa.RecordBatch.from_pydict({
-                "i": batch.column("i"), "th": batch.column("th"), "n": pa.array(np.diff(ends), pa.int64()),
-                "s1": pa.array([_signed(xxhash.xxh3_64_intdigest(x)) if x else None for x in raw], pa.int64()),
-                "s2": pa.array([_signed(xxhash.xxh3_64_intdigest(x, 1)) if x else None for x in raw], pa.int64()),
-                "light": _lists(flat[~is_hot], ends - hots), "hot": _lists(flat[is_hot], hots)})
+                "i": batch.column("i"), "th": batch.column("th"), "n": pa.array(n, pa.int64()),
+                "s1": pa.array(one, pa.int64()), "s2": pa.array(two, pa.int64()),
+                "vals": pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(vals)))})
 
     kind = docs.schema[doc_id].dataType.simpleString()
     rows = (docs.select(F.col(doc_id).alias("i"), F.xxhash64(text).alias("th"), F.col(text).alias("t"))
-            .mapInArrow(run, f"i {kind}, th long, n long, s1 long, s2 long, light array<long>, hot array<long>"))
+            .mapInArrow(run, f"i {kind}, th long, n long, s1 long, s2 long, vals array<long>"))
     return rows.select(F.monotonically_increasing_id().alias("rid"), "*")
 
 
@@ -127,42 +202,30 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
 
-def _lists(flat: np.ndarray, ends: np.ndarray) -> pa.ListArray:
-    return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat.view(np.int64)))
+def full_sets(docs: DataFrame, wanted: DataFrame, text: str, width: int) -> DataFrame:
+    """(rid, hashes) for (rid, th): full sets from the texts with those hashes."""
+    texts = docs.select(F.xxhash64(text).alias("th"), F.col(text).alias("t"))
+    texts = join_bounded(texts, wanted, ["th"], "inner", SMALL_ROWS)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "t", 2 << 20):
+            sets = [shingle_hashes(t or "", width).view(np.int64) for t in batch.column("t").to_pylist()]
+            yield pa.RecordBatch.from_pydict({"rid": batch.column("rid"), "hashes": pa.array(sets, pa.list_(pa.int64()))})
 
-def retained_values(sets: DataFrame, percent: int) -> DataFrame:
-    """(rid, n, light, hot) of distinct sets -> (c, n, val): the values of
-    each sketch that another set may hold."""
-    kept = F.col("n") - _kept("n", percent) + 1
-    # places of the sketch beyond the light shingles, less the light ones not alone
-    spare = (kept - F.size("light")).cast("int")
-    light = sets.select(F.col("rid").alias("c"), "n", spare.alias("spare"), F.explode("light").alias("val"))
-    held = light.withColumn("held", F.count(F.lit(1)).over(Window.partitionBy("val"))).where(F.col("held") > 1)
-    own = Window.partitionBy("c")
-    held = (held.withColumn("place", F.row_number().over(own.orderBy("held", "val")))
-            .withColumn("shared", F.count(F.lit(1)).over(own))
-            .where(F.col("place") <= F.col("spare") + F.col("shared")))
-    hot = (sets.where(kept > F.size("light"))
-           .select(F.col("rid").alias("c"), "n", F.explode(F.slice("hot", F.lit(1), spare)).alias("val")))
-    return held.select("c", "n", "val").unionByName(hot)
+    return texts.select("rid", "t").mapInArrow(run, "rid long, hashes array<long>").dropDuplicates(["rid"])
 
 
-def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose exact Jaccard reaches the limit."""
+def confirm(docs: DataFrame, rows: DataFrame, pairs: DataFrame, text: str, width: int, percent: int) -> DataFrame:
+    """The pairs (a, b) of row numbers whose exact Jaccard reaches the limit."""
     ends = pairs.select(F.col("a").alias("rid")).unionByName(pairs.select(F.col("b").alias("rid"))).distinct()
-    wanted = stage_table(ends, "near-wanted")
-    full = stage_table(join_bounded(sets.select("rid", "n", "light", "hot"), wanted, ["rid"], "left_semi",
-                                    SMALL_ROWS), "near-sets")
-    one = full.select(F.col("rid").alias("a"), F.col("n").alias("na"), F.col("light").alias("la"),
-                      F.col("hot").alias("ha"))
-    two = full.select(F.col("rid").alias("b"), F.col("n").alias("nb"), F.col("light").alias("lb"),
-                      F.col("hot").alias("hb"))
-    inter = (F.size(F.array_intersect("la", "lb")) + F.size(F.array_intersect("ha", "hb"))).cast("long")
-    return (pairs.select("a", "b").join(one, "a").join(two, "b")
-            .select("a", "b", "na", "nb", inter.alias("inter"))
-            .where(100 * F.col("inter") >= percent * (F.col("na") + F.col("nb") - F.col("inter")))
-            .select("a", "b"))
+    wanted = stage_table(rows.select("rid", "th").join(ends, "rid", "left_semi"), "near-wanted")
+    full = stage_table(full_sets(docs, wanted, text, width), "near-sets")
+    one = full.select(F.col("rid").alias("a"), F.col("hashes").alias("ha"))
+    two = full.select(F.col("rid").alias("b"), F.col("hashes").alias("hb"))
+    both = (pairs.select("a", "b").join(one, "a").join(two, "b")
+            .select("a", "b", F.size(F.array_intersect("ha", "hb")).cast("long").alias("inter"),
+                    (F.size("ha") + F.size("hb")).cast("long").alias("total")))
+    return both.where(100 * F.col("inter") >= percent * (F.col("total") - F.col("inter"))).select("a", "b")
 
 
 # ------------------------------------------------------------ components
@@ -195,10 +258,10 @@ def components(links: DataFrame) -> DataFrame:
 
 
 # -------------------------------------------------------------- the whole
-def link_sets(sets: DataFrame, percent: int) -> DataFrame:
-    """Distinct sets -> (a, b): confirmed links, enough of them that their
-    components are those of all links."""
-    posts = stage_table(retained_values(sets, percent), "near-sketches")
+def link_sets(docs: DataFrame, sets: DataFrame, text: str, width: int, percent: int) -> DataFrame:
+    """Distinct sets (rid, th, n, vals) -> (a, b): confirmed links, enough of
+    them that their components are those of all links."""
+    posts = sets.select(F.col("rid").alias("c"), "n", F.explode("vals").alias("val"))
     lists = posts.groupBy("val").agg(F.count(F.lit(1)).alias("held")).where(F.col("held") > 1)
     posts = stage_table(posts.join(lists, "val"), "near-lists")
 
@@ -213,7 +276,7 @@ def link_sets(sets: DataFrame, percent: int) -> DataFrame:
         stars = (long.join(pivots, "val").where(F.col("a") != F.col("c"))
                  .select("a", F.col("c").alias("b"), F.col("n").alias("nb")).distinct()
                  .join(sizes, "a").where(_near("na", "nb", percent)).select("a", "b"))
-        sure = stage_table(confirm(stage_table(stars, "near-stars"), sets, percent), "near-star-links")
+        sure = stage_table(confirm(docs, sets, stage_table(stars, "near-stars"), text, width, percent), "near-star-links")
         known = stage_table(components(sure), "near-star-components")
         posts = posts.join(known, "c", "left").select("c", "n", "val", F.coalesce("comp", "c").alias("g"))
         posts = stage_table(posts, "near-grouped-lists")
@@ -231,7 +294,7 @@ def link_sets(sets: DataFrame, percent: int) -> DataFrame:
     beyond = F.greatest(_kept("na", percent), _kept("nb", percent)) - 1
     enough = (100 + percent) * (F.col("shared") + beyond) >= percent * (F.col("na") + F.col("nb"))
     pairs = stage_table(pairs.where(enough).select("a", "b"), "near-pairs")
-    links = stage_table(confirm(pairs, sets, percent), "near-links")
+    links = stage_table(confirm(docs, sets, pairs, text, width, percent), "near-links")
     if known is not None:
         links = links.unionByName(known.select(F.col("c").alias("a"), F.col("comp").alias("b")))
     return links
@@ -250,7 +313,7 @@ def _near(a: str, b: str, percent: int):
 def near_groups(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", width: int = 5,
                 percent: int = 80) -> DataFrame:
     """One row per input row: id, th, n_shingles, component_id, kept."""
-    rows = stage_table(sets_of(docs, doc_id, text, width, hot_shingles(docs, text, width)), "near-all-sets")
+    rows = stage_table(sketches(docs, doc_id, text, width, percent), "near-sketches")
     classes = stage_table(
         rows.where(F.col("n") > 0).groupBy("s1")
         .agg(F.min("rid").alias("rid"), F.min("s2").alias("low"), F.max("s2").alias("high"), F.min("i").alias("i")),
@@ -260,7 +323,7 @@ def near_groups(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     copies = stage_table(rows.where(F.col("n") > 0).select("rid", "s1").join(classes.select("rid"), "rid", "left_anti")
                          .select("rid"), "near-copies")
     sets = join_bounded(rows.where(F.col("n") > 0), copies, ["rid"], "left_anti", SMALL_ROWS)
-    comp = components(link_sets(sets, percent))
+    comp = components(link_sets(docs, sets, text, width, percent))
     named = stage_table(classes.join(comp.withColumnRenamed("c", "rid"), "rid", "left")
                         .select("s1", "i", F.coalesce("comp", "rid").alias("comp")), "near-components")
     best = named.groupBy("comp").agg(F.min("i").alias("component_id"))
