@@ -7,17 +7,19 @@ similarity of at least s share an element among the first
 k = n - ceil(s * n) + 1 in any common order, so sketches of that k lose no link.
 
 1. Documents with equal sets are one class; only one row of each goes on.
-2. Inverted lists of the retained values give overlaps: a pair of classes and
-   the number of retained values that both hold. Values that no other document
-   can hold (their cell of the table counts one) are left out of the lists.
-3. The union sketch of a pair bounds its similarity from that number; pairs
-   that cannot reach s go. The rest are confirmed by exact Jaccard on full sets.
+2. Inverted lists of the retained values give the pairs that overlap, at
+   places in both sets that leave enough of each after them. Values that no
+   other document can hold (their cell of the table counts one) are not listed.
+3. The union sketch of a pair bounds its similarity from the number of values
+   that both sketches hold; pairs that cannot reach s go. The rest are
+   confirmed by exact Jaccard on full sets.
 4. Links are joined to components by alternating star contraction.
 
-The table is at most 2^26 bytes. Over more than some 10^8 shingles its cells
-hold several each; their mean is common to all, so what is lost is only the
-order among shingles whose counts differ by less than its square root: lists
-get longer, links stay the same.
+The table has at most 2^28 cells: a bit for each cell that counts one, and a
+byte for each 16 cells that orders by count, 48 MB in all. Over more than some
+10^8 shingles its cells hold several each; their mean is common to all, so
+what is lost is only the order among shingles whose counts differ by less than
+its square root: lists get longer, links stay the same.
 
 A value that many classes retain (a family of near copies) would give all
 pairs of its list. Such a list first meets one member; members confirmed with
@@ -44,10 +46,13 @@ from arbor.llm.common import fresh, join_bounded, load, null_safe, ship_code, sl
 
 #: Lists longer than this meet one member first.
 LONG_LIST = 24
-#: log2 of the count table's cells, at least and at most.
-LEAST_BITS, MOST_BITS = 16, 26
+#: Rounds in which long lists that hold several components meet more members,
+#: and how many members in each.
+ROUNDS, PIVOTS = 1, 3
+#: log2 of the count table's cells, at least and at most; of cells to one code.
+LEAST_BITS, MOST_BITS, CODE_BITS = 16, 28, 4
 #: The table is cut in this many slices, which are summed apart.
-SLICES = 64
+SLICES = 256
 #: Tables of up to so many pairs of numbers are broadcast to the texts.
 SMALL_ROWS = 1_000_000
 #: Distinct words whose hashes a worker remembers between batches.
@@ -80,18 +85,19 @@ def shingle_hashes(text: str, width: int) -> np.ndarray:
 
 # ---------------------------------------------------------- common order
 def table_bits(docs: DataFrame, text: str) -> int:
-    """About one cell for each 8 code points of the corpus."""
+    """About one cell for each 2 code points of the corpus."""
     chars = docs.agg(F.coalesce(F.sum(F.length(text)), F.lit(0))).first()[0]
-    return min(MOST_BITS, max(LEAST_BITS, math.ceil(math.log2(chars / 8 + 1))))
+    return min(MOST_BITS, max(LEAST_BITS, math.ceil(math.log2(chars / 2 + 1))))
 
 
-def count_table(docs: DataFrame, text: str, width: int, bits: int) -> np.ndarray:
-    """For each cell (the first bits of a hash) a code of one byte that grows
-    with the number of (document, shingle) in it: 0 and 1 are exact.
+def count_table(docs: DataFrame, text: str, width: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Counts of (document, shingle) by cell, the first bits of the hash: a
+    bit for each cell that counts one, and for each 2^CODE_BITS cells a code of
+    one byte that grows with their sum.
 
     Tasks emit sparse slices; slices are summed by Spark in two steps, so that
     no group holds more than the square root of all tasks' slices. The driver
-    gets the codes, at most 2^26 bytes."""
+    gets the packed table, at most 48 MB."""
     ship_code(docs.sparkSession)
     salts = max(1, math.isqrt(docs.rdd.getNumPartitions()))
     per = (1 << bits) // SLICES
@@ -125,28 +131,31 @@ def count_table(docs: DataFrame, text: str, width: int, bits: int) -> np.ndarray
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
+            ones, codes = [], []
             for cells, n in zip(batch.column("cells").to_pylist(), batch.column("n").to_pylist()):
-                codes = np.zeros(per, np.uint8)
-                codes[_unplanes(cells, True)] = _codes(_unplanes(n, False))
-                out.append(codes.tobytes())
-            yield pa.RecordBatch.from_pydict({"slice": batch.column("slice"), "codes": pa.array(out, pa.binary())})
-
-    table = np.zeros(1 << bits, np.uint8)
-    for row in parts.mapInArrow(pack, "slice int, codes binary").toLocalIterator():
-        table[row["slice"] * per:(row["slice"] + 1) * per] = np.frombuffer(row["codes"], np.uint8)
-    return table
+                cells, n = _unplanes(cells, True), _unplanes(n, False)
+                one = np.zeros(per, np.uint8)
+                one[cells[n == 1]] = 1
+                ones.append(np.packbits(one, bitorder="little").tobytes())
+                total = np.bincount(cells >> CODE_BITS, weights=n, minlength=per >> CODE_BITS)
+                codes.append(_codes(total).tobytes())
+            yield pa.RecordBatch.from_pydict({"slice": batch.column("slice"), "ones": pa.array(ones, pa.binary()),
+                                              "codes": pa.array(codes, pa.binary())})
+
+    ones, codes = np.zeros(1 << bits - 3, np.uint8), np.zeros(1 << bits - CODE_BITS, np.uint8)
+    for row in parts.mapInArrow(pack, "slice int, ones binary, codes binary").toLocalIterator():
+        for table, part in ((ones, row["ones"]), (codes, row["codes"])):
+            table[row["slice"] * len(part):(row["slice"] + 1) * len(part)] = np.frombuffer(part, np.uint8)
+    return ones, codes
 
 
 def _codes(n: np.ndarray) -> np.ndarray:
-    """1 for 1, then 24 steps for each doubling up to 16 times the mean of
-    these cells, and one for each doubling beyond it."""
-    if not n.size:
-        return n.astype(np.uint8)
+    """24 steps for each doubling from a 16th to 16 times the mean, and one for
+    each doubling beyond it."""
     low = max(1.0, float(n.mean()) / 16)
     fine = 24 * np.log2(np.clip(n / low, 1, 256))
     coarse = np.log2(np.maximum(n / low / 256, 1))
-    return np.where(n <= 1, n, np.minimum(2 + fine + coarse, 255)).astype(np.uint8)
+    return np.minimum(fine + coarse, 255).astype(np.uint8)
 
 
 def _planes(x: np.ndarray, deltas: bool) -> bytes:
@@ -165,36 +174,41 @@ def _unplanes(raw: bytes, deltas: bool) -> np.ndarray:
 def sketches(docs: DataFrame, doc_id: str, text: str, width: int, percent: int) -> DataFrame:
     """One row per input row: rid, i, th (hash of the text), n, s1 and s2 (two
     digests of the set; null if empty), vals (retained values that another
-    document may hold)."""
+    document may hold) and places (theirs in the set's order)."""
     spark = docs.sparkSession
     bits = table_bits(docs, text)
-    table = spark.sparkContext.broadcast(count_table(docs, text, width, bits))  # at most 2^26 bytes
+    table = spark.sparkContext.broadcast(count_table(docs, text, width, bits))  # at most 48 MB
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
-        codes = table.value
+        ones, codes = table.value
         for batch in slices(batches, "t", 2 << 20):
-            n, one, two, vals = [], [], [], []
+            n, one, two, vals, places = [], [], [], [], []
             for t in batch.column("t").to_pylist():
                 found = shingle_hashes(t or "", width)
                 raw = found.tobytes()
                 n.append(found.size)
                 one.append(_signed(xxhash.xxh3_64_intdigest(raw)) if raw else None)
                 two.append(_signed(xxhash.xxh3_64_intdigest(raw, 1)) if raw else None)
-                code = codes[found >> np.uint64(64 - bits)]
+                cell = (found >> np.uint64(64 - bits)).astype(np.int64)
                 kept = found.size - (found.size * percent + 99) // 100 + 1
-                keep = np.argsort(code, kind="stable")[:kept]  # by code, then by hash
-                vals.append(found[keep[code[keep] > 1]].view(np.int64))
+                keep = np.argsort(codes[cell >> CODE_BITS], kind="stable")[:kept]  # by code, then by hash
+                cell = cell[keep]
+                alone = (ones[cell >> 3] >> (cell & 7).astype(np.uint8)) & 1
+                places.append(np.flatnonzero(alone == 0).astype(np.int32))
+                vals.append(found[keep[places[-1]]].view(np.int64))
             ends = np.cumsum([0, *map(len, vals)]).astype(np.int32)
             yield pa.RecordBatch.from_pydict({
                 "i": batch.column("i"), "th": batch.column("th"), "n": pa.array(n, pa.int64()),
                 "s1": pa.array(one, pa.int64()), "s2": pa.array(two, pa.int64()),
-                "vals": pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(vals)))})
+                "vals": pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(vals))),
+                "places": pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(places)))})
 
     kind = docs.schema[doc_id].dataType.simpleString()
     rows = (docs.select(F.col(doc_id).alias("i"), F.xxhash64(text).alias("th"), F.col(text).alias("t"))
-            .mapInArrow(run, f"i {kind}, th long, n long, s1 long, s2 long, vals array<long>"))
+            .mapInArrow(run, f"i {kind}, th long, n long, s1 long, s2 long, vals array<long>, "
+                             "places array<int>"))
     return rows.select(F.monotonically_increasing_id().alias("rid"), "*")
 
 
@@ -202,30 +216,31 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
 
-def full_sets(docs: DataFrame, wanted: DataFrame, text: str, width: int) -> DataFrame:
-    """(rid, hashes) for (rid, th): full sets from the texts with those hashes."""
-    texts = docs.select(F.xxhash64(text).alias("th"), F.col(text).alias("t"))
-    texts = join_bounded(texts, wanted, ["th"], "inner", SMALL_ROWS)
+def full_sets(docs: DataFrame, wanted: DataFrame, doc_id: str, text: str, width: int) -> DataFrame:
+    """(rid, hashes) for (rid, i, th): full sets from the rows with that id and
+    text; a repeated row repeats its set."""
+    texts = docs.select(F.col(doc_id).alias("di"), F.xxhash64(text).alias("th"), F.col(text).alias("t"))
+    texts = join_bounded(texts, wanted, ["th"], "inner", SMALL_ROWS).where(F.col("i").eqNullSafe(F.col("di")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "t", 2 << 20):
             sets = [shingle_hashes(t or "", width).view(np.int64) for t in batch.column("t").to_pylist()]
             yield pa.RecordBatch.from_pydict({"rid": batch.column("rid"), "hashes": pa.array(sets, pa.list_(pa.int64()))})
 
-    return texts.select("rid", "t").mapInArrow(run, "rid long, hashes array<long>").dropDuplicates(["rid"])
+    return texts.select("rid", "t").mapInArrow(run, "rid long, hashes array<long>")
 
 
-def confirm(docs: DataFrame, rows: DataFrame, pairs: DataFrame, text: str, width: int, percent: int) -> DataFrame:
+def confirm(docs: DataFrame, rows: DataFrame, pairs: DataFrame, doc_id: str, text: str, width: int, percent: int) -> DataFrame:
     """The pairs (a, b) of row numbers whose exact Jaccard reaches the limit."""
     ends = pairs.select(F.col("a").alias("rid")).unionByName(pairs.select(F.col("b").alias("rid"))).distinct()
-    wanted = stage_table(rows.select("rid", "th").join(ends, "rid", "left_semi"), "near-wanted")
-    full = stage_table(full_sets(docs, wanted, text, width), "near-sets")
+    wanted = stage_table(rows.select("rid", "i", "th").join(ends, "rid", "left_semi"), "near-wanted")
+    full = stage_table(full_sets(docs, wanted, doc_id, text, width), "near-sets")
     one = full.select(F.col("rid").alias("a"), F.col("hashes").alias("ha"))
     two = full.select(F.col("rid").alias("b"), F.col("hashes").alias("hb"))
     both = (pairs.select("a", "b").join(one, "a").join(two, "b")
             .select("a", "b", F.size(F.array_intersect("ha", "hb")).cast("long").alias("inter"),
                     (F.size("ha") + F.size("hb")).cast("long").alias("total")))
-    return both.where(100 * F.col("inter") >= percent * (F.col("total") - F.col("inter"))).select("a", "b")
+    return both.where(100 * F.col("inter") >= percent * (F.col("total") - F.col("inter"))).select("a", "b").distinct()
 
 
 # ------------------------------------------------------------ components
@@ -258,58 +273,94 @@ def components(links: DataFrame) -> DataFrame:
 
 
 # -------------------------------------------------------------- the whole
-def link_sets(docs: DataFrame, sets: DataFrame, text: str, width: int, percent: int) -> DataFrame:
-    """Distinct sets (rid, th, n, vals) -> (a, b): confirmed links, enough of
-    them that their components are those of all links."""
-    posts = sets.select(F.col("rid").alias("c"), "n", F.explode("vals").alias("val"))
+def link_sets(docs: DataFrame, sets: DataFrame, doc_id: str, text: str, width: int, percent: int) -> DataFrame:
+    """Distinct sets (rid, i, th, n, vals, places) -> (a, b): confirmed links,
+    enough of them that their components are those of all links."""
+    posts = (sets.select(F.col("rid").alias("c"), "n", F.explode(F.arrays_zip("vals", "places")).alias("p"))
+             .select("c", "n", F.col("p.vals").alias("val"), F.col("p.places").alias("at")))
     lists = posts.groupBy("val").agg(F.count(F.lit(1)).alias("held")).where(F.col("held") > 1)
     posts = stage_table(posts.join(lists, "val"), "near-lists")
-
-    # long lists meet one member first, the one that is in most long lists
-    long = posts.where(F.col("held") > LONG_LIST)
-    known = None
-    if long.limit(1).count():
-        often = long.groupBy("c").agg(F.count(F.lit(1)).alias("lists"))
-        pivots = (long.join(often, "c").groupBy("val")
-                  .agg(F.max(F.struct("lists", "c")).alias("best")).select("val", F.col("best.c").alias("a")))
-        sizes = sets.select(F.col("rid").alias("a"), F.col("n").alias("na"))
-        stars = (long.join(pivots, "val").where(F.col("a") != F.col("c"))
-                 .select("a", F.col("c").alias("b"), F.col("n").alias("nb")).distinct()
-                 .join(sizes, "a").where(_near("na", "nb", percent)).select("a", "b"))
-        sure = stage_table(confirm(docs, sets, stage_table(stars, "near-stars"), text, width, percent), "near-star-links")
-        known = stage_table(components(sure), "near-star-components")
-        posts = posts.join(known, "c", "left").select("c", "n", "val", F.coalesce("comp", "c").alias("g"))
-        posts = stage_table(posts, "near-grouped-lists")
+    grouped, known = posts.withColumn("g", F.col("c")), None
+    for turn in range(1 + ROUNDS):
+        stars = stage_table(_stars(grouped, turn, percent), "near-stars")
+        if not stars.limit(1).count():
+            break
+        sure = stage_table(confirm(docs, sets, stars, doc_id, text, width, percent), "near-star-links")
+        if not sure.limit(1).count():
+            break
+        edges = sure if known is None else sure.unionByName(
+            known.select(F.col("c").alias("a"), F.col("comp").alias("b")))
+        known = stage_table(components(edges), "near-star-components")
+        grouped = stage_table(posts.join(known, "c", "left")
+                              .select("c", "n", "val", "at", "held", F.coalesce("comp", "c").alias("g")), "near-groups")
+    posts = grouped
+    if known is not None:
         mixed = posts.groupBy("val").agg(F.min("g").alias("g1"), F.max("g").alias("g2"))
         posts = posts.join(mixed.where(F.col("g1") != F.col("g2")).select("val"), "val", "left_semi")
-    else:
-        posts = posts.select("c", "n", "val", F.col("c").alias("g"))
 
-    left = posts.select("val", F.col("c").alias("a"), F.col("n").alias("na"), F.col("g").alias("ga"))
-    right = posts.select("val", F.col("c").alias("b"), F.col("n").alias("nb"), F.col("g").alias("gb"))
-    pairs = (left.join(right, "val")
-             .where((F.col("a") < F.col("b")) & (F.col("ga") != F.col("gb")) & _near("na", "nb", percent))
-             .groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("shared")))
+    pairs = stage_table(_overlaps(posts, percent).distinct(), "near-overlaps")
+    one = sets.select(F.col("rid").alias("a"), F.col("vals").alias("va"))
+    two = sets.select(F.col("rid").alias("b"), F.col("vals").alias("vb"))
     # union sketch: what both sketches hold, and at most all that lies beyond one of them
     beyond = F.greatest(_kept("na", percent), _kept("nb", percent)) - 1
-    enough = (100 + percent) * (F.col("shared") + beyond) >= percent * (F.col("na") + F.col("nb"))
-    pairs = stage_table(pairs.where(enough).select("a", "b"), "near-pairs")
-    links = stage_table(confirm(docs, sets, pairs, text, width, percent), "near-links")
+    shared = F.size(F.array_intersect("va", "vb"))
+    pairs = stage_table(pairs.join(one, "a").join(two, "b").where(_reach(shared + beyond, percent))
+                        .select("a", "b"), "near-pairs")
+    links = stage_table(confirm(docs, sets, pairs, doc_id, text, width, percent), "near-links")
     if known is not None:
         links = links.unionByName(known.select(F.col("c").alias("a"), F.col("comp").alias("b")))
     return links
 
 
+def _stars(posts: DataFrame, turn: int, percent: int) -> DataFrame:
+    """(a, b): members a of the largest group of each long list with every
+    member b outside that group. At first, when each is a group of its own, a
+    is the one in most long lists; then several by a hash of theirs, which
+    picks the same ones in lists that hold much the same members."""
+    long = posts.where(F.col("held") > LONG_LIST)
+    if turn == 0:
+        often = long.groupBy("c").agg(F.count(F.lit(1)).alias("lists"))
+        pivots = (long.join(often, "c").groupBy("val").agg(F.max(F.struct("lists", "c")).alias("best"))
+                  .select("val", F.col("best.c").alias("a"), F.col("best.c").alias("top")))
+    else:
+        top = (long.groupBy("val", "g").agg(F.count(F.lit(1)).alias("n"), *[
+                   F.min(F.struct(F.xxhash64(F.lit(turn * PIVOTS + k), "c"), "c")).alias(f"p{k}")
+                   for k in range(PIVOTS)])
+               .groupBy("val").agg(F.max(F.struct("n", "g", *[F.col(f"p{k}.c").alias(f"c{k}")
+                                                              for k in range(PIVOTS)])).alias("best")))
+        pivots = top.select("val", F.col("best.g").alias("top"), F.explode(F.array_distinct(F.array(
+            *[F.col(f"best.c{k}") for k in range(PIVOTS)]))).alias("a"))
+    # a stands in the list itself, at its own place
+    own = posts.select("val", F.col("c").alias("a"), F.col("n").alias("na"), F.col("at").alias("pa"))
+    met = long.join(pivots, "val").where(F.col("g") != F.col("top"))
+    met = met.select("val", "a", F.col("c").alias("b"), F.col("n").alias("nb"), F.col("at").alias("pb"))
+    return met.join(own, ["val", "a"]).where(_first(percent)).select("a", "b").distinct()
+
+
+def _overlaps(posts: DataFrame, percent: int) -> DataFrame:
+    """(a, b, na, nb) for each list that both are in, in different groups, at
+    places that the first of a similar pair's common values can have."""
+    left = posts.select("val", F.col("c").alias("a"), F.col("n").alias("na"), F.col("at").alias("pa"), F.col("g").alias("ga"))
+    right = posts.select("val", F.col("c").alias("b"), F.col("n").alias("nb"), F.col("at").alias("pb"), F.col("g").alias("gb"))
+    return (left.join(right, "val").where((F.col("a") < F.col("b")) & (F.col("ga") != F.col("gb")) & _first(percent))
+            .select("a", "b", "na", "nb"))
+
+
+def _reach(overlap, percent: int):
+    """Whether an overlap makes sets of na and nb similar."""
+    return (100 + percent) * overlap >= percent * (F.col("na") + F.col("nb"))
+
+
+def _first(percent: int):
+    """Whether enough of both sets stands from their places on."""
+    return _reach(F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")), percent)
+
+
 def _kept(n: str, percent: int):
     """ceil(n * percent / 100) in whole numbers."""
     return F.floor((F.col(n) * percent + 99) / 100)
 
 
-def _near(a: str, b: str, percent: int):
-    """Sizes that allow the similarity."""
-    return 100 * F.least(a, b) >= percent * F.greatest(a, b)
-
-
 def near_groups(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", width: int = 5,
                 percent: int = 80) -> DataFrame:
     """One row per input row: id, th, n_shingles, component_id, kept."""
@@ -323,7 +374,7 @@ def near_groups(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     copies = stage_table(rows.where(F.col("n") > 0).select("rid", "s1").join(classes.select("rid"), "rid", "left_anti")
                          .select("rid"), "near-copies")
     sets = join_bounded(rows.where(F.col("n") > 0), copies, ["rid"], "left_anti", SMALL_ROWS)
-    comp = components(link_sets(docs, sets, text, width, percent))
+    comp = components(link_sets(docs, sets, doc_id, text, width, percent))
     named = stage_table(classes.join(comp.withColumnRenamed("c", "rid"), "rid", "left")
                         .select("s1", "i", F.coalesce("comp", "rid").alias("comp")), "near-components")
     best = named.groupBy("comp").agg(F.min("i").alias("component_id"))

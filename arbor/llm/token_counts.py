@@ -21,6 +21,7 @@ import hashlib
 import json
 import os
 from collections.abc import Iterator
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -28,10 +29,11 @@ from pyspark.sql import functions as F
 
 from arbor.llm.common import load, shared_path, ship_code, slices, stage_table
 
-#: Texts are encoded in pieces of about this length, cut after white space,
-#: where the tokenizer drops white space (its words never span a cut).
-PIECE_CHARS = 1 << 18
+#: Pieces between spaces whose counts a worker remembers; emptied when full.
+MEMORY = 500_000
 CACHE_SCHEMA = "content string, tokenizer string, n_tokens long"
+#: Tokenizers that a worker process has loaded.
+_COUNTERS: dict = {}
 
 
 def tokenizer_digest(path: str) -> str:
@@ -72,16 +74,21 @@ def counter(path: str, squeeze: bool):
         tok.no_truncation()
         tok.no_padding()
 
+        def encode(texts: list[str]) -> list[int]:
+            return [len(e) for e in tok.encode_batch_fast(texts, add_special_tokens=False)]
+
+        if not squeeze:
+            return encode
+        known: dict[str, int] = {}
+
         def count(texts: list[str]) -> list[int]:
-            pieces, owner = [], []
-            for k, t in enumerate(texts):
-                for piece in (_pieces(t) if squeeze else [t]):
-                    pieces.append(piece)
-                    owner.append(k)
-            out = [0] * len(texts)
-            for k, e in zip(owner, tok.encode_batch_fast(pieces, add_special_tokens=False)):
-                out[k] += len(e)
-            return out
+            # no token spans a space, so a text's count is the sum of its pieces'
+            if len(known) > MEMORY:
+                known.clear()
+            pieces = [t.split(" ") for t in texts]
+            new = [p for p in dict.fromkeys(chain.from_iterable(pieces)) if p not in known]
+            known.update(zip(new, encode(new)))
+            return [sum(map(known.__getitem__, p)) for p in pieces]
     else:
         import sentencepiece
 
@@ -92,24 +99,14 @@ def counter(path: str, squeeze: bool):
     return count
 
 
-def _pieces(text: str) -> list[str]:
-    out, start = [], 0
-    while len(text) - start > PIECE_CHARS:
-        cut = text.find(" ", start + PIECE_CHARS)
-        if cut < 0:
-            break
-        out.append(text[start:cut])
-        start = cut + 1
-    out.append(text[start:])
-    return out
-
-
 def encode_misses(texts: DataFrame, tokenizer: str, digest: str, squeeze: bool) -> DataFrame:
     """(content, text) -> cache rows."""
     ship_code(texts.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = counter(tokenizer, squeeze)
+        if (tokenizer, squeeze) not in _COUNTERS:
+            _COUNTERS[tokenizer, squeeze] = counter(tokenizer, squeeze)
+        count = _COUNTERS[tokenizer, squeeze]
         for batch in slices(batches, "text", 1 << 20):
             n = count(batch.column("text").to_pylist())
             yield pa.RecordBatch.from_pydict({
