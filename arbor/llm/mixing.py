@@ -143,7 +143,7 @@ def plan(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source:
     goal = goal.withColumnRenamed("key", "k")
     return (_with(marks, goal)
             .select(F.col("i").alias(doc_id), F.col("key").alias(source), "size", "source_size", "target",
-                    (F.col("full") + F.col("taken").cast("long")).alias("repeats")))
+                    F.least(F.col("full") + F.col("taken").cast("long"), F.lit(max_repeats)).alias("repeats")))
 
 
 def _with(rows: DataFrame, by_source: DataFrame) -> DataFrame:
