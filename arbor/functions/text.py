@@ -93,8 +93,9 @@ _META = set("\\^$.|?*+()[]{}")
 def required_literal(pattern: str) -> str:
     """Longest run of plain characters that every match must contain, for
     patterns without alternation; '' when none can be proven."""
-    if "|" in pattern or "[" in pattern or "{" in pattern:
-        return ""
+    if "|" in pattern or "[" in pattern or "{" in pattern or ")?" in pattern or ")*" in pattern \
+            or "(?" in pattern:
+        return ""  # alternatives, classes, and groups that may be absent or are no text
     best, run, i = "", "", 0
     while i < len(pattern):
         ch = pattern[i]

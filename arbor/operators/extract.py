@@ -5,7 +5,8 @@ walk becomes regex extraction with built-in functions (no Python per row).
 HTML handling (what ``get_text(strip=True)`` does, in expressions):
 ``script``/``style`` blocks and comments are dropped first; the text of an
 element is its inner HTML with tags removed, whitespace next to a tag
-dropped, the five XML entities decoded, then stripped.
+dropped, common entities decoded, then stripped. Elements may span lines; a
+paragraph that is never closed ends at the next block tag or its parent's end.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from arbor.functions import text as T
@@ -21,17 +22,16 @@ from arbor.functions import text as T
 # The reference's page-link format and crawl cap.
 PAGE_LINK_FORMAT = "pagina-%d.htm"
 PAGE_CAP = 60
-# Marker of a "next page" control; a list page without it is the last one.
-NEXT_MARKER = 'class="next"'
-
 # Entity decoding applied to extracted text (ampersand last).
 ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"),
-            ("&nbsp;", " "), ("&amp;", "&")]
+            ("&apos;", "'"), ("&nbsp;", "\u00a0"), ("&copy;", "©"), ("&middot;", "·"), ("&euro;", "€"),
+            ("&ndash;", "–"), ("&mdash;", "—"), ("&hellip;", "…"), ("&amp;", "&")]
 
 NOISE_PATTERN = r"(?s)<script.*?</script>|<style.*?</style>|<!--.*?-->"
 TAG_PATTERN = r"\s*<[^>]*>\s*"
-LI_PATTERN = r"<li[^>]*>(.*?)</li>"
-UL_PATTERN = r"<ul[^>]*>(.*?)</ul>"
+LI_PATTERN = r"(?s)<li(?:\s[^>]*)?>(.*?)</li>"
+UL_PATTERN = r"(?s)<ul(?:\s[^>]*)?>(.*?)</ul>"
+BLOCK_EDGE = r"</?(?:p|div|article|section|main|body|header|footer|ul|ol|table|h[1-6])[\s>]"
 HREF_PATTERN = r"href=\"([^\"]*)\""
 PAGE_PARAM_PATTERN = r"[?&]page=(\d+)"
 SEED_PATTERN = r"^https?://[^/]+/([a-z]+)/"
@@ -80,33 +80,33 @@ def frontier(seed_df: DataFrame, cap: int = PAGE_CAP) -> DataFrame:
 
 
 # ------------------------------------------------------------------ list pages
-def list_pages(pages: DataFrame, next_marker: str = NEXT_MARKER) -> DataFrame:
+def list_pages(pages: DataFrame, next_marker: str | None = None) -> DataFrame:
     """Pages as list pages of a seed: seed, page index (``page=`` URL
-    parameter, default 1) and the last-page predicate."""
+    parameter, default 1) and the last-page predicate.
+
+    With ``next_marker`` (markup of a next-page control) a page without it is
+    a last one; else the seed's highest stored index is the last."""
     pidx = F.coalesce(F.regexp_extract("url", PAGE_PARAM_PATTERN, 1).try_cast("int"), F.lit(1))
-    return pages.select(
-        F.regexp_extract("url", SEED_PATTERN, 1).alias("neighborhood_id"),
-        "page_id", pidx.alias("page_index"),
-        (~F.contains(F.col("html"), F.lit(next_marker))).alias("is_last"),
-        "html")
-
-
-def crawl_pages(lp: DataFrame, cap: int = PAGE_CAP) -> DataFrame:
-    """``ext_last_page``: per seed, pages in (page_index, page_id) order up
-    to and including the first last page, at most ``cap`` of them.
-
-    The first last page per seed is a partial aggregate (one row per seed)
-    joined back; the cap is ``row_number() <= cap``, which Spark turns into a
-    per-task group limit before the shuffle, so a seed with a third of all
-    pages sends at most ``cap`` rows per task."""
-    order = F.struct("page_index", "page_id")
-    stop = (lp.filter("is_last").groupBy("neighborhood_id")
-            .agg(F.min(order).alias("_stop")))
-    j = lp.join(stop, "neighborhood_id", "left")
-    kept = j.filter(F.col("_stop").isNull() | (order <= F.col("_stop"))).drop("_stop")
-    w = Window.partitionBy("neighborhood_id").orderBy("page_index", "page_id")
-    return (kept.withColumn("page_rank", F.row_number().over(w))
-            .filter(F.col("page_rank") <= cap))
+    lp = pages.select(F.regexp_extract("url", SEED_PATTERN, 1).alias("neighborhood_id"),
+                      "page_id", pidx.alias("page_index"), "html")
+    if next_marker is not None:
+        return lp.withColumn("is_last", ~F.contains(F.col("html"), F.lit(next_marker)))
+    top = lp.groupBy("neighborhood_id").agg(F.max("page_index").alias("_top"))
+    return (lp.join(top, "neighborhood_id", "left")
+            .select("neighborhood_id", "page_id", "page_index",
+                    (F.col("page_index") == F.col("_top")).alias("is_last"), "html"))
+
+
+def crawl_pages(lp: DataFrame, cap: int | None = None) -> DataFrame:
+    """``ext_last_page``: per seed, the pages up to the first last page's
+    index, and of index ``cap`` at most where one is given (stored pages have
+    none; a live crawl's :func:`frontier` has).
+
+    The stop index is one row per seed, found from index and predicate alone."""
+    stop = (lp.where("is_last").groupBy("neighborhood_id").agg(F.min("page_index").alias("_stop")))
+    kept = (lp.join(stop, "neighborhood_id", "left")
+            .where(F.col("_stop").isNull() | (F.col("page_index") <= F.col("_stop"))).drop("_stop"))
+    return kept if cap is None else kept.where(F.col("page_index") <= cap)
 
 
 def page_items(lp: DataFrame) -> DataFrame:
@@ -131,9 +131,9 @@ class Field:
 # Record fields re-aimed to the fixture pages (h1 title, first paragraph);
 # the price element is optional and absent on them.
 RECORD_FIELDS = [
-    Field("title", r"<h1[^>]*>(.*?)</h1>"),
-    Field("description", r"<p[^>]*>(.*?)(?:</p>|<p[^>]*>)"),
-    Field("price", r"<span class=\"txt-bold\"[^>]*>(.*?)</span>", required=False),
+    Field("title", r"(?s)<h1(?:\s[^>]*)?>(.*?)</h1>"),
+    Field("description", r"(?s)<p(?:\s[^>]*)?>(.*?)(?:" + BLOCK_EDGE + ")"),
+    Field("price", r"(?s)<span class=\"txt-bold\"[^>]*>(.*?)</span>", required=False),
 ]
 
 

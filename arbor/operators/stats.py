@@ -35,19 +35,12 @@ def _r(c: Column, digits: int | None) -> Column:
 
 # ---------------------------------------------------------------- Pearson
 def _pearson_expr(x: Column, y: Column) -> Column:
-    """Moment-sum Pearson r over complete pairs, in double (R3), NULL when a
-    side is constant (R2 guard)."""
+    """Pearson r over complete pairs from centred moments (R3), NULL when a
+    side is constant (R2 guard, by its smallest and largest value)."""
     both = x.isNotNull() & y.isNotNull()
-    xd, yd = x.cast("double"), y.cast("double")
-    n = F.count_if(both).cast("double")
-    sx = F.sum(F.when(both, xd))
-    sy = F.sum(F.when(both, yd))
-    sxy = F.sum(F.when(both, xd * yd))
-    sxx = F.sum(F.when(both, xd * xd))
-    syy = F.sum(F.when(both, yd * yd))
-    num = n * sxy - sx * sy
-    den = F.sqrt(n * sxx - sx * sx) * F.sqrt(n * syy - sy * sy)
-    return F.try_divide(num, F.when(den != 0, den))
+    xd, yd = F.when(both, x.cast("double")), F.when(both, y.cast("double"))
+    varies = (F.min(xd) < F.max(xd)) & (F.min(yd) < F.max(yd))
+    return F.when(varies, F.try_divide(F.covar_pop(xd, yd), F.stddev_pop(xd) * F.stddev_pop(yd)))
 
 
 def pearson(df: DataFrame, pairs: Sequence[tuple[str, str]],

@@ -7,8 +7,8 @@ duplicated id), each operator here has an aggregate form with partial
 skew join splits a hot key on the large side of that join.
 
 * ``lead_change``: the literal window (LEAD over a per-entity history).
-* ``lead_change_ranged``: the same LEAD over range partitions, balanced
-  when one entity holds a large share of the rows.
+* ``lead_change_bucketed``: the same LEAD with histories cut by a value,
+  balanced when one entity holds a large share of the rows.
 * ``mean_change``: the same per-entity mean change without a window: the
   changes telescope, so mean = (last - first) / (n - 1).
 * ``rank_by``: RANK / DENSE_RANK from counts per distinct (key, value):
@@ -40,49 +40,36 @@ def lead_change(df: DataFrame, part: Sequence[str], order: Sequence[str],
                            change_name: nxt - F.col(value).cast("int")})
 
 
-def lead_change_ranged(df: DataFrame, part: Sequence[str], order: Sequence[str],
-                       value: str, next_name: str, change_name: str,
-                       partitions: int | None = None) -> DataFrame:
+def lead_change_bucketed(df: DataFrame, part: Sequence[str], order: Sequence[str], bucket: Column,
+                         value: str, next_name: str, change_name: str) -> DataFrame:
     """LEAD per entity that stays balanced when one entity holds a large
     share of the rows.
 
-    1. ``repartitionByRange`` on (part, order): Spark samples the sort keys,
-       so a hot entity is cut into several ranges of similar size.
-    2. LEAD inside each range partition (window keyed by the partition id:
-       every task holds one balanced range).
-    3. The last row of a range takes its successor from the first row of
-       the next non-empty range: a table with one row per partition
-       (bounded by the partition count), so the patch is a small join.
-
-    Same result as :func:`lead_change` when ``order`` ends in a unique
-    tie-break."""
-    spark = df.sparkSession
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    keys = list(part) + list(order)
-    v = F.col(value).cast("int")
-    ranged = (df.repartitionByRange(n, *keys)
-              .withColumn("_pid", F.spark_partition_id())
-              .withColumn("_v", v))
-    w = Window.partitionBy("_pid").orderBy(*keys)
-    own_key = F.struct(*[F.col(p) for p in part])
-    local = ranged.select(
-        "*",
-        F.lead(own_key, 1).over(w).alias("_np"),
-        F.lead("_v", 1).over(w).alias("_nv"),
-        F.row_number().over(w).alias("_rn"))
-    # first row of every range, from the same window pass
-    firsts = local.filter(F.col("_rn") == 1).select(
-        "_pid", F.struct(own_key.alias("k"), F.col("_v").alias("v")).alias("_first"))
-    # successor range of each partition: the next non-empty partition
-    # (one row per partition; a tiny single-task window)
-    succ = firsts.select(
-        "_pid", F.lead("_first", 1).over(Window.orderBy("_pid")).alias("_succ"))
-    own = F.struct(*[F.col(p) for p in part])
-    j = local.join(succ, "_pid", "left")
-    nxt = (F.when(F.col("_np").isNotNull(), F.when(F.col("_np") == own, F.col("_nv")))
-           .otherwise(F.when(F.col("_succ.k") == own, F.col("_succ.v"))))
-    out = j.withColumn(next_name, nxt).withColumn(change_name, F.col(next_name) - F.col("_v"))
-    return out.drop("_pid", "_v", "_np", "_nv", "_rn", "_succ")
+    ``bucket`` cuts an entity's history by value, in the order of ``order``
+    (a period of the date, say), so a hot entity is many window partitions:
+
+    1. LEAD inside each (entity, bucket).
+    2. The first row of each (entity, bucket), by partial aggregation, and
+       from it the first row of the entity's next bucket: a window over one
+       row per bucket.
+    3. The last row of a bucket takes its successor from there.
+
+    Nothing depends on how Spark deals the rows out, so retried tasks and
+    repeated plans agree. Same result as :func:`lead_change` when ``order``
+    ends in a unique tie-break."""
+    keys = [*part, "_bucket"]
+    rows = df.withColumn("_bucket", bucket).withColumn("_v", F.col(value).cast("int"))
+    inside = Window.partitionBy(*keys).orderBy(*order)
+    local = rows.withColumn("_next", F.lead(F.struct("_v")).over(inside))
+    first = rows.groupBy(*keys).agg(F.min_by(F.struct("_v"), F.struct(*order)).alias("_first"))
+    succ = first.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)],
+                        F.lead("_first").over(Window.partitionBy(*part).orderBy("_bucket")).alias("_succ"))
+    same = F.lit(True)
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    nxt = F.coalesce("_next", "_succ")["_v"]
+    return (local.join(succ, same, "left").withColumns({next_name: nxt, change_name: nxt - F.col("_v")})
+            .select(*df.columns, next_name, change_name))
 
 
 def mean_change(df: DataFrame, key: Sequence[str], order: Sequence[str],

@@ -23,7 +23,7 @@ def crawl_pages(spark, sf):
 
 
 def crawl_items(spark, sf):
-    """Item ids of every list page the crawl visits (stop rule + cap)."""
+    """Item ids of every list page up to the last one of its seed."""
     return X.page_items(X.crawl_pages(X.list_pages(_pages(spark, sf))))
 
 

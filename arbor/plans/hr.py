@@ -78,11 +78,12 @@ def hr_satisfaction_trend(spark, sf):
 
 def win_lead_diff(spark, sf):
     """Per review: next job satisfaction of the same employee and the
-    change to it (LEAD over range partitions, balanced under a hot
-    employee)."""
+    change to it (LEAD inside quarters, so that a hot employee is many
+    window partitions)."""
     r = review(spark, sf).select("EmployeeID", "ReviewID", "ReviewDate", "JobSatisfaction")
-    return W.lead_change_ranged(r, ["EmployeeID"], ["ReviewDate", "ReviewID"], "JobSatisfaction",
-                                "NextJobSatisfaction", "SatisfactionChange")
+    return W.lead_change_bucketed(r, ["EmployeeID"], ["ReviewDate", "ReviewID"],
+                                  F.date_trunc("quarter", "ReviewDate"), "JobSatisfaction",
+                                  "NextJobSatisfaction", "SatisfactionChange")
 
 
 def hr_distance_by_attrition(spark, sf):

@@ -2,47 +2,57 @@
 
 from __future__ import annotations
 
-from arbor.operators import extract as X
 from arbor.plans import listings as L
 from arbor.plans.oracle_listings import chain, long_cols, q, short_cols, with_listing
 
-SEED = f"regexp_extract(url, {q(X.SEED_PATTERN)}, 1)"
-BODY = f"regexp_replace(html, {q(X.NOISE_PATTERN)}, '', 'g')"
+# Patterns and constants of these texts are their own, not the operators'.
+LI = r"(?s)<li(?:\s[^>]*)?>(.*?)</li>"
+UL = r"(?s)<ul(?:\s[^>]*)?>(.*?)</ul>"
+FIELDS = {
+    "title": r"(?s)<h1(?:\s[^>]*)?>(.*?)</h1>",
+    "description": r"(?s)<p(?:\s[^>]*)?>(.*?)</?(?:p|div|article|section|main|body|header|footer|ul|ol|table"
+                   r"|h[1-6])[\s>]",
+    "price": r'(?s)<span class="txt-bold"[^>]*>(.*?)</span>',
+}
+REQUIRED = ("title", "description")
+ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&nbsp;", "\u00a0"),
+            ("&copy;", "©"), ("&middot;", "·"), ("&euro;", "€"), ("&ndash;", "–"), ("&mdash;", "—"),
+            ("&hellip;", "…"), ("&amp;", "&")]
+SEED = r"regexp_extract(url, '^https?://[^/]+/([a-z]+)/', 1)"
+BODY = r"regexp_replace(html, '(?s)<script.*?</script>|<style.*?</style>|<!--.*?-->', '', 'g')"
 
 
 def text_of(inner: str) -> str:
-    no_tags = f"regexp_replace({inner}, {q(X.TAG_PATTERN)}, '', 'g')"
-    return f"regexp_replace({chain(no_tags, X.ENTITIES)}, '^\\s+|\\s+$', '', 'g')"
+    no_tags = rf"regexp_replace({inner}, '\s*<[^>]*>\s*', '', 'g')"
+    return f"regexp_replace({chain(no_tags, ENTITIES)}, '^\\s+|\\s+$', '', 'g')"
 
 
 def first(expr: str, pattern: str) -> str:
     return f"NULLIF(regexp_extract({expr}, {q(pattern)}, 1), '')"
 
 
-LP = f"""lp AS (SELECT {SEED} AS neighborhood_id, page_id,
-  coalesce(TRY_CAST(NULLIF(regexp_extract(url, {q(X.PAGE_PARAM_PATTERN)}, 1), '') AS INTEGER), 1) AS page_index,
-  NOT contains(html, {q(X.NEXT_MARKER)}) AS is_last, html FROM pages),
-ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY neighborhood_id ORDER BY page_index, page_id) AS INTEGER) AS page_rank
-  FROM lp),
-kept AS (SELECT r.* FROM ranked r LEFT JOIN (SELECT neighborhood_id, min(page_rank) AS stop_rank
-  FROM ranked WHERE is_last GROUP BY neighborhood_id) s ON r.neighborhood_id = s.neighborhood_id
-  WHERE (s.stop_rank IS NULL OR r.page_rank <= s.stop_rank) AND r.page_rank <= {X.PAGE_CAP})"""
+LP = rf"""lp0 AS (SELECT {SEED} AS neighborhood_id, page_id,
+  coalesce(TRY_CAST(NULLIF(regexp_extract(url, '[?&]page=(\d+)', 1), '') AS INTEGER), 1) AS page_index, html FROM pages),
+lp AS (SELECT neighborhood_id, page_id, page_index,
+  page_index = max(page_index) OVER (PARTITION BY neighborhood_id) AS is_last, html FROM lp0),
+kept AS (SELECT * FROM lp QUALIFY page_index <= coalesce(
+  min(page_index) FILTER (is_last) OVER (PARTITION BY neighborhood_id), page_index))"""
 
 
 def items_sql(src: str) -> str:
     return f"""SELECT neighborhood_id, page_id, CAST(pos AS INTEGER) AS item_pos,
-  {first('lis[pos + 1]', X.HREF_PATTERN)} AS property_id, {text_of('lis[pos + 1]')} AS item_text
+  {first('lis[pos + 1]', 'href="([^"]*)"')} AS property_id, {text_of('lis[pos + 1]')} AS item_text
 FROM (SELECT *, unnest(range(len(lis))) AS pos FROM (
-  SELECT neighborhood_id, page_id, regexp_extract_all({BODY}, {q(X.LI_PATTERN)}, 1) AS lis FROM {src}) a) b"""
+  SELECT neighborhood_id, page_id, regexp_extract_all({BODY}, {q(LI)}, 1) AS lis FROM {src}) a) b"""
 
 
 def _records_cte() -> str:
-    cols = {f.name: text_of(first(BODY, f.pattern)) for f in X.RECORD_FIELDS}
-    nested = (f"list_transform(regexp_extract_all({BODY}, {q(X.UL_PATTERN)}, 1), lambda ul: "
-              f"list_transform(regexp_extract_all(ul, {q(X.LI_PATTERN)}, 1), lambda li: {text_of('li')}))")
+    cols = {name: text_of(first(BODY, pattern)) for name, pattern in FIELDS.items()}
+    nested = (f"list_transform(regexp_extract_all({BODY}, {q(UL)}, 1), lambda ul: "
+              f"list_transform(regexp_extract_all(ul, {q(LI)}, 1), lambda li: {text_of('li')}))")
     missing = "concat_ws(',', " + ", ".join(
-        f"CASE WHEN {cols[f.name]} IS NULL OR {cols[f.name]} = '' THEN {q(f.name)} END"
-        for f in X.RECORD_FIELDS if f.required) + ")"
+        f"CASE WHEN {cols[name]} IS NULL OR {cols[name]} = '' THEN {q(name)} END"
+        for name in REQUIRED) + ")"
     sel = ", ".join(f"{v} AS {k}" for k, v in cols.items())
     return f"""rec AS (SELECT page_id AS id, url, {SEED} AS neighborhood, {sel},
   {nested} AS features, flatten({nested}) AS info_features, {missing} AS missing FROM pages)"""
@@ -54,13 +64,13 @@ ORACLE = {
     "ext_frontier": f"""
 WITH seeds AS (SELECT DISTINCT {SEED} AS neighborhood_id FROM pages WHERE {SEED} <> '')
 SELECT neighborhood_id, CAST(i AS INTEGER) AS page_index,
-  '/' || neighborhood_id || '/' || printf({q(X.PAGE_LINK_FORMAT)}, i) AS page_link
-FROM (SELECT neighborhood_id, unnest(range(1, {X.PAGE_CAP + 1})) AS i FROM seeds)""",
-    "crawl_pages": f"WITH {LP}\nSELECT neighborhood_id, page_id, page_index, is_last, page_rank FROM kept",
+  '/' || neighborhood_id || '/' || printf('pagina-%d.htm', i) AS page_link
+FROM (SELECT neighborhood_id, unnest(range(1, 61)) AS i FROM seeds)""",
+    "crawl_pages": f"WITH {LP}\nSELECT neighborhood_id, page_id, page_index, is_last FROM kept",
     "crawl_items": f"WITH {LP}\n{items_sql('kept')}",
     "ext_items": f"WITH {LP}\n{items_sql('lp')}",
     "crawl_records": f"""WITH {_records_cte()}
-SELECT id, neighborhood, {', '.join(f.name for f in X.RECORD_FIELDS)}, features, info_features
+SELECT id, neighborhood, {', '.join(FIELDS)}, features, info_features
 FROM rec WHERE missing = ''""",
     "ext_error_rows": f"""WITH {_records_cte()}
 SELECT id, url AS page_link, 'missing: ' || missing AS error FROM rec WHERE missing <> ''""",

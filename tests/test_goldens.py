@@ -144,6 +144,27 @@ def test_decimal_comma_vs_thousands(spark):
 
 
 @pytest.mark.parametrize("pattern,literal", [(r"(\d* bedroom)", " bedroom"),
-                                             (r"(a|b)", ""), (RU.FLOOR_PATTERN, " floor")])
+                                             (r"(a|b)", ""), (r"((?:abc)?\d+)", ""), (r"(abc)?d", ""),
+                                             (r"(abc)*def", ""), (RU.FLOOR_PATTERN, " floor")])
 def test_required_literal(pattern, literal):
     assert T.required_literal(pattern) == literal
+
+
+def test_pearson_of_constant_and_large_values(spark):
+    from arbor.operators import stats as S
+    df = spark.range(1000).selectExpr("0.1D AS a", "id % 7 + 2.0e9D AS b", "id % 7 * 3.0D AS c")
+    got = {(r["col_a"], r["col_b"]): r["r"] for r in S.corr_matrix(df, ["a", "b", "c"]).collect()}
+    assert got["a", "b"] is None and got["a", "a"] is None
+    assert got["b", "c"] == pytest.approx(1.0) and got["b", "b"] == pytest.approx(1.0)
+
+
+def test_records_over_lines_and_unclosed_paragraphs(spark):
+    from arbor.operators import extract as X
+    html = ("<html><link rel=x><article><h1>Two\nlines</h1><picture></picture><p class=a>first\npart &copy; x"
+            "<br></article><ul class=b>\n<li>one\ntwo</li>\n<li >three</li>\n</ul></html>")
+    pages = spark.createDataFrame([(1, "http://h.example.com/en/1", html)], "page_id long, url string, html string")
+    r = X.records(pages).collect()[0]
+    assert r["description"].replace("\n", " ") == "first part \u00a9 x" and r["title"] == "Two\nlines"
+    assert r["features"] == [["one\ntwo", "three"]]
+    assert X.error_rows(pages).count() == 0
+    assert X.page_items(X.list_pages(pages)).count() == 2

@@ -2,6 +2,8 @@
 
 from pyspark.sql import functions as F
 
+import pytest
+
 from arbor.operators import extract as X
 from arbor.operators import stats as S
 from arbor.operators import windows as W
@@ -60,22 +62,38 @@ def test_records_plus_rejects_cover_pages(spark):
     assert X.records(pages).count() + X.error_rows(pages).count() == pages.count()
 
 
-def test_crawl_keeps_prefix_up_to_last_page(spark):
-    kept = X.crawl_pages(X.list_pages(load(spark, SF_SMALL, "pages")))
-    per_seed = kept.groupBy("neighborhood_id").agg(F.max("page_rank").alias("m"),
-                                                   F.count_if("is_last").alias("lasts"))
-    for r in per_seed.collect():
-        assert r["lasts"] <= 1 and r["m"] <= X.PAGE_CAP
+def test_crawl_reads_all_pages_up_to_the_last(spark):
+    rows = [(k, f"http://h.example.com/en/{k}?page={p}", html) for k, (p, html) in enumerate(
+        [(1, '<li class="next">'), (2, "<p>"), (3, '<li class="next">'), (70, "<p>")])]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    read = lambda **o: sorted(r.page_index for r in X.crawl_pages(X.list_pages(pages, **o)).collect())
+    assert read() == [1, 2, 3, 70]
+    assert read(next_marker='<li class="next"') == [1, 2]
+    capped = X.crawl_pages(X.list_pages(pages), cap=60).collect()
+    assert sorted(r.page_index for r in capped) == [1, 2, 3]
+    assert [r.is_last for r in X.list_pages(pages).orderBy("page_index").collect()] == [False] * 3 + [True]
+    stored = load(spark, SF_SMALL, "pages")
+    assert X.crawl_pages(X.list_pages(stored)).count() == stored.count()
 
 
-def test_ranged_lead_equals_window_lead_under_skew(spark):
+@pytest.mark.parametrize("partitions", [16, 64])
+def test_bucketed_lead_equals_window_lead_under_skew(spark, partitions):
+    """At sf0.1, on a wide frame, without exchange reuse, with a hot employee."""
     from pyspark.sql import functions as F
-    r = review(spark, SF_SMALL).select("EmployeeID", "ReviewID", "ReviewDate", "JobSatisfaction")
-    # make one employee hold about a third of all reviews
+    r = review(spark, "/root/testdata/sf0.1")
     hot = r.withColumn("EmployeeID", F.when(F.col("ReviewID") % 3 == 0, F.lit(-1))
-                       .otherwise(F.col("EmployeeID")))
-    a = W.lead_change(hot, ["EmployeeID"], ["ReviewDate", "ReviewID"], "JobSatisfaction", "n", "c")
-    b = W.lead_change_ranged(hot, ["EmployeeID"], ["ReviewDate", "ReviewID"], "JobSatisfaction",
-                             "n", "c", partitions=7)
-    assert a.count() == b.count()
-    assert a.exceptAll(b.select(*a.columns)).count() == 0
+                       .otherwise(F.col("EmployeeID"))).withColumn("more", F.col("ReviewID") + 1)
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.exchange.reuse", "spark.sql.shuffle.partitions")}
+    spark.conf.set("spark.sql.exchange.reuse", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", str(partitions))
+    try:
+        for df in (r, hot):
+            a = W.lead_change(df, ["EmployeeID"], ["ReviewDate", "ReviewID"], "JobSatisfaction", "n", "c")
+            b = W.lead_change_bucketed(df, ["EmployeeID"], ["ReviewDate", "ReviewID"],
+                                       F.date_trunc("quarter", "ReviewDate"), "JobSatisfaction", "n", "c")
+            key = ["EmployeeID", "ReviewID", "n", "c"]
+            assert a.count() == b.count()
+            assert a.select(*key).exceptAll(b.select(*key)).count() == 0
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
