@@ -77,26 +77,37 @@ def read_turns(formatted: str) -> list[tuple[str, str]]:
 # ----------------------------------------------------------------- trees
 def ancestors(nodes: DataFrame) -> tuple[list[DataFrame], DataFrame]:
     """(tree, node, parent, score) -> tables of the 2^k-th ancestor for each
-    k, and (tree, node, depth, total) of the nodes that reach a root."""
+    k, and (tree, node, depth, total) of the nodes that reach a root.
+
+    A node whose pointer is at its root is done and joins no more: the k-th
+    table holds only the nodes still open after k rounds, and done nodes are
+    looked up only in trees that have open ones. So a node of depth d is joined
+    about log2(d) times, however deep other trees are."""
     known = nodes.select("tree", F.col("node").alias("parent"), F.lit(True).alias("there"))
     first = (nodes.join(known, ["tree", "parent"], "left")
              .select("tree", "node", F.when(F.col("there"), F.col("parent")).alias("up"),
                      F.col("score").cast("double").alias("total"), F.lit(1).cast("long").alias("depth")))
     tables = [stage_table(first, "reply-parents")]
+    done = tables[0].where(F.col("up").isNull())
     limit = max(1, tables[0].count()).bit_length()  # beyond it, only cycles are left
+    ends = tables[0]  # what pointers may meet: open nodes, and done ones of their trees
     while len(tables) <= limit:
-        now = tables[-1]
-        if now.where(F.col("up").isNotNull()).limit(1).count() == 0:
+        now = tables[-1].where(F.col("up").isNotNull())
+        if now.limit(1).count() == 0:
             break
-        up = now.select("tree", F.col("node").alias("up"), F.col("up").alias("up2"),
-                        F.col("total").alias("total2"), F.col("depth").alias("depth2"))
+        up = ends.select("tree", F.col("node").alias("up"), F.col("up").alias("up2"),
+                         F.col("total").alias("total2"), F.col("depth").alias("depth2"))
         tables.append(stage_table(
-            now.join(up, ["tree", "up"], "left")
-            .select("tree", "node", F.col("up2").alias("up"),
-                    (F.col("total") + F.coalesce("total2", F.lit(0.0))).alias("total"),
-                    (F.col("depth") + F.coalesce("depth2", F.lit(0))).alias("depth")),
+            now.join(up, ["tree", "up"])
+            .select("tree", "node", F.col("up2").alias("up"), (F.col("total") + F.col("total2")).alias("total"),
+                    (F.col("depth") + F.col("depth2")).alias("depth")),
             f"reply-ancestors-{len(tables)}"))
-    return tables, tables[-1].where(F.col("up").isNull()).select("tree", "node", "depth", "total")
+        moved = tables[-1]
+        done = done.unionByName(moved.where(F.col("up").isNull()))
+        open_trees = moved.where(F.col("up").isNotNull()).select("tree").distinct()
+        ends = stage_table(ends.where(F.col("up").isNull()).unionByName(moved).join(open_trees, "tree", "left_semi"),
+                           f"reply-ends-{len(tables)}")
+    return tables, done.select("tree", "node", "depth", "total")
 
 
 def paths(nodes: DataFrame, top: int | None = None) -> DataFrame:
