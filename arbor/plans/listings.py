@@ -157,7 +157,7 @@ def re_empirical_rule(spark, sf):
 
 
 def re_price_kde(spark, sf):
-    return S.kde(_with_log(analysis_listing(spark, sf)), PRICE_BINS)
+    return S.kde(_with_log(analysis_listing(spark, sf)), list(PRICE_BINS))
 
 
 def re_characteristics_hist(spark, sf):
@@ -165,7 +165,7 @@ def re_characteristics_hist(spark, sf):
 
 
 def re_characteristics_kde(spark, sf):
-    return S.kde(analysis_listing(spark, sf), {c: CHARACTERISTIC_BINS[c] for c in KDE_COLUMNS})
+    return S.kde(analysis_listing(spark, sf), KDE_COLUMNS)
 
 
 def re_feature_counts(spark, sf):

@@ -192,16 +192,12 @@ KDE_SELECT = """SELECT series, point, round(x, 6) AS x, round(sum(d), 12) AS den
 FROM dens GROUP BY series, point, x"""
 
 
-def kde_ctes(table: str, cols, grid: int = 200, fine_bins: int = 100) -> str:
-    spec = {c: fine_bins for c in cols}
-    return f"""{hist_ctes(table, spec, 'k')},
+def kde_ctes(table: str, cols, grid: int = 200) -> str:
+    return f"""k_lv AS (SELECT * FROM ({unpivot(table, list(cols))}) x WHERE value IS NOT NULL),
 mom AS (SELECT series, COUNT(*) AS n, stddev_samp(value) * pow(CAST(COUNT(*) AS DOUBLE), -0.2) AS bw,
-  min(value) AS mn, max(value) AS mx FROM k_lv GROUP BY series),
-centres AS (SELECT h.series, (h.lo_raw + h.hi_raw) / 2 AS c, h.count FROM (
-  SELECT g.series, g.lo + g.bin * ((g.hi - g.lo) / g.nbins) AS lo_raw,
-    CASE WHEN g.bin = g.nbins - 1 THEN g.hi ELSE g.lo + (g.bin + 1) * ((g.hi - g.lo) / g.nbins) END AS hi_raw,
-    coalesce(c.cnt, 0) AS count
-  FROM k_grid g LEFT JOIN k_counts c ON g.series = c.series AND g.bin = c.bin) h WHERE h.count > 0),
+  min(value) AS mn, max(value) AS mx FROM k_lv GROUP BY series HAVING min(value) < max(value)),
+centres AS (SELECT v.series, (floor(v.value / pow(2.0, floor(log2(m.bw / 4)))) + 0.5) * pow(2.0, floor(log2(m.bw / 4))) AS c,
+  COUNT(*) AS count FROM k_lv v JOIN mom m ON v.series = m.series GROUP BY 1, 2),
 pts AS (SELECT c.series, c.c, c.count, m.n, m.bw, m.mn, m.mx, unnest(range(0, {grid})) AS point
   FROM centres c JOIN mom m ON c.series = m.series),
 dens AS (SELECT series, CAST(point AS INTEGER) AS point, mn + point * (mx - mn) / {grid - 1} AS x,

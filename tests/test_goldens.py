@@ -168,3 +168,15 @@ def test_records_over_lines_and_unclosed_paragraphs(spark):
     assert r["features"] == [["one\ntwo", "three"]]
     assert X.error_rows(pages).count() == 0
     assert X.page_items(X.list_pages(pages)).count() == 2
+
+
+def test_kde_against_exact_sum(spark):
+    # heavy tail: bandwidth far below a hundredth of the range; a constant column gives no rows
+    import numpy as np
+    v = np.random.default_rng(3).lognormal(0, 2, 20000)
+    df = spark.createDataFrame([(float(x), 0.1) for x in v], "v double, flat double")
+    got = sorted(S.kde(df, ["v", "flat"], digits=None).collect(), key=lambda r: r["point"])
+    assert {r["series"] for r in got} == {"v"} and len(got) == 200
+    bw = v.std(ddof=1) * len(v) ** -0.2
+    exact = np.array([np.exp(-0.5 * ((r["x"] - v) / bw) ** 2).sum() for r in got]) / (len(v) * bw * np.sqrt(2 * np.pi))
+    assert np.abs(np.array([r["density"] for r in got]) - exact).max() < 0.01 * exact.max()
