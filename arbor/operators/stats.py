@@ -177,13 +177,14 @@ def bool_counts(df: DataFrame, flags: Sequence[str]) -> DataFrame:
 
 
 # ---------------------------------------------------------------- histograms
-def _bounds(lv: DataFrame, bins: DataFrame) -> DataFrame:
+def _bounds(lv: DataFrame, spec: dict[str, int]) -> DataFrame:
     """Per series: numpy edges range, [min, max] (or +-0.5 if constant)."""
     mm = lv.groupBy("series").agg(F.min("value").alias("_mn"),
                                   F.max("value").alias("_mx"))
     same = F.col("_mn") == F.col("_mx")
-    return mm.join(bins, "series", "inner").select(
-        "series", "nbins",
+    bins = F.create_map(*[F.lit(x) for k, v in spec.items() for x in (k, int(v))])
+    return mm.select(
+        "series", F.element_at(bins, F.col("series")).alias("nbins"),
         F.when(same, F.col("_mn") - 0.5).otherwise(F.col("_mn")).alias("lo"),
         F.when(same, F.col("_mx") + 0.5).otherwise(F.col("_mx")).alias("hi"))
 
@@ -193,18 +194,16 @@ def histograms(df: DataFrame, spec: dict[str, int], digits: int | None = DIGITS)
     last bin closed on the right (numpy, R10). Empty bins are listed with
     count 0. Long form: series, bin, lo, hi, count.
 
-    One scan for all columns: unpivot -> join the per-series bounds (one
-    row per series) -> bin index -> ``groupBy(series, bin)`` (partial
-    aggregation, so at most ``bins`` rows per series leave each task)."""
-    spark = df.sparkSession
-    bins = spark.createDataFrame([(k, int(v)) for k, v in spec.items()],
-                                 "series string, nbins int")
+    Unpivot -> broadcast of the per-series bounds (one row per column of
+    ``spec``, a bound by construction) -> bin index -> ``groupBy(series,
+    bin)`` (partial aggregation, so at most ``bins`` rows per series leave
+    each task; raw rows are not shuffled)."""
     lv = long_values(df, list(spec)).filter(F.col("value").isNotNull())
-    bounds = _bounds(lv, bins)
+    bounds = _bounds(lv, spec)
     width = (F.col("hi") - F.col("lo")) / F.col("nbins")
     idx = F.least(F.floor((F.col("value") - F.col("lo")) / width).cast("int"),
                   F.col("nbins") - 1)
-    counts = (lv.join(bounds, "series", "inner")
+    counts = (lv.join(F.broadcast(bounds), "series", "inner")
                 .select("series", idx.alias("bin"))
                 .groupBy("series", "bin").agg(F.count(F.lit(1)).alias("count")))
     grid = bounds.select("series", "lo", "hi", "nbins",
@@ -263,25 +262,29 @@ def box_stats(df: DataFrame, group_cols: Sequence[str], value: str,
     """``agg_box_stats``: Tukey box per group: n, q1, median, q3, whiskers
     (most extreme values within 1.5 IQR), outlier count.
 
-    Quartiles come from :func:`quantiles`; the stats table (one row per
-    group) joins back on the group key, and the whisker pass is one more
-    partial aggregation."""
-    base = df.select(*group_cols, F.col(value).cast("double").alias("_v")).filter(
-        F.col("_v").isNotNull())
+    Raw rows are combined before the shuffle to one ``(group, value, count)``
+    row each, split by value; quartiles, whiskers and outliers all come from
+    that table, joined with one row of quartiles per group."""
+    v, w = F.col("_v"), F.col("_w")
+    base = df.select(*group_cols, F.col(value).cast("double").alias("_v")).where(v.isNotNull())
     for g in group_cols:
-        base = base.filter(F.col(g).isNotNull())
-    q = quantiles(base, group_cols, "_v", [0.25, 0.5, 0.75], method)
+        base = base.where(F.col(g).isNotNull())
+    counted = base.groupBy(*group_cols, "_v").agg(F.count(F.lit(1)).alias("_w"))
+    if method == "approx":
+        q = quantiles(base, group_cols, "_v", [0.25, 0.5, 0.75], method)
+    else:
+        parr = F.array(*[F.lit(p) for p in (0.25, 0.5, 0.75)])
+        q = counted.groupBy(*group_cols).agg(F.percentile(v, parr, w).alias("_q"))
+        q = q.select(*group_cols, *[F.col("_q")[i].alias(f"q{i}") for i in range(3)])
     q = q.select(*group_cols, F.col("q0").alias("q1"), F.col("q1").alias("median"),
                  F.col("q2").alias("q3"))
     iqr = F.col("q3") - F.col("q1")
-    lo_f, hi_f = F.col("q1") - 1.5 * iqr, F.col("q3") + 1.5 * iqr
-    inside = (F.col("_v") >= lo_f) & (F.col("_v") <= hi_f)
-    j = base.join(q, list(group_cols), "inner")
-    agg = j.groupBy(*group_cols, "q1", "median", "q3").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.min(F.when(inside, F.col("_v"))).alias("whisker_lo"),
-        F.max(F.when(inside, F.col("_v"))).alias("whisker_hi"),
-        F.count_if(~inside).alias("outliers"),
+    inside = (v >= F.col("q1") - 1.5 * iqr) & (v <= F.col("q3") + 1.5 * iqr)
+    agg = counted.join(q, list(group_cols), "inner").groupBy(*group_cols, "q1", "median", "q3").agg(
+        F.sum(w).alias("n"),
+        F.min(F.when(inside, v)).alias("whisker_lo"),
+        F.max(F.when(inside, v)).alias("whisker_hi"),
+        F.sum(F.when(inside, 0).otherwise(w)).alias("outliers"),
     )
     return agg.select(*group_cols, "n",
                       *[_r(F.col(c), digits).alias(c)
