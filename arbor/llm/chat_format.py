@@ -11,7 +11,7 @@ The template is ``<|im_start|>role\\ntext<|im_end|>\\n``. Inside roles and texts
 a backslash is doubled and ``<|`` becomes ``<\\|``, so no text can hold a
 control string and reading back restores it.
 
-Defined cases: null text or role counts as empty; a node whose parent is null
+Defined cases: null text or role counts as empty, a null score as 0; a node whose parent is null
 or missing is a root; nodes on a cycle reach no root and are on no path; an
 empty table gives no conversations; ties of score go to the deeper leaf, then
 the smaller node. Node keys must be unique in a tree. A conversation is one
@@ -86,7 +86,7 @@ def ancestors(nodes: DataFrame) -> tuple[list[DataFrame], DataFrame]:
     known = nodes.select("tree", F.col("node").alias("parent"), F.lit(True).alias("there"))
     first = (nodes.join(known, ["tree", "parent"], "left")
              .select("tree", "node", F.when(F.col("there"), F.col("parent")).alias("up"),
-                     F.col("score").cast("double").alias("total"), F.lit(1).cast("long").alias("depth")))
+                     F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("total"), F.lit(1).cast("long").alias("depth")))
     tables = [stage_table(first, "reply-parents")]
     done = tables[0].where(F.col("up").isNull())
     limit = max(1, tables[0].count()).bit_length()  # beyond it, only cycles are left

@@ -223,6 +223,9 @@ def test_reply_trees(spark):
     best = chat_format.format_paths(df, top=1)
     assert _key((r.tree, r.leaf) for r in best.collect()) == [("t", 5), ("u", 10)]
     assert chat_format.format_paths(df.limit(0)).count() == 0
+    plain = df.where("tree = 't' and node < 6").selectExpr("tree", "node", "parent", "role", "text", "if(node = 5, null, score) score")
+    best = chat_format.format_paths(plain, top=1).collect()
+    assert [(r.tree, r.leaf) for r in best] == [("t", 4)]
 
 
 def test_chains(spark):
