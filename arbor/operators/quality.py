@@ -7,7 +7,7 @@ row instead of whole documents; all per-key work is partial aggregation.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -53,6 +53,15 @@ def sentinel_rows(df: DataFrame, col: str, value: str, show: Sequence[str]) -> D
     return df.filter(F.col(col) == value).select(*show)
 
 
+def cast_rejects(df: DataFrame, texts: Mapping[str, Column], kind: str) -> DataFrame:
+    """Per attribute: how many texts it has, and how many of them a cast to
+    ``kind`` turns into NULL. One aggregation, one row per attribute."""
+    rows = F.array(*[F.struct(F.lit(n).alias("attribute"), c.alias("_text")) for n, c in texts.items()])
+    failed = F.col("_text").isNotNull() & F.col("_text").try_cast(kind).isNull()
+    return (df.select(F.inline(rows)).groupBy("attribute")
+            .agg(F.count("_text").alias("texts"), F.count_if(failed).alias("rejects")))
+
+
 def distinct_values(df: DataFrame, col: str) -> DataFrame:
     """``agg_distinct_values``: distinct values (NULL kept, as pandas)."""
     return df.select(col).distinct()

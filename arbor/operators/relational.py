@@ -10,7 +10,7 @@ partitions split by AQE's skew-join rule.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -84,6 +84,17 @@ def inner(left: DataFrame, right: DataFrame, on: str | Sequence[str]) -> DataFra
     return left.join(right, on, "inner")
 
 
+def lookup(left: DataFrame, table: DataFrame, key: str) -> DataFrame:
+    """``join_lookup``: values by key from a table with one row per key; rows
+    without a match keep NULLs. AQE broadcasts the table where it is small."""
+    return left.join(table, key, "left")
+
+
+def rename(df: DataFrame, names: Mapping[str, str]) -> DataFrame:
+    """``prj_rename``: columns renamed by a dict; unknown keys are ignored."""
+    return df.withColumnsRenamed(dict(names))
+
+
 def semi(left: DataFrame, keys: DataFrame, on: str | Sequence[str]) -> DataFrame:
     """``join_left_semi`` / ``flt_isin``: rows whose key is in ``keys``."""
     return left.join(keys, on, "left_semi")

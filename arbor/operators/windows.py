@@ -140,6 +140,17 @@ def dedupe_first(df: DataFrame, key: Sequence[str], order: str) -> DataFrame:
     return kept.select(*key, *[F.col(f"_row.{c}").alias(c) for c in others]).select(*df.columns)
 
 
+def keep_first(df: DataFrame, key: Sequence[str], order: str) -> DataFrame:
+    """``win_dedupe_first`` for an ``order`` without ties in a key: the least
+    order per key is a partial hash aggregate of two columns, and a semi-join
+    keeps its rows, so no other column is aggregated and all can be pruned.
+    Rows with a NULL key are one group, as in :func:`dedupe_first`."""
+    firsts = df.groupBy(*key).agg(F.min(order).alias("_first"))
+    cond = [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in key]
+    cond.append(F.col(f"l.{order}").eqNullSafe(F.col("r._first")))
+    return df.alias("l").join(firsts.alias("r"), cond, "left_semi").select(*[F.col(f"l.{c}") for c in df.columns])
+
+
 def duplicated(df: DataFrame, key: Sequence[str], order: str,
                name: str = "duplicated") -> DataFrame:
     """``win_duplicated``: True on the 2nd and later occurrence of a key in

@@ -18,6 +18,7 @@ from arbor.operators import relational as R
 from arbor.operators import stats as S
 from arbor.operators import textrules as TR
 from arbor.operators import windows as W
+from arbor.session import stage_table
 from arbor.sources.fixtures import raw_listing
 
 FLAGS = [name for name, _, _ in RU.KEYWORD_FLAGS]
@@ -54,7 +55,7 @@ def re_price_title_place(spark, sf):
     return TR.price_title_place(raw_listing(spark, sf))
 
 
-def structured_listing(spark, sf) -> DataFrame:
+def structured_listing(spark, sf, raw: DataFrame | None = None) -> DataFrame:
     """``re_reconcile_merge``: the structured listing (sizes and floor from
     the long path, bedrooms/exterior/lift from the short path, as the
     reference picks them).
@@ -64,7 +65,7 @@ def structured_listing(spark, sf) -> DataFrame:
     scan (no join, no shuffle). With duplicated ids the reference's merges
     multiply rows (R13, Q18), which its keep-first dedupe then removes; the
     dedupe in :func:`analysis_listing` yields the same final set."""
-    raw = raw_listing(spark, sf)
+    raw = raw_listing(spark, sf) if raw is None else raw
     head = TR.price_title_place_cols()
     short = TR.short_feature_cols("features")
     long_ = TR.long_feature_cols("features")
@@ -104,10 +105,12 @@ def dq_reconcile(spark, sf):
 
 def analysis_listing(spark, sf, simultaneous_backfill: bool = False,
                      method: str = "exact") -> DataFrame:
-    """``re_clean``: keep-first dedupe by id, city/neighbourhood backfill in
+    """``re_clean``: keep-first dedupe by id (of raw rows, before any text is
+    matched), city/neighbourhood backfill in
     the reference's sequence (Q6), year imputed by the neighbourhood median
     (R8, Q7), rows still without a year dropped, analysis columns kept."""
-    df = W.dedupe_first(structured_listing(spark, sf), ["id"], "ingest_seq")
+    raw = W.keep_first(raw_listing(spark, sf), ["id"], "ingest_seq")
+    df = structured_listing(spark, sf, raw)
     city, hood = F.col("city"), F.col("neighborhood")
     if simultaneous_backfill:
         df = df.withColumns({"city": F.coalesce(city, hood),
@@ -125,6 +128,12 @@ def re_clean(spark, sf):
     return analysis_listing(spark, sf)
 
 
+def _staged(spark, sf, *columns: str) -> DataFrame:
+    """The named columns of the analysis listing as a stage table, for queries
+    that read it more than once: texts are matched and years imputed once."""
+    return stage_table(analysis_listing(spark, sf).select(*columns), "analysis-listing")
+
+
 def _with_log(df):
     return df.withColumn("log_price", F.log1p(F.col("price")))
 
@@ -149,23 +158,23 @@ def dq_null_counts(spark, sf):
 
 # ------------------------------------------------------------------ distributions
 def re_price_distribution(spark, sf):
-    return S.histograms(_with_log(analysis_listing(spark, sf)), PRICE_BINS)
+    return S.histograms(_with_log(_staged(spark, sf, "price")), PRICE_BINS)
 
 
 def re_empirical_rule(spark, sf):
-    return S.empirical_rule(analysis_listing(spark, sf), "price")
+    return S.empirical_rule(_staged(spark, sf, "price"), "price")
 
 
 def re_price_kde(spark, sf):
-    return S.kde(_with_log(analysis_listing(spark, sf)), list(PRICE_BINS))
+    return S.kde(_with_log(_staged(spark, sf, "price")), list(PRICE_BINS))
 
 
 def re_characteristics_hist(spark, sf):
-    return S.histograms(analysis_listing(spark, sf), CHARACTERISTIC_BINS)
+    return S.histograms(_staged(spark, sf, *CHARACTERISTIC_BINS), CHARACTERISTIC_BINS)
 
 
 def re_characteristics_kde(spark, sf):
-    return S.kde(analysis_listing(spark, sf), KDE_COLUMNS)
+    return S.kde(_staged(spark, sf, *KDE_COLUMNS), KDE_COLUMNS)
 
 
 def re_feature_counts(spark, sf):
@@ -180,24 +189,24 @@ def re_corr_matrix(spark, sf):
 def re_price_by_feature(spark, sf):
     """Box statistics of log price per flag value: the 11 flags are
     unpivoted so one aggregation serves all of them."""
-    df = _with_log(analysis_listing(spark, sf))
+    df = _with_log(_staged(spark, sf, "price", *FLAGS))
     src = df.select("log_price", *[F.col(f).cast("string").alias(f) for f in FLAGS])
     lv = src.unpivot(["log_price"], FLAGS, "feature", "value")
     return S.box_stats(lv, ["feature", "value"], "log_price")
 
 
 def re_price_by_type(spark, sf):
-    return S.box_stats(_with_log(analysis_listing(spark, sf)), ["property_type"], "log_price")
+    return S.box_stats(_with_log(_staged(spark, sf, "price", "property_type")), ["property_type"], "log_price")
 
 
 def re_price_by_city(spark, sf):
-    return S.box_stats(_with_log(analysis_listing(spark, sf)), ["city"], "log_price")
+    return S.box_stats(_with_log(_staged(spark, sf, "price", "city")), ["city"], "log_price")
 
 
 def re_price_by_place(spark, sf):
     """City-neighbourhood key (NULL when either part is NULL, R7), median
     price per key, box statistics of log price, ordered by the median."""
-    df = _with_log(analysis_listing(spark, sf)).withColumn(
+    df = _with_log(_staged(spark, sf, "price", "city", "neighborhood")).withColumn(
         "city_neighborhood", T.concat_strict("city", F.lit(" - "), "neighborhood"))
     med = S.group_median(df, ["city_neighborhood"], "price", "median_price")
     box = S.box_stats(df, ["city_neighborhood"], "log_price")
@@ -210,7 +219,7 @@ def re_price_by_place(spark, sf):
 def re_city_counts(spark, sf, cities: list[str] | None = None):
     """Listings per city, and per neighbourhood within each city (NULL
     categories skipped). ``cities`` restricts the neighbourhood level."""
-    df = analysis_listing(spark, sf).filter(F.col("city").isNotNull())
+    df = _staged(spark, sf, "city", "neighborhood").filter(F.col("city").isNotNull())
     by_hood = (df.filter(F.col("neighborhood").isNotNull())
                .groupBy("city", "neighborhood").agg(F.count(F.lit(1)).alias("count")))
     if cities:

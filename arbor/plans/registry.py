@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from arbor.plans import crawl, hr, listings, oracle_crawl, oracle_hr, oracle_listings, quality
+from arbor.plans import crawl, hr, listings, oracle_crawl, oracle_hr, oracle_listings, quality, relations
 
 QUERIES = {}
 ORACLE = {}
@@ -14,3 +14,5 @@ ORACLE.update(oracle_listings.ORACLE)
 QUERIES.update(crawl.QUERIES)
 QUERIES.update(quality.QUERIES)
 ORACLE.update(oracle_crawl.ORACLE)
+QUERIES.update(relations.QUERIES)
+ORACLE.update(relations.ORACLE)
