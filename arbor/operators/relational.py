@@ -25,15 +25,16 @@ def round_ratio(num: Column, den: Column, digits: int = 2) -> Column:
     """num / den rounded to ``digits`` places, half away from zero, computed
     exactly on integers (no binary-float ties, R12):
     sign(n) * floor((2|n| + den) / (2 den)) / 10^d with n = num * 10^d.
-    NULL when den = 0. Inputs must be integral (bigint range)."""
-    n = num.cast("bigint") * F.lit(10 ** digits)
-    d = den.cast("bigint")
+    NULL when den = 0. Inputs must be integral; 38 decimal digits hold what
+    sums over very many rows scale up to."""
+    n = num.cast("decimal(20,0)") * F.lit(10 ** digits).cast("decimal(8,0)")
+    d = den.cast("decimal(20,0)")
     a, b = F.lit(2) * F.abs(n) + d, F.lit(2) * d
     # exact integral division: (a - a mod b) is a multiple of b, and the
     # quotient is small (the rounded mean in 10^-d units)
-    q = F.round((a - F.pmod(a, b)) / b).cast("bigint")
-    units = F.when(d != 0, F.signum(n).cast("bigint") * q)
-    return units / F.lit(float(10 ** digits))
+    q = F.round((a - F.pmod(a, b)) / b).cast("decimal(30,0)")
+    units = F.when(d != 0, F.signum(n).cast("decimal(1,0)") * q)
+    return units.cast("double") / F.lit(float(10 ** digits))
 
 
 def avg_round(c: Column | str, digits: int = 2, scale: int = 0) -> Column:

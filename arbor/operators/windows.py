@@ -95,27 +95,44 @@ def mean_change(df: DataFrame, key: Sequence[str], order: Sequence[str],
 
 
 def rank_by(df: DataFrame, part: Sequence[str], value: str, descending: bool = True,
-            rank_name: str | None = "rank", dense_name: str | None = None) -> DataFrame:
+            rank_name: str | None = "rank", dense_name: str | None = None,
+            bucket: Column | None = None) -> DataFrame:
     """``win_rank`` / ``win_dense_rank`` without sorting raw rows per key.
 
     rank(v) = 1 + rows in the key ordered strictly before v;
     dense_rank(v) = position of v among the key's distinct values. Both are
     computed on ``(key, value, count)`` -- at most one row per distinct
     value per key -- and joined back on (key, value) null-safely. Returns
-    ``df`` with the rank columns (bigint) added."""
+    ``df`` with the rank columns (bigint) added.
+
+    ``bucket`` (an expression of ``value`` that never falls as it grows, NULL
+    where it is NULL) cuts a key's values into ranges: each range is ranked by
+    itself and lifted by what the ranges before it hold, so that no task sees
+    all distinct values of a hot key."""
     counts = df.groupBy(*part, value).agg(F.count(F.lit(1)).alias("_cnt"))
-    o = F.col(value).desc_nulls_last() if descending else F.col(value).asc_nulls_first()
-    w = Window.partitionBy(*part).orderBy(o)
+    counts = counts.withColumn("_b", F.lit(0) if bucket is None else bucket)
+
+    def order(c: str) -> Column:
+        return F.col(c).desc_nulls_last() if descending else F.col(c).asc_nulls_first()
+
+    w = Window.partitionBy(*part, "_b").orderBy(order(value))
     before = F.sum("_cnt").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    ranked = counts.select(
-        *part, value,
-        (F.coalesce(before, F.lit(0)) + 1).cast("bigint").alias("_rank"),
-        F.row_number().over(w).cast("bigint").alias("_dense"))
+    ranked = counts.select(*part, value, "_b", (F.coalesce(before, F.lit(0)) + 1).alias("_rank"),
+                           F.row_number().over(w).alias("_dense"))
+    if bucket is not None:
+        ranges = counts.groupBy(*part, "_b").agg(F.sum("_cnt").alias("_rows"), F.count(F.lit(1)).alias("_values"))
+        v = Window.partitionBy(*part).orderBy(order("_b")).rowsBetween(Window.unboundedPreceding, -1)
+        lift = ranges.select(*part, "_b", F.coalesce(F.sum("_rows").over(v), F.lit(0)).alias("_above"),
+                             F.coalesce(F.sum("_values").over(v), F.lit(0)).alias("_levels"))
+        same = [F.col(f"x.{k}").eqNullSafe(F.col(f"y.{k}")) for k in [*part, "_b"]]
+        ranked = (ranked.alias("x").join(lift.alias("y"), same)
+                  .select(*[f"x.{k}" for k in [*part, value]], (F.col("_rank") + F.col("_above")).alias("_rank"),
+                          (F.col("_dense") + F.col("_levels")).alias("_dense")))
     cols = {}
     if rank_name:
-        cols[rank_name] = F.col("r._rank")
+        cols[rank_name] = F.col("r._rank").cast("bigint")
     if dense_name:
-        cols[dense_name] = F.col("r._dense")
+        cols[dense_name] = F.col("r._dense").cast("bigint")
     keys = list(part) + [value]
     cond = [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in keys]
     joined = df.alias("l").join(ranked.alias("r"), cond, "inner")

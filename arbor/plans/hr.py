@@ -15,6 +15,7 @@ from pyspark.sql.types import DoubleType, IntegerType, StringType, StructField,
 from arbor.operators import relational as R
 from arbor.operators import stats as S
 from arbor.operators import windows as W
+from arbor.session import stage_table
 from arbor.sources.fixtures import employee, review
 
 SATISFACTION_PAIRS = [
@@ -264,9 +265,10 @@ def hr_dept_performance(spark, sf):
 
 def hr_salary_tenure_rank(spark, sf):
     """The SalaryTenureDepartment view: RANK by salary and DENSE_RANK by
-    tenure within a department, from counts per distinct value."""
-    e = employee(spark, sf).select("Department", "EmployeeID", "Salary", "YearsAtCompany")
-    e = W.rank_by(e, ["Department"], "Salary", True, rank_name="SalaryRank")
+    tenure within a department, from counts per distinct value; salaries in
+    ranges of 100. The employees are staged: customer is read once."""
+    e = stage_table(employee(spark, sf).select("Department", "EmployeeID", "Salary", "YearsAtCompany"), "employee")
+    e = W.rank_by(e, ["Department"], "Salary", True, rank_name="SalaryRank", bucket=F.floor(F.col("Salary") / 100))
     e = W.rank_by(e, ["Department"], "YearsAtCompany", True, rank_name=None,
                   dense_name="TenureRank")
     return e

@@ -34,3 +34,15 @@ def test_scan_prunes_columns(spark):
 def test_leaver_filter_pushed_to_scan(spark):
     p = _plan(E.queries()["hr_leaver_tenure_dist"](spark, SF_SMALL))
     assert "LessThan(c_acctbal,2000.0)" in p
+
+
+@pytest.mark.parametrize("name", ["re_price_kde", "re_characteristics_hist", "re_price_by_place"])
+def test_staged_queries_read_no_raw_listing(spark, name):
+    """Texts are matched once, in the stage: the plan has no scan of ``part``."""
+    p = _plan(E.queries()[name](spark, SF_SMALL))
+    assert "part.parquet" not in p and "stages/" in p
+
+
+def test_listing_dedupe_aggregates_two_columns(spark):
+    p = _plan(E.queries()["re_clean"](spark, SF_SMALL))
+    assert "SortAggregate" not in p

@@ -97,3 +97,34 @@ def test_bucketed_lead_equals_window_lead_under_skew(spark, partitions):
     finally:
         for k, v in kept.items():
             spark.conf.set(k, v)
+
+
+@pytest.mark.parametrize("descending", [True, False])
+def test_rank_in_ranges_equals_plain_window(spark, descending):
+    """A hot key with a third of the rows, ties, NULL values and a NULL key."""
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+    df = spark.range(3000).select(
+        F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") % 7 != 0, F.concat(F.lit("k"), F.col("id") % 5)).alias("k"),
+        F.when(F.col("id") % 11 != 0, F.col("id") * 37 % 1009 - 300).alias("v"), "id")
+    o = F.col("v").desc_nulls_last() if descending else F.col("v").asc_nulls_first()
+    w = Window.partitionBy("k").orderBy(o)
+    want = df.select("*", F.rank().over(w).cast("bigint").alias("r"), F.dense_rank().over(w).cast("bigint").alias("d"))
+    got = W.rank_by(df, ["k"], "v", descending, "r", "d", bucket=F.floor(F.col("v") / 50))
+    assert got.count() == 3000 and got.exceptAll(want).count() == 0
+
+
+def test_keep_first_equals_dedupe_first(spark):
+    rows = [(1, 5, "a"), (1, 2, "b"), (None, 9, "c"), (None, 1, "d"), (2, 3, None)]
+    df = spark.createDataFrame(rows, "k int, o int, t string")
+    assert sorted(map(tuple, W.keep_first(df, ["k"], "o").collect()), key=repr) == sorted(
+        map(tuple, W.dedupe_first(df, ["k"], "o").collect()), key=repr)
+
+
+def test_ratio_of_large_sums(spark):
+    from pyspark.sql import functions as F
+
+    from arbor.operators import relational as R
+    df = spark.createDataFrame([(9 * 10 ** 17 + 5, 4), (-7, 2), (1, 0)], "n long, d long")
+    got = [r[0] for r in df.select(R.round_ratio(F.col("n"), F.col("d"))).collect()]
+    assert got == [(9 * 10 ** 17 + 5) / 4, -3.5, None]
