@@ -4,6 +4,7 @@ Text that compresses far better than prose repeats itself; text that hardly
 compresses is noise. The ratio (bytes / compressed bytes) is taken of the
 whole text and of fixed chunks, because a long text may repeat only far apart
 or only in places. Limits depend on the length, as short texts compress less.
+The lower ones stand between random base64 cut into words or lines and prose.
 
 Defined cases: a null text counts as empty; an empty text has no words and
 fails the base rule; texts under ``BANDS[0][0]`` bytes have no ratio limit;
@@ -22,14 +23,20 @@ from pyspark.sql import functions as F
 from arbor.llm.common import load, ship_code, slices
 
 #: Limits of the whole text's ratio by its bytes: (at least, lowest, highest).
-BANDS = ((128, 0.90, 2.4), (256, 1.10, 2.8), (512, 1.20, 3.2), (1024, 1.30, 3.8),
-         (4096, 1.45, 4.5), (16384, 1.50, 5.5), (65536, 1.50, 7.0))
+#: Under 224 bytes base64 in short words and dense prose overlap; there the
+#: lowest is that of prose.
+BANDS = ((128, 1.04, 2.4), (160, 1.08, 2.4), (192, 1.12, 2.4), (224, 1.19, 2.4), (256, 1.21, 2.8),
+         (320, 1.24, 2.8), (384, 1.28, 2.8), (448, 1.32, 2.8), (512, 1.35, 3.2), (768, 1.40, 3.2),
+         (1024, 1.50, 3.8), (4096, 1.70, 4.5), (16384, 1.70, 5.5), (65536, 1.70, 7.0))
 CHUNK_BYTES = 4096
 #: A last chunk under this length has no limit of its own.
 LEAST_CHUNK = 1024
-CHUNK_LIMITS = (1.25, 4.0)
-#: A text is rejected when more than this share of its chunks is outside.
-BAD_CHUNKS = 0.5
+#: Lowest ratio of a shorter last chunk, of a full one (half base64 is under
+#: it), and the highest.
+CHUNK_LIMITS = (1.50, 1.75, 4.0)
+#: A text is rejected when more than this share of its chunks is outside, or
+#: more than the smaller share is under the lowest ratio.
+BAD_CHUNKS, NOISE_CHUNKS = 0.5, 0.1
 LEVEL = 3
 WINDOW = 8
 _SYMBOLS = "#*$%&|<>"
@@ -85,18 +92,24 @@ def base_counts(text: str) -> tuple[int, int, int, int, int]:
             repeated_words(words))
 
 
-def ratios(raw: bytes, compressor) -> tuple[float, int, int]:
-    """Whole ratio (0 for an empty text), chunks with a limit, chunks outside it."""
+def ratios(raw: bytes, compressor) -> tuple[float, int, int, int]:
+    """Whole ratio (0 for an empty text), chunks with a limit, chunks outside
+    it, chunks under the lowest ratio."""
     if not raw:
-        return 0.0, 0, 0
+        return 0.0, 0, 0, 0
     whole = len(raw) / len(compressor.compress(raw))
     chunks = [raw[k:k + CHUNK_BYTES] for k in range(0, len(raw), CHUNK_BYTES)]
     if len(chunks) == 1:
-        return whole, 0, 0  # the whole text's limits hold
+        return whole, 0, 0, 0  # the whole text's limits hold
     limited = [c for c in chunks if len(c) >= LEAST_CHUNK]
-    low, high = CHUNK_LIMITS
-    bad = sum(not low <= len(c) / len(compressor.compress(c)) <= high for c in limited)
-    return whole, len(limited), bad
+    short, low, high = CHUNK_LIMITS
+    noise = bad = 0
+    for c in limited:
+        ratio = len(c) / len(compressor.compress(c))
+        under = ratio < (low if len(c) == CHUNK_BYTES else short)
+        noise += under
+        bad += under or ratio > high
+    return whole, len(limited), bad, noise
 
 
 def judge(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -114,11 +127,12 @@ def judge(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> Dat
             found, failed, kept = [], [], []
             for t, b in zip(texts, base):
                 raw = t.encode("utf-8")
-                whole, chunks, bad = ratios(raw, z)
+                whole, chunks, bad, noise = ratios(raw, z)
                 low, high = band(len(raw))
                 found.append((whole, chunks, bad))
                 failed.append(b[0] < 20 or 100 * b[4] > 30 * b[0])
-                kept.append(not failed[-1] and low <= whole <= high and bad <= BAD_CHUNKS * chunks)
+                kept.append(not failed[-1] and low <= whole <= high and bad <= BAD_CHUNKS * chunks
+                            and noise <= NOISE_CHUNKS * chunks)
             yield pa.RecordBatch.from_pydict({
                 "i": batch.column("i"),
                 **{c: pa.array([b[k] for b in base], pa.int64()) for k, c in enumerate(longs)},

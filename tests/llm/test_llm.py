@@ -2,6 +2,7 @@
 nulls, empty and long texts, ties, repeated rows and clashing columns, and on
 an empty table."""
 
+import base64
 import collections
 import hashlib
 import os
@@ -47,6 +48,18 @@ def _texts():
                   for k in range(40)]
 
 
+def wordy(rnd, n):
+    """Prose-like text of about n bytes: word frequencies by rank, sentences."""
+    words = ["".join(rnd.choice("bcdfglmnprst") + rnd.choice("aeio") for _ in range(rnd.randint(1, 4)))
+             + rnd.choice(["", "", "s", "n"]) for _ in range(3000)]
+    out, size = [], 0
+    while size < n:
+        word = words[min(int(3000 ** rnd.random()), 2999)] + (". " if rnd.random() < 0.08 else " ")
+        out.append(word)
+        size += len(word)
+    return "".join(out)
+
+
 @pytest.fixture(scope="module")
 def rows():
     return _texts()
@@ -172,6 +185,28 @@ def test_quality_rules(docs, rows, empty):
     assert quality_rules.ratios(noise, z)[0] < quality_rules.band(len(noise))[0]
 
 
+def test_quality_rules_reject_wrapped_base64(spark, rows):
+    rnd = random.Random(11)
+
+    def wrapped(n, width, sep):
+        b64 = base64.b64encode(rnd.randbytes(n)).decode()
+        return sep.join(b64[k:k + width] for k in range(0, n, width))[:n]
+
+    prose = {k: wordy(rnd, k) for k in (150, 200, 240, 300, 350, 400, 480, 700, 900, 3000, 9000, 40000, 90000)}
+    junk = [(n, wrapped(n, w, sep)) for n in prose for w in (6, 12, 64) for sep in " \n"
+            if n >= 224 and n / (w + 1) >= 21]  # shorter texts overlap with prose
+    assert {n for n, _ in junk} == {n for n in prose if n >= 224}
+    junk += [(-size, f"{text[:at]} {wrapped(size, w, sep)} {text[at:]}")
+             for w, sep in ((64, "\n"), (12, " ")) for text, size in ((prose[9000], 4096), (prose[40000], 8192),
+                                                                     (prose[90000], 16384)) for at in (3000, 6001)]
+    df = spark.createDataFrame([(k, t, True) for k, (_, t) in enumerate(junk)]
+                               + [(-k, t, False) for k, t in prose.items()], "doc_id long, text string, junk boolean")
+    got = {r.doc_id: r for r in quality_rules.judge(df).collect()}
+    assert not any(r.base_failed for r in got.values())
+    assert [junk[k][0] for k in range(len(junk)) if got[k].kept] == []
+    assert [k for k in prose if not got[-k].kept] == []
+
+
 def test_license_scan(docs, rows, empty):
     got = {r.doc_id: r for r in license_scan.scan(docs).collect()}
     assert got[69].n_base == 3 and got[69].first_word == 0 and got[69].base_labels == "apache,gpl,mit"
