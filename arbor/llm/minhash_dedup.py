@@ -361,9 +361,8 @@ def _kept(n: str, percent: int):
     return F.floor((F.col(n) * percent + 99) / 100)
 
 
-def near_groups(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", width: int = 5,
-                percent: int = 80) -> DataFrame:
-    """One row per input row: id, th, n_shingles, component_id, kept."""
+def _grouped(docs: DataFrame, doc_id: str, text: str, width: int, percent: int) -> DataFrame:
+    """One row per input row: i, th, n, comp (null without shingles) and component_id."""
     rows = stage_table(sketches(docs, doc_id, text, width, percent), "near-sketches")
     classes = stage_table(
         rows.where(F.col("n") > 0).groupBy("s1")
@@ -378,21 +377,45 @@ def near_groups(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     named = stage_table(classes.join(comp.withColumnRenamed("c", "rid"), "rid", "left")
                         .select("s1", "i", F.coalesce("comp", "rid").alias("comp")), "near-components")
     best = named.groupBy("comp").agg(F.min("i").alias("component_id"))
-    named = named.join(best, "comp").select("s1", "component_id")
-    found = rows.select("i", "th", "n", "s1").join(named, "s1", "left")
+    named = named.join(best, "comp").select("s1", "comp", "component_id")
+    return rows.select("i", "th", "n", "s1").join(named, "s1", "left").drop("s1")
+
+
+def near_groups(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", width: int = 5,
+                percent: int = 80) -> DataFrame:
+    """One row per input row: id, th, n_shingles, component_id, kept."""
+    found = _grouped(docs, doc_id, text, width, percent)
     own = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("i"))
     return found.select(F.col("i").alias(doc_id), "th", F.col("n").alias("n_shingles"), own.alias("component_id"),
                         own.eqNullSafe(F.col("i")).alias("kept"))
 
 
-def dedup(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
+def dedup(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", width: int = 5,
+          percent: int = 80) -> DataFrame:
     """One document of each group, with all columns."""
-    i, th, own = fresh(docs, "id", "th", "own_th")
-    kept = near_groups(docs, doc_id=doc_id, text=text, **options).where("kept")
-    kept = kept.select(F.col(doc_id).alias(i), F.col("th").alias(th)).distinct()
-    rows = docs.withColumn(own, F.xxhash64(docs[text]))
-    return (rows.join(kept, null_safe(rows, kept, [(doc_id, i)]) & (rows[own] == kept[th]), "left_semi")
-            .select(*docs.columns))
+    i, th, own, row = fresh(docs, "id", "th", "own_th", "row")
+    found = _grouped(docs, doc_id, text, width, percent)
+    # equal (id, text) rows are counted first, then the least of each component is chosen
+    first = (found.where(F.col("n") > 0).groupBy("comp", "i", "th").agg(F.count(F.lit(1)).alias("rows"))
+             .groupBy("comp").agg(F.min(F.struct(F.col("i").isNull().alias("none"), "i", "th", "rows")).alias("least"))
+             .select("least.i", "least.th", "least.rows"))
+    alone = (found.where(F.col("n") == 0).select("i", "th").distinct()
+             .select("i", "th", F.lit(1).cast("long").alias("rows")))  # not grouped: all of them stay
+    chosen = stage_table(first.unionByName(alone).select(F.col("i").alias(i), F.col("th").alias(th), "rows"),
+                         "near-chosen")
+    hashed = docs.withColumn(own, F.xxhash64(docs[text]))
+
+    def rows_of(kept: DataFrame) -> DataFrame:
+        return hashed.join(kept, null_safe(hashed, kept, [(doc_id, i)]) & (hashed[own] == kept[th]), "left_semi")
+
+    out = rows_of(chosen.where(F.col("rows") == 1)).select(*docs.columns)
+    again = chosen.where(F.col("rows") > 1)
+    if not again.limit(1).count():
+        return out
+    others = F.to_json(F.struct(*[F.col(c) for c in docs.columns if c != text]))
+    one = (rows_of(again).groupBy(F.col(doc_id).alias(i), F.col(own).alias(th))
+           .agg(F.min_by(F.struct(*docs.columns), others).alias(row)))
+    return out.unionByName(one.select(f"{row}.*"))
 
 
 def op7_minhash_dedup(spark, sf_dir: str) -> DataFrame:

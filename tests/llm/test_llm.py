@@ -116,6 +116,33 @@ def test_near_dedup(spark, docs, rows, empty, monkeypatch):
     assert minhash_dedup.near_groups(empty, width=2).count() == 0
 
 
+def test_near_dedup_keeps_one_of_each_group(spark, empty):
+    rnd = random.Random(9)
+
+    def family(n):
+        base = [f"w{rnd.randrange(10**6)}" for _ in range(80)]
+        return [" ".join(base) + f" end{k}" for k in range(n)]
+
+    same, null, mixed = family(3), family(4), family(3)
+    rows = [(5, t, k) for k, t in enumerate(same)]  # versions of a text under one id
+    rows += [(None, t, k) for k, t in enumerate(null)]
+    rows += [(None, mixed[0], 0), (9, mixed[1], 0), (8, mixed[2], 0)]
+    rows += [(7, "five words that stand alone", k) for k in (2, 1, 1)]  # equal id and text
+    rows += [(None, "another row of five words", k) for k in (1, 0)]
+    rows += [(1, "", 0), (2, None, 0), (2, None, 0), (None, " ", 0)]  # no shingles: no group
+    df = spark.createDataFrame(rows, "doc_id long, text string, extra long")
+    for part in (df, df.repartition(5)):
+        got = minhash_dedup.dedup(part, width=5, percent=80)
+        assert got.columns == df.columns
+        found = [tuple(r) for r in got.collect()]
+        assert [r for r in found if r[0] == 5] == [r for r in found if r[1] in same] and set(found) <= set(rows)
+        assert sorted(sum(r[1] in f for r in found) for f in (same, null, mixed)) == [1, 1, 1]
+        assert [r for r in found if r[1] in mixed] == [(8, mixed[2], 0)]
+        assert _key(r for r in found if r[1] not in same + null + mixed) == _key(
+            [(7, "five words that stand alone", 1), (None, "another row of five words", 0), *rows[-4:]])
+    assert minhash_dedup.dedup(empty).count() == 0
+
+
 def test_exact_dedup(spark, docs, rows, empty):
     groups = collections.defaultdict(list)
     for i, t, _ in rows:
