@@ -7,9 +7,9 @@ holds the lexicon (whole words and word beginnings, each with a weight) and
 the exception phrases; a hit inside an exception phrase does not count. The
 summed weight is normalised by the text's length in a logistic score.
 
-``learn`` takes weights and score coefficients from labelled rows: word counts
-are a Spark aggregation, and only the bounded lexicon and a few numbers for
-each sampled row reach the driver.
+``learn`` takes weights and score coefficients from labelled rows, one text of
+each sampled id: word counts are a Spark aggregation, and only the bounded
+lexicon and a few numbers for each sampled row reach the driver.
 
 Defined cases: null and empty texts score as a text without hits and words;
 repeated rows score alike; extra columns are kept by ``reject`` and ignored
@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from arbor.llm.common import load, ship_code, slices
+from arbor.llm.common import load, ship_code, slices, stage_table
 
 # General insults with a start weight, used whatever the labels.
 BASE_LEXICON = ("idiot", "moron", "stupid", "loser", "scum", "trash", "worthless", "pathetic",
@@ -145,7 +145,8 @@ def learn(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: s
           label: str = "toxic", max_rows: int = 20_000, max_terms: int = 4_000,
           min_docs: int = 6, min_odds: float = 1.5, longest: int = 8) -> ToxicityModel:
     """Lexicon and coefficients from at most ``max_rows`` labelled rows (the
-    smallest id hashes; ``max_rows`` is the documented bound of the sample).
+    smallest id hashes; ``max_rows`` is the documented bound of the sample). Of
+    several rows under one id the text of the smallest hash is taken.
 
     A term enters if the 2-sigma lower bound of its log odds exceeds
     ``min_odds``; the ``max_terms`` strongest stay. Without labelled rows of
@@ -158,7 +159,9 @@ def learn(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: s
              .groupBy("i").agg(F.max("y").alias("y"))
              .orderBy(F.xxhash64("i"), "i").limit(max_rows))
     sample = docs.select(F.col(doc_id).alias("i"), F.coalesce(F.col(text), F.lit("")).alias("t"))
-    sample = sample.join(F.broadcast(known), "i")  # at most max_rows rows of two numbers
+    sample = stage_table(
+        sample.join(F.broadcast(known), "i")  # at most max_rows rows of two numbers
+        .groupBy("i", "y").agg(F.min_by("t", F.xxhash64("t")).alias("t")), "toxicity-sample")
 
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "t"):

@@ -376,6 +376,25 @@ def test_toxicity(spark, docs, rows, empty):
     assert toxicity.learn(empty, no_labels) == model
 
 
+def test_toxicity_sample_is_bounded(spark, monkeypatch):
+    rnd = random.Random(6)
+    word = lambda: "".join(rnd.choice("bcdfghkmnprtuvw") for _ in range(6))
+    once = [(k, " ".join([word() for _ in range(10)] + ["zugbat"] * (k % 3 == 0)), int(k % 3 == 0)) for k in range(90)]
+    labels = spark.createDataFrame([(i, y) for i, _, y in once], "doc_id long, toxic int")
+    one = spark.createDataFrame([(i, t) for i, t, _ in once], "doc_id long, text string")
+    hot = [(i, t) for i, t, _ in once for _ in range(40 if i < 9 else 2)]
+    others = spark.createDataFrame([(i, f"{t} {k}") for i, t in hot[:120] for k in range(3)], one.schema)
+    sizes, fit = [], toxicity._logistic
+    monkeypatch.setattr(toxicity, "_logistic", lambda got: sizes.append(len(got)) or fit(got))
+    options = {"max_rows": 60, "min_docs": 2, "min_odds": 0.5}
+    want = toxicity.learn(one, labels, **options)
+    assert want != toxicity.base_model()
+    assert toxicity.learn(spark.createDataFrame(hot, one.schema), labels, **options) == want
+    mixed = one.unionByName(others)
+    assert toxicity.learn(mixed, labels, **options) == toxicity.learn(mixed.repartition(7), labels, **options)
+    assert max(sizes) <= 60
+
+
 def test_toxicity_held_out(spark):
     sf = "/root/testdata/sf0.1"
     out = toxicity.op1_toxicity(spark, sf)
