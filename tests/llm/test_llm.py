@@ -191,6 +191,30 @@ def test_mixing(spark, docs, rows, empty):
     assert mixing.plan(empty).count() == 0
 
 
+def test_mixing_takes_equal_ids_one_by_one(spark):
+    rnd = random.Random(8)
+    text = lambda: " ".join(f"w{rnd.randrange(10**5)}" for _ in range(rnd.randint(5, 15)))
+    same = text()
+    rows = [(k if k % 3 else None, text(), "abc"[k % 2]) for k in range(120)]  # a third on null ids
+    rows += [(7, text(), "c") for _ in range(40)] + [(8, same, "d")] * 40  # one id; fully equal rows
+    rows = [(i, t, s, k % 4) for k, (i, t, s) in enumerate(rows)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, extra long")
+    got = mixing.plan(df).collect()
+    size = {(i, t, s): len(t.split()) for i, t, s, _ in rows}
+    for s in "abcd":
+        own = [r for r in got if r.source == s]
+        assert len(own) == sum(r[2] == s for r in rows)
+        short = own[0].target - sum(r.size * r.repeats for r in own)
+        assert -1e-6 <= short < max(r.size for r in own)
+    assert _key(map(tuple, got)) == _key(map(tuple, mixing.plan(df.repartition(5)).collect()))
+    mixed = [tuple(r) for r in mixing.mix(df).collect()]
+    assert set(mixed) <= set(rows)
+    assert collections.Counter((i, size[i, t, s], s) for i, t, s, _ in mixed) == collections.Counter(
+        {k: n for k, n in sum((collections.Counter({(r.doc_id, r.size, r.source): r.repeats}) for r in got),
+                              collections.Counter()).items() if n})
+    assert _key(mixed) == _key(map(tuple, mixing.mix(df.repartition(5)).collect()))
+
+
 def test_quality_rules(docs, rows, empty):
     got = quality_rules.judge(docs).collect()
     want = []
