@@ -1,5 +1,7 @@
 """DuckDB texts of the queries that SQL can express."""
 
+from arbor.llm import oracle_merkle
+
 ORACLE = {
     "op6_exact_dedup": r"""
         WITH d AS (
@@ -76,3 +78,5 @@ ORACLE["op5_mixing"] = rf"""
                  OVER (PARTITION BY source ORDER BY h) <= b3 AS t3 FROM q3)
     SELECT doc_id, size, source_size, target,
            size * (n + CASE WHEN t0 OR t1 OR t2 OR t3 THEN 1 ELSE 0 END) AS taken FROM r4"""
+
+ORACLE["op12_merkle"] = oracle_merkle.text()
