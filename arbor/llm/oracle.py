@@ -1,6 +1,6 @@
 """DuckDB texts of the queries that SQL can express."""
 
-from arbor.llm import oracle_merkle
+from arbor.llm import oracle_merkle, oracle_vectors
 
 ORACLE = {
     "op6_exact_dedup": r"""
@@ -79,4 +79,5 @@ ORACLE["op5_mixing"] = rf"""
     SELECT doc_id, size, source_size, target,
            size * (n + CASE WHEN t0 OR t1 OR t2 OR t3 THEN 1 ELSE 0 END) AS taken FROM r4"""
 
+ORACLE["op11_hard_negatives"] = oracle_vectors.HARD_NEGATIVES
 ORACLE["op12_merkle"] = oracle_merkle.text()
