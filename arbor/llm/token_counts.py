@@ -52,7 +52,7 @@ def drops_space(path: str) -> bool:
     replaced = any(n.get("type") == "Replace" and n.get("pattern") == {"Regex": r"\s+"}
                    and n.get("content") == " " for n in norm.get("normalizers", [norm]))
     removed = any(p.get("type") == "Split" and p.get("behavior") == "Removed" and p.get("invert")
-                  and r"[^\s" in str(p.get("pattern")) for p in pre.get("pretokenizers", [pre]))
+                  and r"[^\s" in p.get("pattern", {}).get("Regex", "") for p in pre.get("pretokenizers", [pre]))
     return replaced and removed
 
 

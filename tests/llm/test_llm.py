@@ -334,6 +334,11 @@ def test_token_counts(spark, docs, rows, empty, scratch):
         assert _key((r.doc_id, r.n_bytes, r.n_tokens) for r in got.collect()) == want
         stored = spark.read.parquet(cache)
         assert stored.count() == stored.select("content").distinct().count()
+    # word_bpe drops white space itself: texts that differ in blanks are one content
+    assert token_counts.drops_space(path) and not token_counts.drops_space(P.path("byte_bpe_50k.json"))
+    blanks = spark.createDataFrame([(1, "two  words"), (2, "\ttwo\n words ")], "doc_id long, text string")
+    found = token_counts.count_tokens(blanks, path, f"{scratch}/blanks").collect()
+    assert len({r.content for r in found}) == 1 and {r.n_tokens for r in found} == {2}
     import sentencepiece
     piece = P.path("piece_bpe_32k.model")
     sp = sentencepiece.SentencePieceProcessor(model_file=piece)
