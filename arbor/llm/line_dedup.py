@@ -10,8 +10,8 @@ A site may be any column (the source here; a host for pages). Lines are
 compared without white space at the ends, by 128 bits of two hashes.
 
 Defined cases: a null text counts as empty and has no lines; blank lines are
-never counted nor removed; lines shorter than ``min_chars`` stay (chance
-repeats); a null site is a site of its own; repeated rows of one site count
+never counted nor removed, all others are, however short (``min_chars`` can
+leave out short ones); a null site is a site of its own; repeated rows of one site count
 once; an empty table gives no rows; extra columns are kept by ``remove``.
 """
 
@@ -62,7 +62,7 @@ def boilerplate(lines: DataFrame, min_sites: int) -> DataFrame:
 
 
 def removals(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", site: str = "source",
-             min_sites: int = 8, min_chars: int = 12) -> DataFrame:
+             min_sites: int = 8, min_chars: int = 1) -> DataFrame:
     """(i, th, gone): places of the boilerplate lines of each document that has any."""
     lines = stage_table(line_rows(docs, doc_id, text, site, min_chars), "line-rows")
     found = boilerplate(lines, min_sites).select("a", "b")
@@ -71,7 +71,7 @@ def removals(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", sit
 
 
 def remove(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", site: str = "source",
-           min_sites: int = 8, min_chars: int = 12, gone: str | None = None) -> DataFrame:
+           min_sites: int = 8, min_chars: int = 1, gone: str | None = None) -> DataFrame:
     """The documents with their boilerplate lines removed from ``text``; the
     number of lines taken out goes to the column ``gone`` if it is named."""
     i, th, places, own = fresh(docs, "id", "th", "places", "own_th")
@@ -79,7 +79,10 @@ def remove(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", site:
     marks = marks.select(F.col("i").alias(i), F.col("th").alias(th), F.col("gone").alias(places))
     rows = docs.withColumn(own, F.xxhash64(docs[text]))
     joined = rows.join(marks, null_safe(rows, marks, [(doc_id, i)]) & (rows[own] == marks[th]), "left")
-    left = F.filter(_lines(F.col(text)), lambda _, at: ~F.array_contains(F.col(places), at))
+    lines = _lines(F.col(text))
+    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(places))
+    # each place beside a reference to the lines: looked up, not searched
+    left = F.transform(F.arrays_zip(stay, F.array_repeat(lines, F.size(stay))), lambda x: x["1"][x["0"]])
     clean = F.when(F.col(places).isNull(), F.col(text)).otherwise(F.array_join(left, "\n"))
     count = F.coalesce(F.size(places), F.lit(0))
     return joined.select(*[clean.alias(c) if c == text else F.col(c) for c in docs.columns],

@@ -22,7 +22,7 @@ ORACLE = {
           FROM documents),
         t AS (SELECT *, trim(line, ' ' || chr(9) || chr(13) || chr(11) || chr(12)) AS body FROM l),
         b AS (
-          SELECT body FROM t WHERE length(body) >= 12
+          SELECT body FROM t WHERE body <> ''
           GROUP BY body HAVING count(DISTINCT coalesce('=' || source, '')) >= 8),
         m AS (SELECT t.*, b.body IS NOT NULL AS gone FROM t LEFT JOIN b USING (body)),
         o AS (
