@@ -123,8 +123,14 @@ def dedup(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **opti
     rows = rows.join(keys, null_safe(rows, keys, [(doc_id, i)]) & (rows[own] == keys[sha])
                      & (rows[length] == keys[chars]))
     single = rows.where(~F.col(many)).select(*docs.columns)
-    twice = rows.where(F.col(many)).dropDuplicates([i, sha, chars]).select(*docs.columns)
-    return single.unionByName(twice)
+    again = rows.where(F.col(many))
+    if not again.limit(1).count():
+        return single
+    # rows that share id, digest and length: the least of their other columns, then of the text
+    row, = fresh(docs, "row")
+    others = F.to_json(F.struct(*[F.col(c) for c in docs.columns if c != text]))
+    one = again.groupBy(i, sha, chars).agg(F.min_by(F.struct(*docs.columns), F.struct(others, F.col(text))).alias(row))
+    return single.unionByName(one.select(f"{row}.*"))
 
 
 def op6_exact_dedup(spark, sf_dir: str) -> DataFrame:
