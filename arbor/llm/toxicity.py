@@ -242,17 +242,19 @@ def score(docs: DataFrame, model: ToxicityModel, *, doc_id: str = "doc_id",
 
 def reject(docs: DataFrame, model: ToxicityModel, *, text: str = "text",
            threshold: float = 0.5) -> DataFrame:
-    """The documents scored under ``threshold``, with all their columns."""
+    """The documents scored under ``threshold``, with all their columns. Only
+    the text goes to the Python workers, and only a flag comes back."""
     ship_code(docs.sparkSession)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def clean(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         match = model.matcher()
-        for batch in slices(batches, text):
-            keep = [model.probability(*match(t or "")) < threshold
-                    for t in batch.column(text).to_pylist()]
-            yield batch.filter(pa.array(keep, pa.bool_()))
+        for texts in batches:
+            keep: list[bool] = []
+            for part in slices([pa.RecordBatch.from_arrays([texts], ["t"])], "t", 4 << 20):
+                keep += [model.probability(*match(t.as_py() or "")) < threshold for t in part.column("t")]
+            yield pa.array(keep, pa.bool_())
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.where(F.arrow_udf(clean, "boolean")(F.col(text)))
 
 
 def op1_toxicity(spark, sf_dir: str) -> DataFrame:

@@ -160,6 +160,21 @@ def test_exact_dedup(spark, docs, rows, empty):
     assert exact_dedup.groups(empty).count() == 0
 
 
+def test_exact_dedup_keeps_the_same_row_however_it_is_dealt(spark, empty):
+    rows = [(1, "a b", k) for k in range(40, 0, -1)] + [(1, "ab ", k) for k in range(40)] + [(None, "c", k) for k in (3, 2)]
+    for parts in (1, 3, 7):
+        df = spark.createDataFrame(rows, "doc_id long, text string, extra int").repartition(parts, "extra")
+        assert _key(tuple(r) for r in exact_dedup.dedup(df).collect()) == _key([(1, "ab ", 0), (None, "c", 2)])
+    assert exact_dedup.dedup(empty).count() == 0
+
+
+def test_reject_keeps_columns_and_rows_beside_long_texts(spark):
+    rows = [(k, "fine words " * 200_000 if k == 3 else None if k == 4 else f"text {k}", {"a": k}) for k in range(9)]
+    df = spark.createDataFrame([*rows, (9, "you idiot, moron and loser", {"a": 9})], "doc_id long, text string, m map<string,int>")
+    got = toxicity.reject(df, toxicity.base_model()).collect()
+    assert _key((r.doc_id, r.m["a"], r.text) for r in got) == _key((i, m["a"], t) for i, t, m in rows)
+
+
 def test_mixing(spark, docs, rows, empty):
     got = mixing.plan(docs).collect()
     size = collections.Counter()
