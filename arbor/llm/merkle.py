@@ -71,9 +71,10 @@ def heights(nodes: DataFrame) -> int:
 
 
 def siblings(nodes: DataFrame) -> DataFrame:
-    """(tree, at, n, h) -> the same with ``before`` and ``after``: the digests of
-    the run's other nodes left and right of each, in order, 32 bytes a node."""
-    slot = F.col("at") % ARITY
+    """(tree, at, n, h and more) -> the same with ``slot``, ``before`` and
+    ``after``: the digests of the run's other nodes left and right of each, in
+    order, 32 bytes a node."""
+    slot, kept = F.col("at") % ARITY, [c for c in nodes.columns if c not in ("tree", "at")]
     offers = nodes.select("tree", F.col("at").alias("other"), F.col("h").alias("other_h"),
                           F.explode(F.sequence(F.lit(1), F.lit(ARITY - 1))).alias("shift"))
     own = F.col("other") % ARITY
@@ -81,20 +82,20 @@ def siblings(nodes: DataFrame) -> DataFrame:
                            (F.col("other") - own + (own + F.col("shift")) % ARITY).alias("at"))
     near = nodes.join(offers, ["tree", "at"], "left")
     met = F.when(F.col("other").isNotNull(), F.struct("other", "other_h"))
-    run = near.groupBy("tree", "at").agg(
-        F.first("n").alias("n"), F.first("h").alias("h"), F.sort_array(F.collect_list(met)).alias("run"))
+    run = near.groupBy("tree", "at").agg(*[F.first(c).alias(c) for c in kept],
+                                         F.sort_array(F.collect_list(met)).alias("run"))
 
     def side(keep) -> Column:
         return _joined(F.transform(F.filter("run", keep), lambda x: x["other_h"]))
 
-    return run.select("tree", "at", slot.alias("slot"), "n", "h",
+    return run.select("tree", "at", *kept, slot.alias("slot"),
                       side(lambda x: x["other"] < F.col("at")).alias("before"),
                       side(lambda x: x["other"] > F.col("at")).alias("after"))
 
 
 def grow(leaves: DataFrame, name: str) -> tuple[list[DataFrame], DataFrame]:
-    """(tree, at, n, h) -> the levels with their siblings, without the last node
-    of each tree, and (tree, root)."""
+    """(tree, at, n, h and more) -> the levels with their siblings, without the
+    last node of each tree, and (tree, root)."""
     levels, roots, nodes = [], leaves.where(F.col("n") == 1), leaves.where(F.col("n") > 1)
     roots = roots.select("tree", F.col("h").alias("root"))
     for k in range(heights(leaves)):
@@ -110,21 +111,21 @@ def grow(leaves: DataFrame, name: str) -> tuple[list[DataFrame], DataFrame]:
 
 
 def paths(levels: list[DataFrame], tops: DataFrame, name: str) -> DataFrame:
-    """The lowest level (tree, at, h) with ``path``, the (before, after) of
-    each level up to the tree's last node and then those of ``tops``
-    (tree, rest), and the columns that ``tops`` hands down."""
+    """The lowest level's nodes with ``path``, the (before, after) of each level
+    up to the tree's last node and then those of ``tops`` (tree, rest), and the
+    columns that ``tops`` hands down. A path crosses the network once for
+    each run of children."""
     handed = [c for c in tops.columns if c not in ("tree", "rest")]
-    above = None
+    own, above = F.array(F.struct("before", "after")), None
     for k, level in reversed(list(enumerate(levels))):
-        own = F.array(F.struct("before", "after"))
+        kept = [c for c in level.columns if c not in ("n", "slot", "before", "after")]
         last = join_bounded(level.where(F.col("n") <= ARITY), tops, ["tree"])
-        found = last.select("tree", "at", "h", *handed, F.concat(own, "rest").alias("path"))
+        found = last.select(*kept, *handed, F.concat(own, "rest").alias("path"))
         if above is not None:
             parents = above.select("tree", F.col("at").alias("parent"), *handed, F.col("path").alias("rest"))
             lower = level.where(F.col("n") > ARITY).withColumn("parent", F.floor(F.col("at") / ARITY).cast("long"))
             lower = lower.join(parents, ["tree", "parent"])
-            found = found.unionByName(lower.select("tree", "at", "h", *handed, F.concat(own, "rest").alias("path")))
-        # one row for each run is enough for the level below it
+            found = found.unionByName(lower.select(*kept, *handed, F.concat(own, "rest").alias("path")))
         above = found if k == 0 else stage_table(found, f"{name}-paths-{k}")
     return above
 
@@ -155,7 +156,7 @@ def manifest(rows: DataFrame, *, doc_id: str = "doc_id", group: str = "source",
         placed.join(small.withColumnRenamed("tree_name", "own"), F.col("tree_name").eqNullSafe(F.col("own")))
         .select("i", "h", "seen", "tree", "at", "n"), "merkle-places")
 
-    levels, subroots = grow(placed.select("tree", "at", "n", "h"), "merkle")
+    levels, subroots = grow(placed, "merkle")
     crowns = stage_table(
         subroots.select(F.lit(0).cast("long").alias("tree"), F.col("tree").alias("at"),
                         F.lit(subroots.count()).cast("long").alias("n"), F.col("root").alias("h")), "merkle-crowns")
@@ -172,9 +173,7 @@ def manifest(rows: DataFrame, *, doc_id: str = "doc_id", group: str = "source",
     alone = join_bounded(placed.where(F.col("n") == 1), tops, ["tree"])
     out = alone.select("i", "h", "seen", "subroot", "root", F.col("rest").alias("path"))
     if levels:
-        proofs = paths(levels, tops, "merkle").select("tree", "at", "subroot", "root", "path")
-        joined = placed.where(F.col("n") > 1).select("i", "h", "seen", "tree", "at").join(proofs, ["tree", "at"])
-        out = out.unionByName(joined.select("i", "h", "seen", "subroot", "root", "path"))
+        out = out.unionByName(paths(levels, tops, "merkle").select("i", "h", "seen", "subroot", "root", "path"))
     proof = _joined(F.transform("path", lambda x: F.concat(x["before"], x["after"])))
     return out.select(
         F.col("i").alias(doc_id), text_of("h").alias("leaf"), text_of("subroot").alias("subroot"),
