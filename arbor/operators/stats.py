@@ -9,10 +9,10 @@ Plan shape rules used throughout:
 * aggregates are algebraic (sum/count/min/max) so Spark runs them as a
   partial (map-side) + final ``HashAggregate``;
 * exact quantiles first pre-aggregate to ``(group, value, count)`` so that
-  the shuffle is split by value, then run ``percentile`` with a frequency
-  argument (its buffer holds distinct values, not rows);
+  the shuffle is split by value, then select the wanted ranks by ranges
+  (:mod:`arbor.operators.selection`): no buffer holds a group's values;
   ``method="approx"`` switches to ``percentile_approx`` (a bounded sketch)
-  for value domains too wide for exact work;
+  where one cheap pass is enough;
 * per-series bounds for histograms are a small table with one row per
   series (bounded by the number of series), joined on the series key;
 * reported statistics are rounded to ``digits`` places (default 6) so
@@ -26,6 +26,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from arbor.operators.selection import bounded, counted, order_stats
+from arbor.session import stage_table
+
 DIGITS = 6
 
 
@@ -35,12 +38,11 @@ def _r(c: Column, digits: int | None) -> Column:
 
 # ---------------------------------------------------------------- Pearson
 def _pearson_expr(x: Column, y: Column) -> Column:
-    """Pearson r over complete pairs from centred moments (R3), NULL when a
-    side is constant (R2 guard, by its smallest and largest value)."""
-    both = x.isNotNull() & y.isNotNull()
-    xd, yd = F.when(both, x.cast("double")), F.when(both, y.cast("double"))
-    varies = (F.min(xd) < F.max(xd)) & (F.min(yd) < F.max(yd))
-    return F.when(varies, F.try_divide(F.covar_pop(xd, yd), F.stddev_pop(xd) * F.stddev_pop(yd)))
+    """Pearson r over complete pairs from three mergeable centred co-moments
+    (R3), stable whatever the mean; NULL when a side is constant (its sum of
+    squares is then exactly 0, R2)."""
+    xd, yd = x.cast("double"), y.cast("double")
+    return F.try_divide(F.regr_sxy(yd, xd), F.sqrt(F.regr_sxx(yd, xd)) * F.sqrt(F.regr_syy(yd, xd)))
 
 
 def pearson(df: DataFrame, pairs: Sequence[tuple[str, str]],
@@ -59,16 +61,14 @@ def pearson(df: DataFrame, pairs: Sequence[tuple[str, str]],
 def corr_matrix(df: DataFrame, cols: Sequence[str],
                 digits: int | None = DIGITS) -> DataFrame:
     """``agg_corr_matrix``: all ordered pairs (col_a, col_b, r), long form,
-    computed from one aggregation over the upper triangle (r is symmetric,
-    the diagonal is 1 unless the column is constant)."""
+    from one read and one row of co-moments a task: a mergeable centred
+    co-moment with pairwise-complete counts for each pair of the upper triangle
+    (r is symmetric, the diagonal is 1 unless the column is constant)."""
     pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i:]]
-    tri = pearson(df, pairs, digits=None)
-    mirrored = tri.filter(F.col("ColumnX") != F.col("ColumnY")).select(
-        F.col("ColumnY").alias("ColumnX"), F.col("ColumnX").alias("ColumnY"),
-        "PearsonCorrelation")
-    return tri.unionByName(mirrored).select(
-        F.col("ColumnX").alias("col_a"), F.col("ColumnY").alias("col_b"),
-        _r(F.col("PearsonCorrelation"), digits).alias("r"))
+    wide = df.agg(*[_pearson_expr(F.col(a), F.col(b)).alias(f"r{i}") for i, (a, b) in enumerate(pairs)])
+    cells = [F.struct(F.lit(x).alias("col_a"), F.lit(y).alias("col_b"), _r(F.col(f"r{i}"), digits).alias("r"))
+             for i, (a, b) in enumerate(pairs) for x, y in ([(a, b)] if a == b else [(a, b), (b, a)])]
+    return wide.select(F.inline(F.array(*cells)))
 
 
 # ---------------------------------------------------------------- unpivot
@@ -88,20 +88,12 @@ def quantiles(df: DataFrame, group_cols: Sequence[str], value: str,
 
     Returns ``group_cols + [q0, q1, ...]`` (double). NULL values and NULL
     group keys are skipped (pandas ``groupby``, R8)."""
-    keyed = df.select(*group_cols, F.col(value).cast("double").alias("_v"))
-    keyed = keyed.filter(F.col("_v").isNotNull())
-    for g in group_cols:
-        keyed = keyed.filter(F.col(g).isNotNull())
-    parr = F.array(*[F.lit(float(p)) for p in probs])
     if method == "approx":
-        agg = keyed.groupBy(*group_cols).agg(
-            F.percentile_approx("_v", parr, accuracy).alias("_q"))
-    else:
-        counted = keyed.groupBy(*group_cols, "_v").agg(F.count(F.lit(1)).alias("_n"))
-        agg = counted.groupBy(*group_cols).agg(
-            F.percentile(F.col("_v"), parr, F.col("_n")).alias("_q"))
-    return agg.select(*group_cols, *[F.col("_q")[i].alias(f"q{i}")
-                                     for i in range(len(probs))])
+        keyed = df.select(*group_cols, F.col(value).cast("double").alias("_v")).na.drop()
+        parr = F.array(*[F.lit(float(p)) for p in probs])
+        agg = keyed.groupBy(*group_cols).agg(F.percentile_approx("_v", parr, accuracy).alias("_q"))
+        return agg.select(*group_cols, *[F.col("_q")[i].alias(f"q{i}") for i in range(len(probs))])
+    return order_stats(stage_table(counted(df, group_cols, value), "quantile-values"), group_cols, probs)
 
 
 def group_median(df: DataFrame, group_cols: Sequence[str], value: str,
@@ -114,16 +106,20 @@ def group_median(df: DataFrame, group_cols: Sequence[str], value: str,
 def describe(df: DataFrame, cols: Sequence[str], digits: int | None = DIGITS,
              method: str = "exact") -> DataFrame:
     """``agg_describe``: count, mean, std (sample), min, 25%, 50%, 75%, max
-    per column, long form, with interpolated quartiles (R6)."""
-    lv = long_values(df, cols).filter(F.col("value").isNotNull())
-    moments = lv.groupBy("series").agg(
-        F.count(F.lit(1)).alias("count"),
-        F.avg("value").alias("mean"),
-        F.stddev_samp("value").alias("std"),
-        F.min("value").alias("min"),
-        F.max("value").alias("max"),
-    )
-    qs = quantiles(lv, ["series"], "value", [0.25, 0.5, 0.75], method)
+    per column, long form, with interpolated quartiles (R6). The input is read
+    once: all of it comes from one table of (column, value, count)."""
+    values = stage_table(counted(long_values(df, cols), ["series"], "value"), "describe-values")
+    v, w = F.col("_v"), F.col("_w")
+    sums = bounded(stage_table(values.groupBy("series").agg(
+        F.sum(w).alias("count"), (F.sum(v * w) / F.sum(w)).alias("mean"), F.min(v).alias("min"),
+        F.max(v).alias("max")), "describe-sums"))
+    gap = v - F.col("mean")
+    spread = values.join(sums, "series").groupBy("series", "count", "mean", "min", "max").agg(
+        F.try_divide(F.sum(gap * gap * w), F.col("count") - 1).alias("var"))
+    moments = spread.withColumn("std", F.sqrt("var"))
+    probs = [0.25, 0.5, 0.75]
+    qs = order_stats(values, ["series"], probs) if method == "exact" else \
+        quantiles(long_values(df, cols), ["series"], "value", probs, method)
     out = moments.join(qs, "series", "inner")
     return out.select(
         F.col("series").alias("column"), "count",
@@ -264,23 +260,18 @@ def box_stats(df: DataFrame, group_cols: Sequence[str], value: str,
 
     Raw rows are combined before the shuffle to one ``(group, value, count)``
     row each, split by value; quartiles, whiskers and outliers all come from
-    that table, joined with one row of quartiles per group."""
+    that stage table, joined with one row of quartiles per group (broadcast
+    where they are few), so a hot group is not shuffled again."""
     v, w = F.col("_v"), F.col("_w")
-    base = df.select(*group_cols, F.col(value).cast("double").alias("_v")).where(v.isNotNull())
-    for g in group_cols:
-        base = base.where(F.col(g).isNotNull())
-    counted = base.groupBy(*group_cols, "_v").agg(F.count(F.lit(1)).alias("_w"))
-    if method == "approx":
-        q = quantiles(base, group_cols, "_v", [0.25, 0.5, 0.75], method)
-    else:
-        parr = F.array(*[F.lit(p) for p in (0.25, 0.5, 0.75)])
-        q = counted.groupBy(*group_cols).agg(F.percentile(v, parr, w).alias("_q"))
-        q = q.select(*group_cols, *[F.col("_q")[i].alias(f"q{i}") for i in range(3)])
+    values = stage_table(counted(df, group_cols, value), "box-values")
+    probs = [0.25, 0.5, 0.75]
+    q = order_stats(values, group_cols, probs) if method == "exact" else \
+        quantiles(df, group_cols, value, probs, method)
     q = q.select(*group_cols, F.col("q0").alias("q1"), F.col("q1").alias("median"),
                  F.col("q2").alias("q3"))
     iqr = F.col("q3") - F.col("q1")
     inside = (v >= F.col("q1") - 1.5 * iqr) & (v <= F.col("q3") + 1.5 * iqr)
-    agg = counted.join(q, list(group_cols), "inner").groupBy(*group_cols, "q1", "median", "q3").agg(
+    agg = values.join(bounded(stage_table(q, "box-quartiles")), list(group_cols), "inner").groupBy(*group_cols, "q1", "median", "q3").agg(
         F.sum(w).alias("n"),
         F.min(F.when(inside, v)).alias("whisker_lo"),
         F.max(F.when(inside, v)).alias("whisker_hi"),

@@ -7,16 +7,17 @@ duplicated id), each operator here has an aggregate form with partial
 skew join splits a hot key on the large side of that join.
 
 * ``lead_change``: the literal window (LEAD over a per-entity history).
-* ``lead_change_bucketed``: the same LEAD with histories cut by a value,
-  balanced when one entity holds a large share of the rows.
+* ``lead_change_sliced``: the same LEAD with histories cut by range
+  partitioning, balanced when one entity holds a large share of the rows.
 * ``mean_change``: the same per-entity mean change without a window: the
   changes telescope, so mean = (last - first) / (n - 1).
 * ``rank_by``: RANK / DENSE_RANK from counts per distinct (key, value):
-  the window runs over distinct values, never over raw rows.
+  the window runs over distinct values, never over raw rows, and over
+  slices of equal depth where a key has many of them.
 * ``dedupe_first`` / ``duplicated``: keep-first via ``min_by`` (partial
   aggregation), not ``row_number``.
-* ``group_impute``: group median (pre-aggregated exact percentile) joined
-  back.
+* ``group_impute``: group median (exact selection) joined back, hot groups
+  salted.
 """
 
 from __future__ import annotations
@@ -26,8 +27,21 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from arbor.operators.joins import salted_join
 from arbor.operators.relational import round_ratio
+from arbor.operators.selection import SMALL
 from arbor.operators.stats import group_median
+from arbor.session import stage_table
+
+
+def sliced(df: DataFrame, part: Sequence[str], order: Sequence[str], name: str = "_slice") -> DataFrame:
+    """``df`` as a stage table with the number of a row's slice: Spark's range
+    partitioning samples ``part`` and ``order`` and cuts the rows at splitters of
+    equal depth, so a hot key is many slices and each holds about as many rows.
+    Slices ascend with (part, order), NULLs first. ``df`` should be cheap to
+    sample (a scan or a stage table)."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return stage_table(df.repartitionByRange(n, *part, *order).withColumn(name, F.spark_partition_id()), "slices")
 
 
 def lead_change(df: DataFrame, part: Sequence[str], order: Sequence[str],
@@ -40,30 +54,26 @@ def lead_change(df: DataFrame, part: Sequence[str], order: Sequence[str],
                            change_name: nxt - F.col(value).cast("int")})
 
 
-def lead_change_bucketed(df: DataFrame, part: Sequence[str], order: Sequence[str], bucket: Column,
-                         value: str, next_name: str, change_name: str) -> DataFrame:
+def lead_change_sliced(df: DataFrame, part: Sequence[str], order: Sequence[str],
+                       value: str, next_name: str, change_name: str) -> DataFrame:
     """LEAD per entity that stays balanced when one entity holds a large
     share of the rows.
 
-    ``bucket`` cuts an entity's history by value, in the order of ``order``
-    (a period of the date, say), so a hot entity is many window partitions:
-
-    1. LEAD inside each (entity, bucket).
-    2. The first row of each (entity, bucket), by partial aggregation, and
-       from it the first row of the entity's next bucket: a window over one
-       row per bucket.
-    3. The last row of a bucket takes its successor from there.
+    1. The rows are cut in :func:`sliced` pieces of equal depth, once.
+    2. LEAD inside each (entity, slice).
+    3. The first row of each (entity, slice), by partial aggregation, and
+       from it the first row of the entity's next slice: a window over one
+       row per slice, which the last row of a slice takes as its successor.
 
-    Nothing depends on how Spark deals the rows out, so retried tasks and
-    repeated plans agree. Same result as :func:`lead_change` when ``order``
-    ends in a unique tie-break."""
-    keys = [*part, "_bucket"]
-    rows = df.withColumn("_bucket", bucket).withColumn("_v", F.col(value).cast("int"))
+    Same result as :func:`lead_change` when ``order`` ends in a unique
+    tie-break, however the rows are cut."""
+    keys = [*part, "_slice"]
+    rows = sliced(df.withColumn("_v", F.col(value).cast("int")), part, order)
     inside = Window.partitionBy(*keys).orderBy(*order)
     local = rows.withColumn("_next", F.lead(F.struct("_v")).over(inside))
     first = rows.groupBy(*keys).agg(F.min_by(F.struct("_v"), F.struct(*order)).alias("_first"))
     succ = first.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)],
-                        F.lead("_first").over(Window.partitionBy(*part).orderBy("_bucket")).alias("_succ"))
+                        F.lead("_first").over(Window.partitionBy(*part).orderBy("_slice")).alias("_succ"))
     same = F.lit(True)
     for i, k in enumerate(keys):
         same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
@@ -95,8 +105,7 @@ def mean_change(df: DataFrame, key: Sequence[str], order: Sequence[str],
 
 
 def rank_by(df: DataFrame, part: Sequence[str], value: str, descending: bool = True,
-            rank_name: str | None = "rank", dense_name: str | None = None,
-            bucket: Column | None = None) -> DataFrame:
+            rank_name: str | None = "rank", dense_name: str | None = None) -> DataFrame:
     """``win_rank`` / ``win_dense_rank`` without sorting raw rows per key.
 
     rank(v) = 1 + rows in the key ordered strictly before v;
@@ -105,26 +114,26 @@ def rank_by(df: DataFrame, part: Sequence[str], value: str, descending: bool = T
     value per key -- and joined back on (key, value) null-safely. Returns
     ``df`` with the rank columns (bigint) added.
 
-    ``bucket`` (an expression of ``value`` that never falls as it grows, NULL
-    where it is NULL) cuts a key's values into ranges: each range is ranked by
-    itself and lifted by what the ranges before it hold, so that no task sees
-    all distinct values of a hot key."""
-    counts = df.groupBy(*part, value).agg(F.count(F.lit(1)).alias("_cnt"))
-    counts = counts.withColumn("_b", F.lit(0) if bucket is None else bucket)
+    More than ``SMALL`` such rows are cut in slices of equal depth; each
+    (key, slice) is ranked by itself and lifted by what the slices before it hold,
+    so no task sees all distinct values of a hot key."""
+    counts = stage_table(df.groupBy(*part, value).agg(F.count(F.lit(1)).alias("_cnt")), "rank-counts")
+    many = counts.count() > SMALL
+    counts = sliced(counts, part, [value]) if many else counts.withColumn("_slice", F.lit(0))
 
     def order(c: str) -> Column:
         return F.col(c).desc_nulls_last() if descending else F.col(c).asc_nulls_first()
 
-    w = Window.partitionBy(*part, "_b").orderBy(order(value))
+    w = Window.partitionBy(*part, "_slice").orderBy(order(value))
     before = F.sum("_cnt").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    ranked = counts.select(*part, value, "_b", (F.coalesce(before, F.lit(0)) + 1).alias("_rank"),
+    ranked = counts.select(*part, value, "_slice", (F.coalesce(before, F.lit(0)) + 1).alias("_rank"),
                            F.row_number().over(w).alias("_dense"))
-    if bucket is not None:
-        ranges = counts.groupBy(*part, "_b").agg(F.sum("_cnt").alias("_rows"), F.count(F.lit(1)).alias("_values"))
-        v = Window.partitionBy(*part).orderBy(order("_b")).rowsBetween(Window.unboundedPreceding, -1)
-        lift = ranges.select(*part, "_b", F.coalesce(F.sum("_rows").over(v), F.lit(0)).alias("_above"),
+    if many:
+        ranges = counts.groupBy(*part, "_slice").agg(F.sum("_cnt").alias("_rows"), F.count(F.lit(1)).alias("_values"))
+        v = Window.partitionBy(*part).orderBy(order("_slice")).rowsBetween(Window.unboundedPreceding, -1)
+        lift = ranges.select(*part, "_slice", F.coalesce(F.sum("_rows").over(v), F.lit(0)).alias("_above"),
                              F.coalesce(F.sum("_values").over(v), F.lit(0)).alias("_levels"))
-        same = [F.col(f"x.{k}").eqNullSafe(F.col(f"y.{k}")) for k in [*part, "_b"]]
+        same = [F.col(f"x.{k}").eqNullSafe(F.col(f"y.{k}")) for k in [*part, "_slice"]]
         ranked = (ranked.alias("x").join(lift.alias("y"), same)
                   .select(*[f"x.{k}" for k in [*part, value]], (F.col("_rank") + F.col("_above")).alias("_rank"),
                           (F.col("_dense") + F.col("_levels")).alias("_dense")))
@@ -183,9 +192,10 @@ def duplicated(df: DataFrame, key: Sequence[str], order: str,
 def group_impute(df: DataFrame, key: str, value: str,
                  method: str = "exact") -> DataFrame:
     """``win_group_impute``: fill NULL ``value`` with its group's median;
-    rows with a NULL key get NULL (pandas transform, R8)."""
+    rows with a NULL key get NULL (pandas transform, R8). ``df`` is read three
+    times (counts, median, rows): it should be a stage table."""
     med = group_median(df, [key], value, "_med", method)
-    j = df.join(med, key, "left")
+    j = salted_join(df, med, [key], "left")
     filled = F.when(F.col(key).isNull(), F.lit(None).cast("double")).otherwise(
         F.coalesce(F.col(value).cast("double"), F.col("_med")))
     return j.withColumn(value, filled).drop("_med").select(*df.columns)

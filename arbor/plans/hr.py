@@ -79,12 +79,11 @@ def hr_satisfaction_trend(spark, sf):
 
 def win_lead_diff(spark, sf):
     """Per review: next job satisfaction of the same employee and the
-    change to it (LEAD inside quarters, so that a hot employee is many
-    window partitions)."""
+    change to it (LEAD inside slices of equal depth, so that a hot
+    employee is many window partitions)."""
     r = review(spark, sf).select("EmployeeID", "ReviewID", "ReviewDate", "JobSatisfaction")
-    return W.lead_change_bucketed(r, ["EmployeeID"], ["ReviewDate", "ReviewID"],
-                                  F.date_trunc("quarter", "ReviewDate"), "JobSatisfaction",
-                                  "NextJobSatisfaction", "SatisfactionChange")
+    return W.lead_change_sliced(stage_table(r, "reviews"), ["EmployeeID"], ["ReviewDate", "ReviewID"],
+                                "JobSatisfaction", "NextJobSatisfaction", "SatisfactionChange")
 
 
 def hr_distance_by_attrition(spark, sf):
@@ -265,10 +264,9 @@ def hr_dept_performance(spark, sf):
 
 def hr_salary_tenure_rank(spark, sf):
     """The SalaryTenureDepartment view: RANK by salary and DENSE_RANK by
-    tenure within a department, from counts per distinct value; salaries in
-    ranges of 100. The employees are staged: customer is read once."""
+    tenure within a department, from counts per distinct value. The employees are staged: customer is read once."""
     e = stage_table(employee(spark, sf).select("Department", "EmployeeID", "Salary", "YearsAtCompany"), "employee")
-    e = W.rank_by(e, ["Department"], "Salary", True, rank_name="SalaryRank", bucket=F.floor(F.col("Salary") / 100))
+    e = W.rank_by(e, ["Department"], "Salary", True, rank_name="SalaryRank")
     e = W.rank_by(e, ["Department"], "YearsAtCompany", True, rank_name=None,
                   dense_name="TenureRank")
     return e

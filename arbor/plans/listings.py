@@ -9,6 +9,8 @@ listing (merge) -> analysis listing (dedupe, backfill, impute, drop).
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -103,12 +105,17 @@ def dq_reconcile(spark, sf):
     return out.filter("differs").select("attribute", "id", "left_value", "right_value")
 
 
+ANALYSIS_COLUMNS = [c for c in STRUCTURED_COLUMNS if c not in DROPPED_FOR_ANALYSIS]
+
+
 def analysis_listing(spark, sf, simultaneous_backfill: bool = False,
-                     method: str = "exact") -> DataFrame:
+                     method: str = "exact", columns: Sequence[str] = ANALYSIS_COLUMNS) -> DataFrame:
     """``re_clean``: keep-first dedupe by id (of raw rows, before any text is
     matched), city/neighbourhood backfill in
     the reference's sequence (Q6), year imputed by the neighbourhood median
-    (R8, Q7), rows still without a year dropped, analysis columns kept."""
+    (R8, Q7), rows still without a year dropped, the named analysis columns
+    kept. The structured listing is staged before the impute, which reads it
+    more than once: texts are matched once, and only those of kept columns."""
     raw = W.keep_first(raw_listing(spark, sf), ["id"], "ingest_seq")
     df = structured_listing(spark, sf, raw)
     city, hood = F.col("city"), F.col("neighborhood")
@@ -119,9 +126,9 @@ def analysis_listing(spark, sf, simultaneous_backfill: bool = False,
         df = df.withColumn("city", F.coalesce(city, hood))
         df = df.withColumn("neighborhood",
                            F.when(F.col("city").isNull(), F.col("address")).otherwise(hood))
-    df = W.group_impute(df, "neighborhood", "year_built", method)
-    df = df.na.drop(subset=["year_built"])
-    return df.drop(*DROPPED_FOR_ANALYSIS, "ingest_seq")
+    needed = [c for c in ANALYSIS_COLUMNS if c in {*columns, "neighborhood", "year_built"}]
+    df = W.group_impute(stage_table(df.select(*needed), "listing"), "neighborhood", "year_built", method)
+    return df.na.drop(subset=["year_built"]).select(*columns)
 
 
 def re_clean(spark, sf):
@@ -131,7 +138,7 @@ def re_clean(spark, sf):
 def _staged(spark, sf, *columns: str) -> DataFrame:
     """The named columns of the analysis listing as a stage table, for queries
     that read it more than once: texts are matched and years imputed once."""
-    return stage_table(analysis_listing(spark, sf).select(*columns), "analysis-listing")
+    return stage_table(analysis_listing(spark, sf, columns=columns), "analysis-listing")
 
 
 def _with_log(df):
@@ -140,11 +147,11 @@ def _with_log(df):
 
 # ------------------------------------------------------------------ describe
 def re_describe(spark, sf):
-    return S.describe(analysis_listing(spark, sf), NUMERIC)
+    return S.describe(analysis_listing(spark, sf, columns=NUMERIC), NUMERIC)
 
 
 def re_value_counts(spark, sf):
-    return S.value_counts(analysis_listing(spark, sf), CATEGORICAL)
+    return S.value_counts(analysis_listing(spark, sf, columns=CATEGORICAL), CATEGORICAL)
 
 
 def dq_nunique(spark, sf):
@@ -178,11 +185,11 @@ def re_characteristics_kde(spark, sf):
 
 
 def re_feature_counts(spark, sf):
-    return S.bool_counts(analysis_listing(spark, sf), FLAGS)
+    return S.bool_counts(analysis_listing(spark, sf, columns=FLAGS), FLAGS)
 
 
 def re_corr_matrix(spark, sf):
-    return S.corr_matrix(analysis_listing(spark, sf), NUMERIC)
+    return S.corr_matrix(analysis_listing(spark, sf, columns=NUMERIC), NUMERIC)
 
 
 # ------------------------------------------------------------------ box plots
