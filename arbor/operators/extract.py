@@ -1,12 +1,7 @@
 """Extraction from fetched pages (survey 2.13), as Spark jobs over a table
 of pages: the crawl's threads and queues become partitions, the HTML tree
-walk becomes regex extraction with built-in functions (no Python per row).
-
-HTML handling (what ``get_text(strip=True)`` does, in expressions):
-``script``/``style`` blocks and comments are dropped first; the text of an
-element is its inner HTML with tags removed, whitespace next to a tag
-dropped, common entities decoded, then stripped. Elements may span lines; a
-paragraph that is never closed ends at the next block tag or its parent's end.
+walk becomes a fold over tokens (:mod:`arbor.operators.markup`) in built-in
+functions (no Python per row).
 """
 
 from __future__ import annotations
@@ -14,50 +9,21 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arbor.functions import text as T
+from arbor.operators import markup as M
+from arbor.operators.selection import bounded
+from arbor.session import stage_table
 
 # The reference's page-link format and crawl cap.
 PAGE_LINK_FORMAT = "pagina-%d.htm"
 PAGE_CAP = 60
-# Entity decoding applied to extracted text (ampersand last).
-ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"),
-            ("&apos;", "'"), ("&nbsp;", "\u00a0"), ("&copy;", "©"), ("&middot;", "·"), ("&euro;", "€"),
-            ("&ndash;", "–"), ("&mdash;", "—"), ("&hellip;", "…"), ("&amp;", "&")]
-
-NOISE_PATTERN = r"(?s)<script.*?</script>|<style.*?</style>|<!--.*?-->"
-TAG_PATTERN = r"\s*<[^>]*>\s*"
-LI_PATTERN = r"(?s)<li(?:\s[^>]*)?>(.*?)</li>"
-UL_PATTERN = r"(?s)<ul(?:\s[^>]*)?>(.*?)</ul>"
-BLOCK_EDGE = r"</?(?:p|div|article|section|main|body|header|footer|ul|ol|table|h[1-6])[\s>]"
-HREF_PATTERN = r"href=\"([^\"]*)\""
+
 PAGE_PARAM_PATTERN = r"[?&]page=(\d+)"
 SEED_PATTERN = r"^https?://[^/]+/([a-z]+)/"
-
-
-def _c(c: Column | str) -> Column:
-    return F.col(c) if isinstance(c, str) else c
-
-
-def clean_html(html: Column | str) -> Column:
-    """Drop script/style blocks and comments (never page text)."""
-    return F.regexp_replace(_c(html), NOISE_PATTERN, "")
-
-
-def element_text(inner: Column) -> Column:
-    """Text of an element from its inner HTML, like get_text(strip=True)."""
-    no_tags = F.regexp_replace(inner, TAG_PATTERN, "")
-    return T.strip(T.replace_chain(no_tags, ENTITIES))
-
-
-def all_matches(html: Column, pattern: str) -> Column:
-    return F.regexp_extract_all(html, F.lit(T.java_pattern(pattern)), 1)
-
-
-def first_match(html: Column, pattern: str) -> Column:
-    return T.extract(html, pattern)
+#: The list that a page is part of: its site and seed.
+LIST_PATTERN = r"^https?://([^/]+/[a-z]+)/"
 
 
 # ------------------------------------------------------------------ frontier
@@ -80,87 +46,111 @@ def frontier(seed_df: DataFrame, cap: int = PAGE_CAP) -> DataFrame:
 
 
 # ------------------------------------------------------------------ list pages
-def list_pages(pages: DataFrame, next_marker: str | None = None) -> DataFrame:
-    """Pages as list pages of a seed: seed, page index (``page=`` URL
-    parameter, default 1) and the last-page predicate.
-
-    With ``next_marker`` (markup of a next-page control) a page without it is
-    a last one; else the seed's highest stored index is the last."""
+def list_pages(pages: DataFrame) -> DataFrame:
+    """Pages as list pages: seed, list (site and seed), page index (``page=``
+    URL parameter, default 1)."""
     pidx = F.coalesce(F.regexp_extract("url", PAGE_PARAM_PATTERN, 1).try_cast("int"), F.lit(1))
-    lp = pages.select(F.regexp_extract("url", SEED_PATTERN, 1).alias("neighborhood_id"),
-                      "page_id", pidx.alias("page_index"), "html")
-    if next_marker is not None:
-        return lp.withColumn("is_last", ~F.contains(F.col("html"), F.lit(next_marker)))
-    top = lp.groupBy("neighborhood_id").agg(F.max("page_index").alias("_top"))
-    return (lp.join(top, "neighborhood_id", "left")
-            .select("neighborhood_id", "page_id", "page_index",
-                    (F.col("page_index") == F.col("_top")).alias("is_last"), "html"))
-
-
-def crawl_pages(lp: DataFrame, cap: int | None = None) -> DataFrame:
-    """``ext_last_page``: per seed, the pages up to the first last page's
-    index, and of index ``cap`` at most where one is given (stored pages have
-    none; a live crawl's :func:`frontier` has).
-
-    The stop index is one row per seed, found from index and predicate alone."""
-    stop = (lp.where("is_last").groupBy("neighborhood_id").agg(F.min("page_index").alias("_stop")))
-    kept = (lp.join(stop, "neighborhood_id", "left")
-            .where(F.col("_stop").isNull() | (F.col("page_index") <= F.col("_stop"))).drop("_stop"))
+    return pages.select(F.regexp_extract("url", SEED_PATTERN, 1).alias("neighborhood_id"),
+                        F.regexp_extract("url", LIST_PATTERN, 1).alias("list_id"),
+                        "page_id", pidx.alias("page_index"), "html")
+
+
+def last_pages(lp: DataFrame, next_marker: str | None = None) -> DataFrame:
+    """(list_id, last): the index at which a crawl of the list ends, 0 if it
+    has no page 1. The crawl goes from page 1 on and ends at the first page
+    whose next one is not stored (the first gap), or, with ``next_marker``, at
+    the first page whose markup lacks it.
+
+    Gaps by one anti-join of the stored indices with their own predecessors on
+    (list, index): no window over a list, however many pages it has."""
+    more = F.lit(True) if next_marker is None else F.contains(F.col("html"), F.lit(next_marker))
+    stored = (lp.where(F.col("page_index") >= 1).groupBy("list_id", "page_index")
+              .agg(F.max(more).alias("_more")))
+    # page 0 stands for the start of every list
+    heads = lp.select("list_id").distinct().select("list_id", F.lit(0).alias("page_index"), F.lit(True).alias("_more"))
+    at = stored.unionByName(heads)
+    before = at.select("list_id", (F.col("page_index") - 1).alias("page_index"))
+    gaps = at.join(before, ["list_id", "page_index"], "left_anti")
+    ends = gaps.unionByName(at.where(~F.col("_more")))
+    return ends.groupBy("list_id").agg(F.min("page_index").alias("last"))
+
+
+def crawl_pages(lp: DataFrame, cap: int | None = None, next_marker: str | None = None) -> DataFrame:
+    """``ext_last_page``: per list, the pages from 1 to its last one, with
+    ``is_last``; pages that the crawl never reaches are dropped. ``cap`` bounds
+    the index where one is given (stored pages have none; a live crawl's
+    :func:`frontier` has).
+
+    The last pages, one row a list, are found from indices alone; the html of a page
+    crosses the network only if the lists are too many to broadcast."""
+    ends = bounded(stage_table(last_pages(lp, next_marker), "last-pages"))
+    kept = (lp.join(ends, "list_id").where(F.col("page_index").between(1, F.col("last")))
+            .withColumn("is_last", F.col("page_index") == F.col("last")))
+    kept = kept.select("neighborhood_id", "list_id", "page_id", "page_index", "is_last", "html")
     return kept if cap is None else kept.where(F.col("page_index") <= cap)
 
 
 def page_items(lp: DataFrame) -> DataFrame:
-    """``ext_items``: one row per ``<li>`` of a page: position, link target
-    (the item id) and text."""
-    body = clean_html("html")
-    it = lp.select("neighborhood_id", "page_id",
-                   F.posexplode(all_matches(body, LI_PATTERN)).alias("item_pos", "inner"))
-    return it.select("neighborhood_id", "page_id", "item_pos",
-                     first_match(F.col("inner"), HREF_PATTERN).alias("property_id"),
-                     element_text(F.col("inner")).alias("item_text"))
+    """``ext_items``: one row per ``<li>`` of a page in document order (nested
+    ones too): position, first link target (the item id) and text."""
+    page = M.parsed(lp.select("neighborhood_id", "page_id", "html"), ["li"])
+    cut = F.transform("_elements", lambda e: M.inner(F.col("_tokens"), e))
+    it = page.select("neighborhood_id", "page_id", F.posexplode(cut).alias("item_pos", "_inner"))
+    links = F.filter(F.transform("_inner", lambda t: F.when(M.is_tag(t), M.attribute(t, "href"))), lambda h: h.isNotNull())
+    return it.select("neighborhood_id", "page_id", "item_pos", F.get(links, F.lit(0)).alias("property_id"),
+                     M.text_of(F.col("_inner")).alias("item_text"))
 
 
 # ------------------------------------------------------------------ records
 @dataclass(frozen=True)
 class Field:
+    """The text of the first ``tag`` of a page, of class ``cls`` if given."""
+
     name: str
-    pattern: str
+    tag: str
+    cls: str | None = None
     required: bool = True
 
 
 # Record fields re-aimed to the fixture pages (h1 title, first paragraph);
 # the price element is optional and absent on them.
 RECORD_FIELDS = [
-    Field("title", r"(?s)<h1(?:\s[^>]*)?>(.*?)</h1>"),
-    Field("description", r"(?s)<p(?:\s[^>]*)?>(.*?)(?:" + BLOCK_EDGE + ")"),
-    Field("price", r"(?s)<span class=\"txt-bold\"[^>]*>(.*?)</span>", required=False),
+    Field("title", "h1"),
+    Field("description", "p"),
+    Field("price", "span", "txt-bold", required=False),
 ]
 
 
-def _record_columns(fields: Sequence[Field]):
-    body = clean_html("html")
-    cols = {f.name: element_text(first_match(body, f.pattern)) for f in fields}
-    uls = all_matches(body, UL_PATTERN)
-    nested = F.transform(uls, lambda ul: F.transform(
-        F.regexp_extract_all(ul, F.lit(T.java_pattern(LI_PATTERN)), F.lit(1)),
-        lambda li: element_text(li)))
-    cols["features"] = nested
-    cols["info_features"] = F.flatten(nested)
-    missing = F.concat_ws(",", *[F.when(cols[f.name].isNull() | (cols[f.name] == ""),
-                                        F.lit(f.name)) for f in fields if f.required])
-    return cols, missing
-
-
 def records_with_errors(pages: DataFrame, fields: Sequence[Field] = RECORD_FIELDS) -> DataFrame:
     """``ext_record`` + ``ext_nested_lists`` + ``ext_error_rows`` in one pass:
     every page yields its record and an error text ('' when the record is
-    complete). :func:`records` and :func:`error_rows` split it."""
-    cols, missing = _record_columns(fields)
-    return pages.select(
-        F.col("page_id").alias("id"), "url",
-        F.regexp_extract("url", SEED_PATTERN, 1).alias("neighborhood"),
-        *[c.alias(n) for n, c in cols.items()],
-        missing.alias("_missing"))
+    complete). :func:`records` and :func:`error_rows` split it. ``features`` has
+    a list of item texts for every ``<ul>``, nested ones too."""
+    wanted = sorted({"ul", "li", *[f.tag for f in fields]})
+    page = M.parsed(pages.select(F.col("page_id").alias("id"), "url", "html"), wanted)
+    tokens, found = F.col("_tokens"), F.col("_elements")
+
+    def first(f: Field):
+        def hit(e):
+            own = e["name"] == f.tag
+            classes = F.split(M.attribute(F.element_at(tokens, e["at"] + 1), "class"), r"\s+")
+            return own if f.cls is None else own & F.coalesce(F.array_contains(classes, f.cls), F.lit(False))
+        e = F.get(F.filter(found, hit), F.lit(0))
+        return F.nullif(M.text_of(M.inner(tokens, e)), F.lit(""))
+
+    items = F.filter(found, lambda e: e["name"] == "li")
+    texts = F.transform(items, lambda e: F.struct(e["at"].alias("at"), M.text_of(M.inner(tokens, e)).alias("text")))
+    lists = F.filter(found, lambda e: e["name"] == "ul")
+    cols = page.select("id", "url", F.regexp_extract("url", SEED_PATTERN, 1).alias("neighborhood"),
+                       *[first(f).alias(f.name) for f in fields], lists.alias("_lists"), texts.alias("_items"))
+    nested = F.transform("_lists", lambda ul: F.transform(
+        F.filter("_items", lambda e: (e["at"] > ul["at"]) & (e["at"] < ul["stop"])), lambda e: e["text"]))
+    missing = F.concat_ws(",", *[F.when(F.col(f.name).isNull(), F.lit(f.name)) for f in fields if f.required])
+    row = F.struct("id", "url", "neighborhood", *[f.name for f in fields], nested.alias("features"),
+                   F.flatten(nested).alias("info_features"), missing.alias("_missing"))
+    # one row a page through a generator: a filter on the record is not pushed
+    # below it, where it would parse the page again
+    return cols.select(F.inline(F.array(row)))
 
 
 def records(pages: DataFrame, fields: Sequence[Field] = RECORD_FIELDS) -> DataFrame:

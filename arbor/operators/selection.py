@@ -24,7 +24,7 @@ from arbor.session import stage_table
 
 #: Splitters of a range, the accuracy of the sketch that proposes them, and
 #: the distinct values that one sort may hold.
-PARTS, ACCURACY, LEAF = 64, 2000, 4096
+PARTS, ACCURACY, LEAF = 64, 2000, 1 << 16
 #: Tables of up to so many rows (one for each group or range) are broadcast.
 SMALL = 100_000
 
@@ -70,23 +70,25 @@ def order_stats(values: DataFrame, keys: Sequence[str], probs: Sequence[float])
     """(keys, q0, q1, ...) of a stage table of :func:`counted`: linearly
     interpolated quantiles, as numpy and pandas give them."""
     keys = list(keys)
-    sizes = stage_table(values.groupBy(*keys).agg(F.sum("_w").alias("_n")), "selection-sizes")
+    sizes = values.groupBy(*keys).agg(F.sum("_w").alias("_n"), F.count(F.lit(1)).alias("_values"))
+    sizes = stage_table(sizes, "selection-sizes")
     need = _wanted(sizes, keys, probs).withColumn("_range", F.lit(""))
-    rows, found = values.withColumn("_range", F.lit("")), None
-    at = [*keys, "_range"]
+    rows, found, at = values.withColumn("_range", F.lit("")), None, [*keys, "_range"]
+    width = sizes.select(*keys, F.lit("").alias("_range"), "_values")
     while True:
-        width = stage_table(rows.groupBy(*at).agg(F.count(F.lit(1)).alias("_values")), "selection-widths")
-        leaves = width.where(F.col("_values") <= LEAF).drop("_values")
-        part = _sorted(rows.join(bounded(stage_table(leaves, "selection-leaves")), at), need, at, keys)
+        widest = width.agg(F.max("_values")).first()[0] or 0
+        if widest <= LEAF:
+            part = _sorted(rows, need, at, keys)
+        else:
+            leaves = stage_table(width.where(F.col("_values") <= LEAF).drop("_values"), "selection-leaves")
+            part = _sorted(rows.join(bounded(leaves), at), need, at, keys)
         found = part if found is None else found.unionByName(part)
-        wide = stage_table(width.where(F.col("_values") > LEAF).select(*at), "selection-wide")
-        if not wide.limit(1).count():
+        if widest <= LEAF:
             break
-        wide = bounded(wide)
+        wide = bounded(stage_table(width.where(F.col("_values") > LEAF).select(*at), "selection-wide"))
         rows, need, sure = _refined(rows.join(wide, at), need.join(wide, at), at, keys)
         found = found.unionByName(sure)
-        if not need.limit(1).count():
-            break
+        width = stage_table(rows.groupBy(*at).agg(F.count(F.lit(1)).alias("_values")), "selection-widths")
     pair = found.groupBy(*keys, "_q").agg(
         F.max(F.when(F.col("_side") == 0, F.col("_v"))).alias("_lo"),
         F.max(F.when(F.col("_side") == 1, F.col("_v"))).alias("_hi"), F.max("_part").alias("_part"))

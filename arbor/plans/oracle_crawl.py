@@ -31,12 +31,11 @@ def first(expr: str, pattern: str) -> str:
     return f"NULLIF(regexp_extract({expr}, {q(pattern)}, 1), '')"
 
 
-LP = rf"""lp0 AS (SELECT {SEED} AS neighborhood_id, page_id,
+LP = rf"""lp AS (SELECT {SEED} AS neighborhood_id, regexp_extract(url, '^https?://([^/]+/[a-z]+)/', 1) AS list_id, page_id,
   coalesce(TRY_CAST(NULLIF(regexp_extract(url, '[?&]page=(\d+)', 1), '') AS INTEGER), 1) AS page_index, html FROM pages),
-lp AS (SELECT neighborhood_id, page_id, page_index,
-  page_index = max(page_index) OVER (PARTITION BY neighborhood_id) AS is_last, html FROM lp0),
-kept AS (SELECT * FROM lp QUALIFY page_index <= coalesce(
-  min(page_index) FILTER (is_last) OVER (PARTITION BY neighborhood_id), page_index))"""
+numbered AS (SELECT *, dense_rank() OVER (PARTITION BY list_id ORDER BY page_index) AS place FROM lp),
+kept AS (SELECT *, page_index = max(page_index) OVER (PARTITION BY list_id) AS is_last
+  FROM (SELECT * FROM numbered WHERE page_index = place) a)"""
 
 
 def items_sql(src: str) -> str:
@@ -66,7 +65,7 @@ WITH seeds AS (SELECT DISTINCT {SEED} AS neighborhood_id FROM pages WHERE {SEED}
 SELECT neighborhood_id, CAST(i AS INTEGER) AS page_index,
   '/' || neighborhood_id || '/' || printf('pagina-%d.htm', i) AS page_link
 FROM (SELECT neighborhood_id, unnest(range(1, 61)) AS i FROM seeds)""",
-    "crawl_pages": f"WITH {LP}\nSELECT neighborhood_id, page_id, page_index, is_last FROM kept",
+    "crawl_pages": f"WITH {LP}\nSELECT neighborhood_id, list_id, page_id, page_index, is_last FROM kept",
     "crawl_items": f"WITH {LP}\n{items_sql('kept')}",
     "ext_items": f"WITH {LP}\n{items_sql('lp')}",
     "crawl_records": f"""WITH {_records_cte()}

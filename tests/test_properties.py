@@ -10,7 +10,7 @@ from arbor.operators import windows as W
 from arbor.plans import hr, listings, quality
 from arbor.sources.fixtures import raw_listing, review
 from arbor.sources.tables import load
-from conftest import SF_SMALL
+from conftest import SF_MID, SF_SMALL
 
 
 def test_rule_tables_keep_row_count(spark):
@@ -62,22 +62,27 @@ def test_records_plus_rejects_cover_pages(spark):
     assert X.records(pages).count() + X.error_rows(pages).count() == pages.count()
 
 
-def test_crawl_reads_all_pages_up_to_the_last(spark):
-    rows = [(k, f"http://h.example.com/en/{k}?page={p}", html) for k, (p, html) in enumerate(
-        [(1, '<li class="next">'), (2, "<p>"), (3, '<li class="next">'), (70, "<p>")])]
-    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
-    read = lambda **o: sorted(r.page_index for r in X.crawl_pages(X.list_pages(pages, **o)).collect())
-    assert read() == [1, 2, 3, 70]
-    assert read(next_marker='<li class="next"') == [1, 2]
-    capped = X.crawl_pages(X.list_pages(pages), cap=60).collect()
-    assert sorted(r.page_index for r in capped) == [1, 2, 3]
-    assert [r.is_last for r in X.list_pages(pages).orderBy("page_index").collect()] == [False] * 3 + [True]
-    stored = load(spark, SF_SMALL, "pages")
-    assert X.crawl_pages(X.list_pages(stored)).count() == stored.count()
+def test_crawl_reads_pages_from_the_first_to_the_first_gap(spark):
+    def pages(*indices, site="h"):
+        return [(k, f"http://{site}.example.com/en/{k}?page={p}", '<li class="next">' if p % 2 else "<p>")
+                for k, p in enumerate(indices)]
+    rows = pages(1, 2, 2, 3, 5, 70) + pages(2, 3, site="no-first") + pages(1, site="one")
+    lp = X.list_pages(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    read = lambda **o: sorted((r.list_id[:1], r.page_index, r.is_last) for r in X.crawl_pages(lp, **o).collect())
+    assert read() == [("h", 1, False), ("h", 2, False), ("h", 2, False), ("h", 3, True), ("o", 1, True)]
+    assert read(next_marker='<li class="next"') == [("h", 1, False), ("h", 2, True), ("h", 2, True), ("o", 1, True)]
+    assert read(cap=1) == [("h", 1, False), ("o", 1, True)]
+    assert {r.list_id[:1]: r["last"] for r in X.last_pages(lp).collect()} == {"h": 3, "n": 0, "o": 1}
+
+
+def test_crawl_drops_pages_of_the_stored_table(spark):
+    lp = X.list_pages(load(spark, SF_MID, "pages"))
+    kept = X.crawl_pages(lp)
+    assert 0 < kept.count() < lp.count() and kept.where("page_index > 1").count() > 0
 
 
 @pytest.mark.parametrize("partitions", [16, 64])
-def test_bucketed_lead_equals_window_lead_under_skew(spark, partitions):
+def test_sliced_lead_equals_window_lead_under_skew(spark, partitions):
     """At sf0.1, on a wide frame, without exchange reuse, with a hot employee."""
     from pyspark.sql import functions as F
     r = review(spark, "/root/testdata/sf0.1")
@@ -89,8 +94,7 @@ def test_bucketed_lead_equals_window_lead_under_skew(spark, partitions):
     try:
         for df in (r, hot):
             a = W.lead_change(df, ["EmployeeID"], ["ReviewDate", "ReviewID"], "JobSatisfaction", "n", "c")
-            b = W.lead_change_bucketed(df, ["EmployeeID"], ["ReviewDate", "ReviewID"],
-                                       F.date_trunc("quarter", "ReviewDate"), "JobSatisfaction", "n", "c")
+            b = W.lead_change_sliced(df, ["EmployeeID"], ["ReviewDate", "ReviewID"], "JobSatisfaction", "n", "c")
             key = ["EmployeeID", "ReviewID", "n", "c"]
             assert a.count() == b.count()
             assert a.select(*key).exceptAll(b.select(*key)).count() == 0
@@ -100,7 +104,7 @@ def test_bucketed_lead_equals_window_lead_under_skew(spark, partitions):
 
 
 @pytest.mark.parametrize("descending", [True, False])
-def test_rank_in_ranges_equals_plain_window(spark, descending):
+def test_rank_in_slices_equals_plain_window(spark, monkeypatch, descending):
     """A hot key with a third of the rows, ties, NULL values and a NULL key."""
     from pyspark.sql import Window
     from pyspark.sql import functions as F
@@ -110,8 +114,20 @@ def test_rank_in_ranges_equals_plain_window(spark, descending):
     o = F.col("v").desc_nulls_last() if descending else F.col("v").asc_nulls_first()
     w = Window.partitionBy("k").orderBy(o)
     want = df.select("*", F.rank().over(w).cast("bigint").alias("r"), F.dense_rank().over(w).cast("bigint").alias("d"))
-    got = W.rank_by(df, ["k"], "v", descending, "r", "d", bucket=F.floor(F.col("v") / 50))
-    assert got.count() == 3000 and got.exceptAll(want).count() == 0
+    for small in (100_000, 0):  # at once, and in slices
+        monkeypatch.setattr(W, "SMALL", small)
+        got = W.rank_by(df, ["k"], "v", descending, "r", "d")
+        assert got.count() == 3000 and got.exceptAll(want).count() == 0
+
+
+def test_slices_of_a_skewed_key_are_of_one_depth(spark):
+    """Salaries of one department, far from even: no slice holds more than four
+    times the median."""
+    df = spark.range(60_000).select(F.when(F.col("id") % 3 != 0, "hot").otherwise(F.concat(F.lit("d"), F.col("id") % 50)).alias("k"),
+                                    F.exp(F.rand(7) * 12).alias("v"))
+    df = W.stage_table(df, "skewed")
+    n = sorted(r["count"] for r in W.sliced(df, ["k"], ["v"]).groupBy("_slice").count().collect())
+    assert len(n) == 8 and n[-1] <= 4 * n[len(n) // 2]
 
 
 def test_keep_first_equals_dedupe_first(spark):
