@@ -85,6 +85,31 @@ def inner(left: DataFrame, right: DataFrame, on: str | Sequence[str]) -> DataFra
     return left.join(right, on, "inner")
 
 
+def merge(left: DataFrame, right: DataFrame, on: str, suffixes: tuple[str, str] = ("_x", "_y")) -> DataFrame:
+    """``prj_suffix``: inner merge in which columns that both sides have get a
+    suffix each, as in pandas."""
+    both = (set(left.columns) & set(right.columns)) - {on}
+
+    def named(df: DataFrame, suffix: str) -> DataFrame:
+        return df.withColumnsRenamed({c: c + suffix for c in df.columns if c in both})
+
+    return named(left, suffixes[0]).join(named(right, suffixes[1]), on, "inner")
+
+
+#: Text keys equal but for the case of letters (R14).
+ANY_CASE = "UTF8_LCASE"
+
+
+def any_case(key: Column | str) -> Column:
+    """A text key that groups, joins and compares without regard to case."""
+    return F.collate(_c(key), ANY_CASE)
+
+
+def plain(key: Column | str) -> Column:
+    """A key as plain text again."""
+    return F.collate(_c(key), "UTF8_BINARY")
+
+
 def lookup(left: DataFrame, table: DataFrame, key: str) -> DataFrame:
     """``join_lookup``: values by key from a table with one row per key; rows
     without a match keep NULLs. AQE broadcasts the table where it is small."""

@@ -136,11 +136,13 @@ def describe(df: DataFrame, cols: Sequence[str], digits: int | None = DIGITS,
 # ---------------------------------------------------------------- counts
 def value_counts(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """``agg_value_counts`` / ``agg_cat_hist``: frequency of each non-NULL
-    value, long form (column, value, count), one shuffle for all columns."""
+    value, long form (column, value, count), one shuffle for all columns, by
+    column and descending count (ties by value)."""
     src = df.select(*[F.col(c).cast("string").alias(c) for c in cols])
     lv = src.unpivot([], list(cols), "column", "value")
     return (lv.filter(F.col("value").isNotNull())
-              .groupBy("column", "value").agg(F.count(F.lit(1)).alias("count")))
+              .groupBy("column", "value").agg(F.count(F.lit(1)).alias("count"))
+              .orderBy("column", F.desc("count"), "value"))
 
 
 def nunique(df: DataFrame, cols: Sequence[str], approx: bool = False) -> DataFrame:

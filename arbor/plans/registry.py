@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from arbor.plans import crawl, hr, listings, oracle_crawl, oracle_hr, oracle_listings, quality, relations
+from arbor.plans import crawl, groups, hr, listings, oracle_crawl, oracle_hr, oracle_listings, quality, relations
 
 QUERIES = {}
 ORACLE = {}
@@ -16,3 +16,5 @@ QUERIES.update(quality.QUERIES)
 ORACLE.update(oracle_crawl.ORACLE)
 QUERIES.update(relations.QUERIES)
 ORACLE.update(relations.ORACLE)
+QUERIES.update(groups.QUERIES)
+ORACLE.update(groups.ORACLE)

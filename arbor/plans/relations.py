@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from arbor.functions import text as T
 from arbor.operators import extract as X
+from arbor.operators import joins as J
 from arbor.operators import quality as Q
 from arbor.operators import relational as R
 from arbor.operators import textrules as TR
@@ -18,7 +19,7 @@ from arbor.plans.hr import demographics
 from arbor.plans.oracle_hr import with_fixtures
 from arbor.plans.oracle_listings import RAW_LISTING
 from arbor.sources.fixtures import raw_listing, review
-from arbor.sources.tables import load, register_views
+from arbor.sources.tables import load, named, register_views
 
 
 def join_lookup(spark: SparkSession, sf: str) -> DataFrame:
@@ -31,26 +32,28 @@ def join_lookup(spark: SparkSession, sf: str) -> DataFrame:
 
 def src_view(spark, sf):
     """Orders and their value per market segment, by SQL over named views."""
-    register_views(spark, sf, ("customer", "orders"))
+    views = register_views(spark, sf, ("customer", "orders"))
     return spark.sql("""
         SELECT c_mktsegment AS segment, COUNT(*) AS n_orders,
                ROUND(SUM(CAST(o_totalprice AS DECIMAL(28, 2))), 2) AS value
-        FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY c_mktsegment""")
+        FROM IDENTIFIER(:orders) JOIN IDENTIFIER(:customer) ON o_custkey = c_custkey GROUP BY c_mktsegment""", args=views)
 
 
 def src_temp(spark, sf):
     """The typed demographics table registered by name, then grouped in SQL."""
-    demographics(spark, sf, view="demographics")
+    name = named("demographics", sf)
+    demographics(spark, sf, view=name)
     return spark.sql("""
         SELECT AgeGroup, Gender, COUNT(*) AS reviews, COUNT(DISTINCT EmployeeID) AS employees
-        FROM demographics GROUP BY AgeGroup, Gender""")
+        FROM IDENTIFIER(:demographics) GROUP BY AgeGroup, Gender""", args={"demographics": name})
 
 
 def join_merge(spark, sf):
-    """Orders merged with their line items: order rows multiply."""
+    """Orders merged with their line items: order rows multiply. An order with
+    a large share of the lines would be spread over tasks."""
     orders = load(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), "o_orderpriority")
     lines = load(spark, sf, "lineitem").select(F.col("l_orderkey").alias("id"), "l_linenumber")
-    return R.inner(orders, lines, "id")
+    return J.salted_join(lines, orders, ["id"]).select("id", "o_orderpriority", "l_linenumber")
 
 
 def join_left_semi(spark, sf):

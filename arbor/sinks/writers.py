@@ -4,7 +4,7 @@ through the driver."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, MapType, StructType
 
@@ -20,6 +20,13 @@ def _flat(df: DataFrame) -> DataFrame:
     return df.select(*cols)
 
 
+def folded(text: str) -> Column:
+    """Text in one line, reversibly: backslash, line feed and carriage return
+    become two characters each, so that CSV files stay splittable."""
+    return F.replace(F.replace(F.replace(F.col(text), F.lit("\\"), F.lit("\\\\")), F.lit("\n"), F.lit("\\n")),
+                     F.lit("\r"), F.lit("\\r"))
+
+
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """``sink_csv``: header row, no index column, nested values as JSON."""
     _flat(df).write.mode(mode).option("header", True).option("escape", '"').csv(path)
