@@ -71,10 +71,10 @@ def hr_satisfaction_trend(spark, sf):
     uses the telescoping aggregate (no window over a hot employee)."""
     per_emp = W.mean_change(_er(spark, sf), ["EmployeeID", "Attrition"],
                             ["ReviewDate", "ReviewID"], "JobSatisfaction",
-                            "AvgSatisfactionChange", digits=2)
+                            "step", digits=2)
     return per_emp.groupBy("Attrition").agg(
-        R.sum_fixed("AvgSatisfactionChange", 2).alias("TotalSatisfactionChange"),
-        R.avg_round("AvgSatisfactionChange", 6, scale=2).alias("MeanSatisfactionChange"))
+        R.sum_fixed("step", 2).alias("TotalSatisfactionChange"),
+        R.avg_round("step", 6, scale=2).alias("MeanSatisfactionChange"))
 
 
 def win_lead_diff(spark, sf):
@@ -128,24 +128,15 @@ def hr_final_year_training(spark, sf):
     """Training engagement in the leaver's final review vs earlier ones.
     The final date per leaver is a partial aggregate joined back (the inner
     join keeps only leavers' reviews)."""
-    r = review(spark, sf)
-    leavers = employee(spark, sf).filter(F.col("Attrition")).select("EmployeeID")
-    final = (R.inner(r, leavers, "EmployeeID").groupBy("EmployeeID")
-             .agg(F.max("ReviewDate").alias("finalReviewDate")))
-    te = R.inner(r, final, "EmployeeID").select(
-        "TrainingOpportunitiesTaken", "TrainingOpportunitiesWithinYear",
-        F.when(F.col("ReviewDate") == F.col("finalReviewDate"), "Final Year")
-         .otherwise("Previous Year").alias("ReviewPeriod"),
-        F.try_divide(F.col("TrainingOpportunitiesTaken").cast("double"),
-                     F.col("TrainingOpportunitiesWithinYear").cast("double"))
-         .alias("TrainingTakenRatio"),
-        (F.col("TrainingOpportunitiesWithinYear").cast("int")
-         - F.col("TrainingOpportunitiesTaken").cast("int")).alias("MissedOpportunities"))
-    return te.groupBy("ReviewPeriod").agg(
-        R.avg_double("TrainingOpportunitiesTaken").alias("AvgTrainingOpportunitiesTaken"),
-        R.avg_double("TrainingOpportunitiesWithinYear").alias("AvgTrainingOpportunitiesAvailable"),
-        F.round(F.avg("TrainingTakenRatio"), 6).alias("AvgTrainingTakenRatio"),
-        R.avg_double("MissedOpportunities").alias("AvgMissedOpportunities"))
+    r = review(spark, sf).select("EmployeeID", "ReviewDate", F.col("TrainingOpportunitiesTaken").cast("double").alias("taken"),
+                                 F.col("TrainingOpportunitiesWithinYear").cast("double").alias("offered"))
+    left = employee(spark, sf).filter(F.col("Attrition")).select("EmployeeID")
+    last = R.inner(r, left, "EmployeeID").groupBy("EmployeeID").agg(F.max("ReviewDate").alias("last_day"))
+    period = F.when(F.col("ReviewDate") == F.col("last_day"), "Final Year").otherwise("Previous Year")
+    return R.inner(r, last, "EmployeeID").groupBy(period.alias("ReviewPeriod")).agg(
+        F.avg("taken").alias("AvgTrainingOpportunitiesTaken"), F.avg("offered").alias("AvgTrainingOpportunitiesAvailable"),
+        F.round(F.avg(F.try_divide("taken", "offered")), 6).alias("AvgTrainingTakenRatio"),
+        F.avg(F.col("offered") - F.col("taken")).alias("AvgMissedOpportunities"))
 
 
 def hr_rating_by_training(spark, sf):
@@ -242,7 +233,7 @@ def hr_promotion_frequency(spark, sf):
 
 
 def years_and_job(spark, sf, view: str | None = None) -> DataFrame:
-    """The typed #yearsAndJob table (no ORDER BY: tables have no order)."""
+    """The typed table of years and satisfaction (no ORDER BY: tables have no order)."""
     q = (_er(spark, sf).groupBy("YearsSinceLastPromotion")
          .agg(R.avg_round("JobSatisfaction").alias("avgJobSatisfaction")))
     return R.typed_table(spark, q, YEARS_AND_JOB, view)

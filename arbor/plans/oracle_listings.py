@@ -10,7 +10,6 @@ from __future__ import annotations
 
 from arbor.functions import rules as RU
 from arbor.plans import listings as L
-from arbor.plans.oracle_hr import pearson_sql
 
 RAW_LISTING = r"""raw_listing AS (SELECT p_partkey AS id, p_partkey AS ingest_seq,
   concat(p_type, ' home for sale in ', p_name) AS title,
@@ -227,9 +226,9 @@ def _corr_rows() -> str:
     rows = []
     for i, a in enumerate(cols):
         for b in cols[i:]:
-            rows.append(f"SELECT {q(a)} AS col_a, {q(b)} AS col_b, {pearson_sql(a, b)} AS r FROM analysis")
+            rows.append(f"SELECT {q(a)} AS col_a, {q(b)} AS col_b, round(corr({b}, {a}), 6) AS r FROM analysis")
             if a != b:
-                rows.append(f"SELECT {q(b)} AS col_a, {q(a)} AS col_b, {pearson_sql(a, b)} AS r FROM analysis")
+                rows.append(f"SELECT {q(b)} AS col_a, {q(a)} AS col_b, round(corr({b}, {a}), 6) AS r FROM analysis")
     return "\nUNION ALL\n".join(rows)
 
 

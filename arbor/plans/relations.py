@@ -16,7 +16,6 @@ from arbor.operators import quality as Q
 from arbor.operators import relational as R
 from arbor.operators import textrules as TR
 from arbor.plans.hr import demographics
-from arbor.plans.oracle_hr import with_fixtures
 from arbor.plans.oracle_listings import RAW_LISTING
 from arbor.sources.fixtures import raw_listing, review
 from arbor.sources.tables import load, named, register_views
@@ -138,9 +137,9 @@ WITH {RAW_LISTING}, t AS (SELECT replace(price, ',', '') AS price,
 u AS (SELECT * FROM (UNPIVOT t ON price, city, city_number, floor INTO NAME attribute VALUE v))
 SELECT attribute, COUNT(v) AS texts, COUNT(*) FILTER (v IS NOT NULL AND NOT regexp_full_match(v, '[0-9]+')) AS rejects
 FROM u GROUP BY attribute""",
-    "agg_count_distinct": with_fixtures("""
-SELECT TrainingOpportunitiesTaken, SUM(n)::BIGINT AS reviews, COUNT(*) AS employees
-FROM (SELECT TrainingOpportunitiesTaken, EmployeeID, COUNT(*) AS n FROM review GROUP BY 1, 2)
-GROUP BY TrainingOpportunitiesTaken"""),
+    "agg_count_distinct": """
+SELECT taken AS TrainingOpportunitiesTaken, COUNT(*) AS reviews, COUNT(DISTINCT o_custkey) AS employees
+FROM orders JOIN (SELECT l_orderkey, SUM((l_returnflag = 'R')::INT)::BIGINT AS taken FROM lineitem GROUP BY 1)
+  ON l_orderkey = o_orderkey GROUP BY taken""",
     "dq_sentinel_year": f"WITH {RAW_LISTING} SELECT id, price FROM raw_listing WHERE id % 7 = 0",
 }
