@@ -84,13 +84,15 @@ def shingle_hashes(text: str, width: int) -> np.ndarray:
 
 
 # ---------------------------------------------------------- common order
-def table_bits(docs: DataFrame, text: str) -> int:
-    """About one cell for each 2 code points of the corpus."""
-    chars = docs.agg(F.coalesce(F.sum(F.length(text)), F.lit(0))).first()[0]
-    return min(MOST_BITS, max(LEAST_BITS, math.ceil(math.log2(chars / 2 + 1))))
+def table_size(docs: DataFrame, text: str) -> tuple[int, int]:
+    """Bits of the table, about one cell for each 2 code points of the corpus,
+    and the number of tasks that fill it."""
+    sizes = docs.select(F.length(text).alias("chars"), F.spark_partition_id().alias("part"))
+    chars, last = sizes.agg(F.coalesce(F.sum("chars"), F.lit(0)), F.coalesce(F.max("part"), F.lit(0))).first()
+    return min(MOST_BITS, max(LEAST_BITS, math.ceil(math.log2(chars / 2 + 1)))), last + 1
 
 
-def count_table(docs: DataFrame, text: str, width: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
+def count_table(docs: DataFrame, text: str, width: int, bits: int, tasks: int) -> tuple[np.ndarray, np.ndarray]:
     """Counts of (document, shingle) by cell, the first bits of the hash: a
     bit for each cell that counts one, and for each 2^CODE_BITS cells a code of
     one byte that grows with their sum.
@@ -99,7 +101,7 @@ def count_table(docs: DataFrame, text: str, width: int, bits: int) -> tuple[np.n
     no group holds more than the square root of all tasks' slices. The driver
     gets the packed table, at most 48 MB."""
     ship_code(docs.sparkSession)
-    salts = max(1, math.isqrt(docs.rdd.getNumPartitions()))
+    salts = max(1, math.isqrt(tasks))
     per = (1 << bits) // SLICES
     schema = "slice int, cells binary, n binary"
 
@@ -176,8 +178,8 @@ def sketches(docs: DataFrame, doc_id: str, text: str, width: int, percent: int)
     digests of the set; null if empty), vals (retained values that another
     document may hold) and places (theirs in the set's order)."""
     spark = docs.sparkSession
-    bits = table_bits(docs, text)
-    table = spark.sparkContext.broadcast(count_table(docs, text, width, bits))  # at most 48 MB
+    bits, tasks = table_size(docs, text)
+    table = spark.sparkContext.broadcast(count_table(docs, text, width, bits, tasks))  # at most 48 MB
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -276,7 +278,9 @@ def components(links: DataFrame) -> DataFrame:
 def link_sets(docs: DataFrame, sets: DataFrame, doc_id: str, text: str, width: int, percent: int) -> DataFrame:
     """Distinct sets (rid, i, th, n, vals, places) -> (a, b): confirmed links,
     enough of them that their components are those of all links."""
-    posts = (sets.select(F.col("rid").alias("c"), "n", F.explode(F.arrays_zip("vals", "places")).alias("p"))
+    # a set too small to be similar to any other set is in no list
+    able = sets.where(100 * F.col("n") >= percent * (F.col("n") + 1))
+    posts = (able.select(F.col("rid").alias("c"), "n", F.explode(F.arrays_zip("vals", "places")).alias("p"))
              .select("c", "n", F.col("p.vals").alias("val"), F.col("p.places").alias("at")))
     lists = posts.groupBy("val").agg(F.count(F.lit(1)).alias("held")).where(F.col("held") > 1)
     posts = stage_table(posts.join(lists, "val"), "near-lists")
@@ -291,12 +295,13 @@ def link_sets(docs: DataFrame, sets: DataFrame, doc_id: str, text: str, width: i
         edges = sure if known is None else sure.unionByName(
             known.select(F.col("c").alias("a"), F.col("comp").alias("b")))
         known = stage_table(components(edges), "near-star-components")
-        grouped = stage_table(posts.join(known, "c", "left")
-                              .select("c", "n", "val", "at", "held", F.coalesce("comp", "c").alias("g")), "near-groups")
+        named = join_bounded(posts, known, ["c"], "left", SMALL_ROWS)
+        named = named.select("c", "n", "val", "at", "held", F.coalesce("comp", "c").alias("g"))
+        # lists within one component are done: only the others are written again
+        mixed = named.groupBy("val").agg(F.min("g").alias("g1"), F.max("g").alias("g2"))
+        mixed = stage_table(mixed.where(F.col("g1") != F.col("g2")).select("val"), "near-mixed")
+        grouped = stage_table(join_bounded(named, mixed, ["val"], "left_semi", SMALL_ROWS), "near-groups")
     posts = grouped
-    if known is not None:
-        mixed = posts.groupBy("val").agg(F.min("g").alias("g1"), F.max("g").alias("g2"))
-        posts = posts.join(mixed.where(F.col("g1") != F.col("g2")).select("val"), "val", "left_semi")
 
     pairs = stage_table(_overlaps(posts, percent).distinct(), "near-overlaps")
     one = sets.select(F.col("rid").alias("a"), F.col("vals").alias("va"))
@@ -352,8 +357,10 @@ def _reach(overlap, percent: int):
 
 
 def _first(percent: int):
-    """Whether enough of both sets stands from their places on."""
-    return _reach(F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")), percent)
+    """Whether enough of both sets stands from their places on; sets of one
+    size differ in one value at least."""
+    most = F.least("na", "nb") - (F.col("na") == F.col("nb")).cast("int")
+    return _reach(F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"), most), percent)
 
 
 def _kept(n: str, percent: int):
@@ -364,21 +371,18 @@ def _kept(n: str, percent: int):
 def _grouped(docs: DataFrame, doc_id: str, text: str, width: int, percent: int) -> DataFrame:
     """One row per input row: i, th, n, comp (null without shingles) and component_id."""
     rows = stage_table(sketches(docs, doc_id, text, width, percent), "near-sketches")
-    classes = stage_table(
-        rows.where(F.col("n") > 0).groupBy("s1")
-        .agg(F.min("rid").alias("rid"), F.min("s2").alias("low"), F.max("s2").alias("high"), F.min("i").alias("i")),
-        "near-classes")
-    if classes.where(F.col("low") != F.col("high")).limit(1).count():
-        raise RuntimeError("two sets share a 64-bit digest")
-    copies = stage_table(rows.where(F.col("n") > 0).select("rid", "s1").join(classes.select("rid"), "rid", "left_anti")
-                         .select("rid"), "near-copies")
+    digest = ["s1", "s2"]  # 128 bits name a set
+    classes = stage_table(rows.where(F.col("n") > 0).groupBy(*digest).agg(F.min("rid").alias("rid"), F.min("i").alias("i")),
+                          "near-classes")
+    copies = stage_table(rows.where(F.col("n") > 0).select("rid").join(classes.select("rid"), "rid", "left_anti"),
+                         "near-copies")
     sets = join_bounded(rows.where(F.col("n") > 0), copies, ["rid"], "left_anti", SMALL_ROWS)
     comp = components(link_sets(docs, sets, doc_id, text, width, percent))
     named = stage_table(classes.join(comp.withColumnRenamed("c", "rid"), "rid", "left")
-                        .select("s1", "i", F.coalesce("comp", "rid").alias("comp")), "near-components")
+                        .select(*digest, "i", F.coalesce("comp", "rid").alias("comp")), "near-components")
     best = named.groupBy("comp").agg(F.min("i").alias("component_id"))
-    named = named.join(best, "comp").select("s1", "comp", "component_id")
-    return rows.select("i", "th", "n", "s1").join(named, "s1", "left").drop("s1")
+    named = named.join(best, "comp").select(*digest, "comp", "component_id")
+    return rows.select("i", "th", "n", *digest).join(named, digest, "left").drop(*digest)
 
 
 def near_groups(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", width: int = 5,

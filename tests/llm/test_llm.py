@@ -116,6 +116,19 @@ def test_near_dedup(spark, docs, rows, empty, monkeypatch):
     assert minhash_dedup.near_groups(empty, width=2).count() == 0
 
 
+def test_short_texts_of_few_words_make_few_candidates(spark):
+    """Many short sets from a small vocabulary: lists of the same values, few links."""
+    rnd = random.Random(8)
+    rows = [(k, " ".join(rnd.choice("abcdefghij") * 2 for _ in range(rnd.randint(2, 7))), "s") for k in range(1500)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r.doc_id: r.component_id for r in minhash_dedup.near_groups(df, width=2).collect()}
+    assert got == {i: c for (i, _, c) in _components(rows, 2)}
+    sets = minhash_dedup.stage_table(minhash_dedup.sketches(df, "doc_id", "text", 2, 80), "t").dropDuplicates(["s1", "s2"])
+    posts = (sets.where("n >= 4").select(F.col("rid").alias("c"), "n", F.explode(F.arrays_zip("vals", "places")).alias("p"))
+             .selectExpr("c", "n", "p.vals AS val", "p.places AS at", "c AS g"))
+    assert minhash_dedup._overlaps(posts, 80).distinct().count() < 10 * posts.count()
+
+
 def test_near_dedup_keeps_one_of_each_group(spark, empty):
     rnd = random.Random(9)
 
