@@ -48,7 +48,7 @@ from arbor.llm.common import fresh, join_bounded, load, null_safe, ship_code, sl
 LONG_LIST = 24
 #: Rounds in which long lists that hold several components meet more members,
 #: and how many members in each.
-ROUNDS, PIVOTS = 1, 3
+ROUNDS, PIVOTS = 2, 24
 #: log2 of the count table's cells, at least and at most; of cells to one code.
 LEAST_BITS, MOST_BITS, CODE_BITS = 16, 28, 4
 #: The table is cut in this many slices, which are summed apart.
@@ -295,13 +295,14 @@ def link_sets(docs: DataFrame, sets: DataFrame, doc_id: str, text: str, width: i
         edges = sure if known is None else sure.unionByName(
             known.select(F.col("c").alias("a"), F.col("comp").alias("b")))
         known = stage_table(components(edges), "near-star-components")
-        named = join_bounded(posts, known, ["c"], "left", SMALL_ROWS)
-        named = named.select("c", "n", "val", "at", "held", F.coalesce("comp", "c").alias("g"))
-        # lists within one component are done: only the others are written again
-        mixed = named.groupBy("val").agg(F.min("g").alias("g1"), F.max("g").alias("g2"))
-        mixed = stage_table(mixed.where(F.col("g1") != F.col("g2")).select("val"), "near-mixed")
-        grouped = stage_table(join_bounded(named, mixed, ["val"], "left_semi", SMALL_ROWS), "near-groups")
+        grouped = join_bounded(posts, known, ["c"], "left", SMALL_ROWS)
+        grouped = grouped.select("c", "n", "val", "at", "held", F.coalesce("comp", "c").alias("g"))
+        if known.count() > SMALL_ROWS:  # else the broadcast join is read again, which shuffles nothing
+            grouped = stage_table(grouped, "near-groups")
     posts = grouped
+    if known is not None:
+        mixed = posts.groupBy("val").agg(F.min("g").alias("g1"), F.max("g").alias("g2"))
+        posts = posts.join(mixed.where(F.col("g1") != F.col("g2")).select("val"), "val", "left_semi")
 
     pairs = stage_table(_overlaps(posts, percent).distinct(), "near-overlaps")
     one = sets.select(F.col("rid").alias("a"), F.col("vals").alias("va"))
