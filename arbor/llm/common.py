@@ -51,14 +51,24 @@ def fresh(df: DataFrame, *bases: str) -> list[str]:
 def slices(batches: Iterable[pa.RecordBatch], column: str,
            max_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that ``column`` holds about ``max_bytes`` a piece
-    (one longer text is a piece of its own)."""
-    for batch in batches:
-        total = batch.column(column).nbytes
-        if batch.num_rows == 0:
-            continue
-        rows = max(1, int(batch.num_rows * max_bytes / max(total, 1)))
+    (one longer text is a piece of its own). A batch that is cut is given up
+    before the next one is read: its pieces are copies."""
+    source = iter(batches)
+    while True:
+        batch = next(source, None)
+        if batch is None:
+            return
+        rows = max(1, int(batch.num_rows * max_bytes / max(batch.column(column).nbytes, 1)))
         for start in range(0, batch.num_rows, rows):
-            yield batch.slice(start, rows)
+            piece = batch.slice(start, rows)
+            if rows < batch.num_rows:
+                piece = piece.take(pa.array(range(piece.num_rows), pa.int32()))
+            if start + rows >= batch.num_rows:
+                batch = None
+                pa.default_memory_pool().release_unused()
+            yield piece
+            if batch is None:
+                break
 
 
 def null_safe(left: DataFrame, right: DataFrame, pairs: Sequence[tuple[str, str]]) -> Column:
