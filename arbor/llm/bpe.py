@@ -32,7 +32,7 @@ from arbor.llm.common import load, ship_code, slices
 PATTERN = (r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+"
            r"|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+")
 #: Chunks remembered between the batches of a worker; emptied when full.
-MEMORY = 800_000
+MEMORY = 300_000
 #: Chunks longer than this are encoded but not remembered.
 LONGEST_KEPT = 256
 NONE = np.int64(1 << 60)
