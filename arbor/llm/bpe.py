@@ -31,7 +31,7 @@ from arbor.llm.common import load, ship_code, slices
 #: Fixed value: the cut of byte-level BPE, with Unicode white space spelt out.
 PATTERN = (r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+"
            r"|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+")
-#: Chunks remembered between the batches of a worker; emptied when full.
+#: Chunks remembered between the batches of a task; emptied when full.
 MEMORY = 300_000
 #: Chunks longer than this are encoded but not remembered.
 LONGEST_KEPT = 256
@@ -216,10 +216,14 @@ class ByteBPE:
             return [text]
         return text.replace(" ", "\0 ").split("\0")
 
+    def forget(self) -> None:
+        """Give up the remembered chunks."""
+        self.memory, self.store = {}, Store()
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text."""
         if len(self.memory) > MEMORY:
-            self.memory, self.store = {}, Store()
+            self.forget()
         parts = [self._chunks(t) for t in texts]
         memory = self.memory
         extra = [c for c in dict.fromkeys(chain.from_iterable(parts)) if c not in memory]
@@ -278,6 +282,7 @@ def encode(docs: DataFrame, path: str, *, doc_id: str = "doc_id", text: str = "t
         for batch in slices(batches, "t", 4 << 20):
             rows = bpe.encode([t or "" for t in batch.column("t").to_pylist()])
             yield pa.RecordBatch.from_pydict({"i": batch.column("i"), "ids": _lists(rows)})
+        bpe.forget()  # the worker lives on, for other work
 
     kind = docs.schema[doc_id].dataType.simpleString()
     return (docs.select(F.col(doc_id).alias("i"), F.col(text).alias("t"))

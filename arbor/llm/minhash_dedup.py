@@ -56,7 +56,7 @@ SLICES = 256
 #: Tables of up to so many pairs of numbers are broadcast to the texts.
 SMALL_ROWS = 1_000_000
 #: Distinct words whose hashes a worker remembers between batches.
-MEMORY = 200_000
+MEMORY = 60_000
 _WORDS: dict[bytes, int] = {}
 
 
