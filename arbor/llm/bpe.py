@@ -5,17 +5,21 @@ are not known yet become one flat array of byte symbols with word borders. In
 each round every neighbouring pair inside a word is looked up by binary search
 over the sorted pair keys, each word's lowest-rank pair is merged wherever it
 stands, and finished words leave the array; the rounds end when none is left.
+Words with more merges than ``ROUNDS`` go on in rounds of one rank each over a
+linked list in arrays, which touch only the places where that rank stands.
 Decoding gathers the bytes of all ids with flat index arithmetic.
 
 Defined cases: a null text counts as empty and has no ids; special strings
 inside texts become their ids; any Unicode text round-trips; ids unknown to
 the vocabulary raise; rows are encoded one by one, so repeated rows and extra
-columns change nothing. Very long texts are encoded whole: a word without end
-takes one round for each merge depth of its symbols, all in numpy.
+columns change nothing. Very long texts are encoded whole; a word without end
+takes one round for each merge that occurs in it, and work by its merges, not
+by rounds times its length.
 """
 
 from __future__ import annotations
 
+import heapq
 import json
 import re
 from collections.abc import Iterator
@@ -35,6 +39,8 @@ PATTERN = (r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\
 MEMORY = 300_000
 #: Chunks longer than this are encoded but not remembered.
 LONGEST_KEPT = 256
+#: Rounds over the whole array; words not finished by then go on rank by rank.
+ROUNDS = 32
 NONE = np.int64(1 << 60)
 
 
@@ -128,6 +134,8 @@ class ByteBPE:
         made = np.array([vocab[a + b] for a, b in merges], np.int64)
         order = np.argsort(keys, kind="stable")
         self.keys, self.ranks, self.made = keys[order], order.astype(np.int64), made[order]
+        self.slot_of = np.empty(order.size, np.int64)  # by rank: the place in the sorted keys
+        self.slot_of[order] = np.arange(order.size)
         self.cut = regex.compile(PATTERN)
         self.special_cut = (regex.compile("|".join(map(regex.escape, sorted(
             self.specials, key=len, reverse=True)))) if self.specials else None)
@@ -142,7 +150,14 @@ class ByteBPE:
         flat = self.byte_ids[np.frombuffer(b"".join(words), np.uint8)]
         word = np.repeat(np.arange(len(words), dtype=np.int64), sizes)
         done_ids, done_word = [], []
+        turn = 0
         while flat.size:
+            if turn == ROUNDS:
+                flat, word = self._by_rank(flat, word)
+                done_ids.append(flat)
+                done_word.append(word)
+                break
+            turn += 1
             slot = self._lookup(flat, word)
             rank = np.where(slot >= 0, self.ranks[np.maximum(slot, 0)], NONE)
             starts = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
@@ -167,6 +182,61 @@ class ByteBPE:
         ids, owner = np.concatenate(done_ids), np.concatenate(done_word)
         return ids[np.argsort(owner, kind="stable")], np.bincount(owner, minlength=len(words))
 
+    def _by_rank(self, flat: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The merged symbols of all words, one rank a round. ``after`` and
+        ``before`` link the symbols left; a place waits under the rank of the
+        pair that begins there, and counts only if that is still its pair."""
+        n = flat.size
+        symbol = np.append(flat, -1)  # place n: beyond a word
+        place = np.arange(n + 1)
+        after, before = np.minimum(place + 1, n), place - 1
+        border = np.flatnonzero(word[1:] != word[:-1])
+        after[border], before[border + 1], before[0] = n, n, n
+        alive = np.ones(n, bool)
+        slot = np.append(self._lookup(flat, word), -1)
+        waiting: dict[int, list[np.ndarray]] = {}
+        queue: list[int] = []
+
+        def wait(places: np.ndarray) -> None:
+            ranks = self.ranks[slot[places]]
+            order = np.argsort(ranks, kind="stable")
+            ranks, places = ranks[order], places[order]
+            cuts = np.flatnonzero(ranks[1:] != ranks[:-1]) + 1
+            starts = [0, *cuts.tolist()] if ranks.size else []
+            for a, b in zip(starts, [*starts[1:], ranks.size]):
+                rank = int(ranks[a])
+                if rank not in waiting:
+                    waiting[rank] = []
+                    heapq.heappush(queue, rank)
+                waiting[rank].append(places[a:b])
+
+        wait(np.flatnonzero(slot >= 0))
+        while queue:
+            rank = heapq.heappop(queue)
+            own = self.slot_of[rank]
+            left = np.unique(np.concatenate(waiting.pop(rank)))
+            left = left[slot[left] == own]
+            if left.size > 1:  # of overlapping pairs, every other one from the left
+                meets = np.concatenate([[False], after[left[:-1]] == left[1:]])
+                if meets.any():
+                    at = np.arange(left.size)
+                    left = left[(at - np.maximum.accumulate(np.where(meets, 0, at))) % 2 == 0]
+            if not left.size:
+                continue
+            gone = after[left]
+            beyond = after[gone]
+            symbol[left] = self.made[own]
+            alive[gone], slot[gone] = False, -1
+            after[left], before[beyond] = beyond, left
+            changed = np.concatenate([left, before[left]])
+            changed = np.unique(changed[changed < n])
+            right = symbol[after[changed]]
+            pair = symbol[changed] * self.base + right
+            found = np.minimum(np.searchsorted(self.keys, pair), self.keys.size - 1)
+            slot[changed] = np.where((right >= 0) & (self.keys[found] == pair), found, -1)
+            wait(changed[slot[changed] >= 0])
+        return symbol[:n][alive], word[alive]
+
     def _lookup(self, flat: np.ndarray, word: np.ndarray) -> np.ndarray:
         """For each symbol, the place of (it, its right neighbour) in the
         sorted pair keys, or -1."""

@@ -484,3 +484,28 @@ def test_pipeline(spark, rows, scratch):
                                 for i, t, _ in left if plan[i]})
     assert got == want
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "exact dedup", "near dedup", "mixing", "bpe"]
+
+
+def test_bpe_takes_words_without_end():
+    """Long letter runs, equal letters and base64 lines against the library; a
+    word of 1 MB within a time limit."""
+    import time
+
+    from tokenizers import Tokenizer
+
+    path = P.path("byte_bpe_50k.json")
+    library, own = Tokenizer.from_file(path), bpe.ByteBPE(path)
+    rnd = random.Random(12)
+    run = lambda n, letters: "".join(rnd.choices(letters, k=n))
+    texts = [run(n, letters) for n in (33, 70, 500, 20_000)
+             for letters in ("a", "ab", "abcdefghijklmnopqrstuvwxyz", "etaoinshr", "中文字符", "-=", "01")]
+    texts += [base64.b64encode(rnd.randbytes(9000)).decode(), " ".join(run(300, "esti") for _ in range(40)),
+              "x" * 65 + " " + "the" * 5000 + "\n" + " " * 700]
+    texts += [run(rnd.randint(1, 400), "aeinrst") for _ in range(300)]
+    for text, got in zip(texts, own.encode(texts)):
+        assert got.tolist() == library.encode(text, add_special_tokens=False).ids
+    started = time.monotonic()
+    long = run(1_000_000, "abcdefghijklmnopqrstuvwxyz")
+    got = own.encode([long])[0]
+    assert time.monotonic() - started < 40
+    assert got.tolist() == library.encode(long, add_special_tokens=False).ids
