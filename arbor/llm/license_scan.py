@@ -9,7 +9,8 @@ evaluated: each licence has a permissiveness, ``and`` takes the smaller,
 
 Defined cases: a null text counts as empty; a text without notices has no
 labels and score 0; a malformed expression gives the licences read up to the
-fault and the label ``invalid-expression``; overlapping phrases all count;
+fault and the label ``invalid-expression``; prose after the tag gives nothing;
+operands are identifiers of a table (a parameter); overlapping phrases all count;
 rows are scanned one by one, so repeated rows and extra columns change nothing.
 """
 
@@ -52,10 +53,38 @@ VALUES = (("mit", 1.0), ("bsd", 1.0), ("isc", 1.0), ("0bsd", 1.0), ("unlicense",
           ("proprietary", 0.0), ("licenseref", 0.0), ("invalid", 0.0))
 UNKNOWN = 0.2
 
+# Licence identifiers, lower-cased. ``-only``, ``-or-later`` and ``+`` follow by rule.
+IDENTIFIERS = frozenset("""
+0bsd aal afl-1.1 afl-2.0 afl-2.1 afl-3.0 agpl-1.0 agpl-3.0 apache-1.0 apache-1.1 apache-2.0 apsl-1.0 apsl-2.0
+artistic-1.0 artistic-1.0-perl artistic-2.0 beerware blueoak-1.0.0 bsd-1-clause bsd-2-clause bsd-2-clause-patent
+bsd-3-clause bsd-3-clause-clear bsd-3-clause-lbnl bsd-4-clause bsd-source-code bsl-1.0 busl-1.1 bzip2-1.0.6
+cc-by-1.0 cc-by-2.0 cc-by-2.5 cc-by-3.0 cc-by-4.0 cc-by-nc-2.0 cc-by-nc-3.0 cc-by-nc-4.0 cc-by-nc-nd-3.0
+cc-by-nc-nd-4.0 cc-by-nc-sa-3.0 cc-by-nc-sa-4.0 cc-by-nd-3.0 cc-by-nd-4.0 cc-by-sa-2.0 cc-by-sa-2.5 cc-by-sa-3.0
+cc-by-sa-4.0 cc0-1.0 cddl-1.0 cddl-1.1 cecill-2.0 cecill-2.1 cecill-b cecill-c cpl-1.0 curl ecl-2.0 efl-2.0 epl-1.0
+epl-2.0 eupl-1.1 eupl-1.2 fsfap ftl gfdl-1.1 gfdl-1.2 gfdl-1.3 gpl-1.0 gpl-2.0 gpl-3.0 hpnd icu ijg ipa ipl-1.0
+isc lgpl-2.0 lgpl-2.1 lgpl-3.0 libpng libpng-2.0 lppl-1.3c mit mit-0 mit-cmu mpl-1.0 mpl-1.1 mpl-2.0 ms-pl ms-rl
+mulanpsl-2.0 ncsa nposl-3.0 ntp odbl-1.0 odc-by-1.0 ofl-1.0 ofl-1.1 openssl osl-1.0 osl-2.1 osl-3.0 php-3.0
+php-3.01 postgresql psf-2.0 python-2.0 qpl-1.0 ruby sgi-b-2.0 sleepycat sspl-1.0 tcl unicode-3.0 unicode-dfs-2016
+unlicense upl-1.0 vim w3c wtfpl x11 zlib zpl-2.1
+none noassertion
+""".split())
+# Exceptions that may follow ``with``, lower-cased.
+EXCEPTIONS = frozenset("""
+389-exception autoconf-exception-2.0 autoconf-exception-3.0 bison-exception-2.2 bootloader-exception
+classpath-exception-2.0 ecos-exception-2.0 font-exception-2.0 freertos-exception-2.0 gcc-exception-2.0
+gcc-exception-3.1 gpl-3.0-linking-exception gpl-cc-1.0 libtool-exception linux-syscall-note llvm-exception
+ocaml-lgpl-linking-exception openjdk-assembly-exception-1.0 openvpn-openssl-exception qt-gpl-exception-1.0
+qt-lgpl-exception-1.1 swift-exception u-boot-exception-2.0 universal-foss-exception-1.0 wxwindows-exception-3.1
+""".split())
+
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 _LOWER = {c: c + 32 for c in range(65, 91)}
-_TAG_LINE = re.compile(r"(?i)spdx[\W_]+license[\W_]+identifier[ \t]*:?[ \t]*([^\r\n]*)")
+_TAG = re.compile(r"(?i)spdx[\W_]+license[\W_]+identifier[ \t]*:?")
 _TOKEN = re.compile(r"[()]|[A-Za-z0-9][A-Za-z0-9.+:\-]*")
+_BLANK = re.compile(r"[ \t]*")
+#: Inside brackets an expression goes on over line ends and comment signs.
+_BLANK_INSIDE = re.compile(r"[ \t]*(?:\r?\n[ \t]*(?:#+|//+|\*+|--|;+|%+)?[ \t]*)*")
+_REF = re.compile(r"(?:documentref-[a-z0-9.\-]+:)?licenseref-[a-z0-9.\-]+")
 _RANK = {"or": 1, "and": 2, "with": 3}
 
 
@@ -66,51 +95,76 @@ def value(label: str) -> float:
     return UNKNOWN
 
 
-def parse(expression: str) -> tuple[list[str], bool]:
-    """Shunting-yard: the expression in postfix order, and whether it is whole.
+def is_licence(word: str, known: frozenset[str] = IDENTIFIERS) -> bool:
+    """A lower-case identifier of the table, with ``+``, ``-only`` or
+    ``-or-later`` after it if it is one, or a ``LicenseRef-``."""
+    stem = word.removesuffix("+").removesuffix("-only").removesuffix("-or-later")
+    return stem in known or word in known or _REF.fullmatch(word) is not None
+
 
-    Reads as far as the expression goes: text after it (a comment's end, a
-    further sentence) is left alone, as two operands never stand side by side.
+def parse(text: str, start: int = 0, known: frozenset[str] = IDENTIFIERS) -> tuple[list[str], bool]:
+    """Shunting-yard: the expression at ``start`` in postfix order, and
+    whether it is well formed.
+
+    Operands are identifiers of the table; after ``with`` only an exception
+    may stand. The expression ends where no token of it can follow: a line end
+    outside brackets, two operands side by side, or a word of prose, whose
+    operator is then prose too (``MIT and use it freely`` is ``MIT``). A word
+    of prose is one of letters alone; any other unknown word is a fault, as
+    are open brackets, an operator before the line's end, and nothing at all.
     """
     out: list[str] = []
     stack: list[str] = []
-    operand = True  # an operand or "(" is due
-    whole = True
-    end = 0
-    for m in _TOKEN.finditer(expression):
-        if expression[end:m.start()].strip():
-            break  # something that no expression holds
-        token, end = m[0], m.end()
-        low = token.lower()
-        if token == "(":
-            if not operand:
-                break
-            stack.append(token)
-        elif token == ")":
-            if operand or "(" not in stack:
-                whole = whole and not operand
+    due = True  # an operand or "(" is due
+    whole, prose = True, False
+    depth, end, last = 0, start, ""
+    while True:
+        end = (_BLANK_INSIDE if depth else _BLANK).match(text, end).end()
+        m = _TOKEN.match(text, end)
+        if m is None:
+            break
+        end = m.end()
+        low = m[0].lower().rstrip(".:")
+        if low in "()":
+            if (low == "(") != due or (low == ")" and not depth):
                 break
-            while stack[-1] != "(":
-                out.append(stack.pop())
-            stack.pop()
+            if low == "(":
+                if stack and stack[-1] == "with":
+                    whole = False
+                    break
+                stack.append(low)
+                depth += 1
+            else:
+                while stack[-1] != "(":
+                    out.append(stack.pop())
+                stack.pop()
+                depth -= 1
         elif low in _RANK:
-            if operand:
+            if due:
+                break
+            if low == "with" and not is_licence(last, known):
                 whole = False
                 break
             while stack and stack[-1] != "(" and _RANK[stack[-1]] >= _RANK[low]:
                 out.append(stack.pop())
             stack.append(low)
-            operand = True
+            due = True
         else:
-            if not operand:
+            if not due:
+                break
+            after_with = bool(stack) and stack[-1] == "with"
+            if not (low in EXCEPTIONS if after_with else is_licence(low, known)):
+                prose = low.isalpha() and not depth and not is_licence(low, known)
+                whole = whole and prose
                 break
             out.append(low)
-            operand = False
-    if operand:  # an operator without its right side, or nothing at all
+            due = False
+        last = low
+    if due and not prose:  # an operator without its right side, or nothing at all
         whole = False
-        if stack and stack[-1] in _RANK:
-            stack.pop()
-    if "(" in stack:
+    if due and stack and stack[-1] in _RANK:
+        stack.pop()
+    if depth and out:
         whole = False
     out.extend(t for t in reversed(stack) if t != "(")
     return out, whole
@@ -146,7 +200,7 @@ def automaton():
     return auto
 
 
-def scan_text(text: str, auto) -> tuple:
+def scan_text(text: str, auto, known: frozenset[str] = IDENTIFIERS) -> tuple:
     """n_words, n_base, first_word, last_word, base labels, labels, score."""
     words = _WORD.findall(text.translate(_LOWER))
     line = f" {' '.join(words)} "
@@ -161,8 +215,8 @@ def scan_text(text: str, auto) -> tuple:
             base.add(base_label)
             starts.append(end - size + 1)
     if tagged:
-        for m in _TAG_LINE.finditer(text):
-            postfix, whole = parse(m[1])
+        for m in _TAG.finditer(text):
+            postfix, whole = parse(text, m.end(), known)
             v, found = evaluate(postfix)
             labels.update(found)
             if found:
@@ -175,8 +229,10 @@ def scan_text(text: str, auto) -> tuple:
             min(values, default=0.0))
 
 
-def scan(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per document with its notices, licences and score."""
+def scan(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
+         identifiers: frozenset[str] = IDENTIFIERS) -> DataFrame:
+    """One row per document with its notices, licences and score;
+    ``identifiers`` (lower case) are the operands that expressions may hold."""
     ship_code(docs.sparkSession)
     fields = (("n_words", pa.int64()), ("n_base", pa.int64()), ("first_word", pa.int64()),
               ("last_word", pa.int64()), ("base_labels", pa.string()), ("labels", pa.string()),
@@ -185,7 +241,7 @@ def scan(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> Data
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         auto = automaton()
         for batch in slices(batches, "t"):
-            rows = [scan_text(t or "", auto) for t in batch.column("t").to_pylist()]
+            rows = [scan_text(t or "", auto, identifiers) for t in batch.column("t").to_pylist()]
             yield pa.RecordBatch.from_pydict({"i": batch.column("i"), **{
                 name: pa.array([r[k] for r in rows], kind) for k, (name, kind) in enumerate(fields)}})
 

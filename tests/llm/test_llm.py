@@ -294,13 +294,44 @@ def test_license_scan(docs, rows, empty):
     assert license_scan.scan(empty).count() == 0
 
 
+def test_license_base_counts_equal_brute_force(spark):
+    rnd = random.Random(14)
+    bits = ["MIT", "License", "license", "apache", "Apache", "general", "PUBLIC", "Public", "x", "é", "lICENSE", "2"]
+    texts = [None, "", " ", "mit license", "mit license mit license"]
+    texts += ["".join(rnd.choice(bits) + rnd.choice([" ", "-", ". ", "\n", "", "_"]) for _ in range(rnd.randint(1, 60)))
+              for _ in range(2000)] + [" MIT license general public license" * 20_000]
+    rows = [(k, t) for k, t in enumerate(texts)] + [(1, texts[30])] * 3 + [(None, texts[31])]
+    phrases = {("mit", "license"): "mit", ("apache", "license"): "apache", ("general", "public", "license"): "gpl"}
+    want = []
+    for i, t in rows:
+        w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate(LOWER))
+        hits = [(k, v) for k in range(len(w)) for p, v in phrases.items() if tuple(w[k:k + len(p)]) == p]
+        at = [k for k, _ in hits]
+        want.append((i, len(w), len(hits), min(at, default=None), max(at, default=None),
+                     ",".join(sorted({v for _, v in hits}))))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = license_scan.scan(df).collect()
+    assert _key((r.doc_id, r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) for r in got) == _key(want)
+    assert all(set(filter(None, r.base_labels.split(","))) <= set(r.labels.split(",")) for r in got)
+
+
 @pytest.mark.parametrize("text,postfix,whole", [
     ("MIT", ["mit"], True),
     ("MIT OR Apache-2.0 AND GPL-2.0-only", ["mit", "apache-2.0", "gpl-2.0-only", "and", "or"], True),
     ("(MIT OR Apache-2.0) AND BSD-3-Clause", ["mit", "apache-2.0", "or", "bsd-3-clause", "and"], True),
     ("GPL-2.0 WITH Classpath-exception-2.0 OR MIT", ["gpl-2.0", "classpath-exception-2.0", "with", "mit", "or"], True),
-    ("MIT */", ["mit"], True), ("MIT and more words", ["mit", "more", "and"], True),
+    ("MIT */", ["mit"], True), ("MIT and more words", ["mit"], True), ("MIT.", ["mit"], True),
     ("MIT OR", ["mit"], False), ("(MIT OR ISC", ["mit", "isc", "or"], False), ("", [], False),
+    ("MIT and use it freely", ["mit"], True), ("see the file COPYING", [], True), ("tags in", [], True),
+    ("is a tag", [], True), ("(see the file)", [], False), ("A WITH MIT WITH foo", [], True),
+    ("GPL-2.0 WITH MIT", ["gpl-2.0"], False), ("GPL-2.0 WITH (MIT)", ["gpl-2.0"], False),
+    ("GPL-2.0+ WITH GCC-exception-3.1 WITH LLVM-exception", ["gpl-2.0+", "gcc-exception-3.1", "with"], False),
+    ("(MIT) WITH LLVM-exception", ["mit"], False), ("Foo-1.0", [], False), ("MIT OR Foo-1.0", ["mit"], False),
+    ("LicenseRef-Own OR DocumentRef-x.1:LicenseRef-y", ["licenseref-own", "documentref-x.1:licenseref-y", "or"], True),
+    ("GPL-3.0-or-later or LGPL-2.1-only", ["gpl-3.0-or-later", "lgpl-2.1-only", "or"], True),
+    ("(MIT OR\r\n # (ISC AND\n# Zlib))\nand Vim", ["mit", "isc", "zlib", "and", "or"], True),
+    ("MIT\nOR ISC", ["mit"], True), ("MIT ISC", ["mit"], True), ("MIT)", ["mit"], True), ("()", [], False),
+    ("AND MIT", [], False),
 ])
 def test_license_expressions(text, postfix, whole):
     assert license_scan.parse(text) == (postfix, whole)
