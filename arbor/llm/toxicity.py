@@ -1,8 +1,12 @@
 """Toxicity: a weighted lexicon matched by Aho-Corasick.
 
-Texts are lower-cased, homoglyphs and digit substitutions are folded to one
-letter each, and everything that is not a letter or digit becomes a single
-space, so ``1d10t``, ``ｉdiоt`` and ``Idiot!`` are one word. One automaton
+Texts are brought to one form (NFKC), lower-cased, homoglyphs and digit
+substitutions are folded to one letter each, and everything that is not a
+letter or digit becomes a single space, so ``1d10t``, ``ｉdiоt`` and ``Idiot!``
+are one word. A second reading drops marks (``ïdiot``), joins letters spelled
+out one by one (``i.d.i.o.t``) and takes a sign before a word as a letter
+(``$tupid``); there only words of the fixed lexicon count, as marks tell
+harmless words from learned terms. One automaton
 holds the lexicon (whole words and word beginnings, each with a weight) and
 the exception phrases; a hit inside an exception phrase does not count. The
 summed weight is normalised by the text's length in a logistic score.
@@ -54,22 +58,45 @@ INVISIBLE = "\u00ad\u200b\u200c\u200d\u2060\ufeff"
 SIGNS = {"@": "a", "$": "s", "!": "i", "|": "i", "+": "t", "€": "e"}
 
 _SIGN = re.compile(r"(?<=\w)[@$!|+€](?=\w)")
+_FIRST_SIGN = re.compile(r"(?<!\w)[@$!|+€][^\W\d_]\w*")
+#: Four or more single letters with one and the same sign or space between them.
+_SPELLED = re.compile(r"(?<!\w)[^\W_]([.\-_* ])[^\W_](?:\1[^\W_]){2,}(?!\w)")
+_MARKS = re.compile(r"[\u0300-\u036f]+")
+_MARKED_WORD = re.compile(r"[\w\u0300-\u036f]+")
 _WORD = re.compile(r"[^\W_]+")
-#: Full-width forms fold by rule: each to the letter that NFKC gives.
-_TABLE = {c:
-          unicodedata.normalize("NFKC", chr(c)).lower() for c in range(0xFF10, 0xFF5B)
-          if unicodedata.normalize("NFKC", chr(c)).isalnum()}
-_TABLE.update({ord(k): v for k, v in LOOKALIKES.items()})
-_TABLE.update({c: LOOKALIKES.get(v, v) for c, v in list(_TABLE.items())})
-_TABLE.update({ord(c): "" for c in INVISIBLE})
+_TABLE = {ord(k): v for k, v in LOOKALIKES.items()} | {ord(c): "" for c in INVISIBLE}
+
+
+def _signs_inside(text: str) -> str:
+    if any(c in text for c in SIGNS) and _SIGN.search(text):
+        return _SIGN.sub(lambda m: SIGNS[m[0]], text)
+    return text
 
 
 def fold(text: str) -> list[str]:
     """Folded words of a text."""
+    if not text.isascii():
+        text = unicodedata.normalize("NFKC", text)
+    return _WORD.findall(_signs_inside(text.lower()).translate(_TABLE))
+
+
+_FIXED = frozenset(w for word in BASE_LEXICON for w in fold(word))
+
+
+def second_reading(text: str) -> list[str]:
+    """Words of the fixed lexicon that show only without marks, with spelled-out
+    letters joined, or with the sign before a word as a letter."""
+    found: list[str] = []
     text = text.lower()
-    if _SIGN.search(text):
-        text = _SIGN.sub(lambda m: SIGNS[m[0]], text)
-    return _WORD.findall(text.translate(_TABLE))
+    if not text.isascii():
+        text = unicodedata.normalize("NFKD", text)
+        if _MARKS.search(text):
+            found += [_MARKS.sub("", w) for w in _MARKED_WORD.findall(text) if _MARKS.search(w)]
+            text = _MARKS.sub("", text)
+    found += [m[0].replace(m[1], "") for m in _SPELLED.finditer(text)]
+    if any(c in text for c in SIGNS):
+        found += [SIGNS[w[0]] + w[1:] for w in _FIRST_SIGN.findall(text)]
+    return [w for w in fold(" ".join(found)) if w in _FIXED] if found else found
 
 
 @dataclass(frozen=True)
@@ -96,11 +123,13 @@ class ToxicityModel:
             auto.make_automaton()
 
         def match(text: str) -> tuple[float, float, int]:
-            words = fold(text)
+            words, other = fold(text), second_reading(text)
             best: dict[int, float] = {}
             shielded: list[tuple[int, int]] = []
             if len(auto) and words:
-                for end, (size, weight) in auto.iter(f" {' '.join(words)} "):
+                # two spaces apart, so that no phrase reaches over
+                line = f" {' '.join(words)} " + "".join(f" {w} " for w in other)
+                for end, (size, weight) in auto.iter(line):
                     start = end - size + 1
                     if weight is None:
                         shielded.append((start, end))

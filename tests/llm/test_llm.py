@@ -540,3 +540,55 @@ def test_bpe_takes_words_without_end():
     got = own.encode([long])[0]
     assert time.monotonic() - started < 40
     assert got.tolist() == library.encode(long, add_special_tokens=False).ids
+
+
+@pytest.mark.parametrize("text", [
+    "ïdiot", "İdiot", "𝗂𝖽𝗂𝗈𝗍", "𝕚𝕕𝕚𝕠𝕥", "ｉｄｉｏｔ", "i.d.i.o.t", "i d i o t", "I-D-I-O-T", "1d10t", "іdіоt", "id\u00adi\u200bot",
+    "!diot", "@idiot", "idiot!!!", "i\u0301d\u0308iot", "$tupid", "st\u00fcpid", "s.t.u.p.i.d", "tr@sh", "l0ser", "(loser)", "$cum", "ìdìòt",
+])
+def test_folding_sees_through_disguises(text):
+    match = toxicity.base_model().matcher()
+    assert match(f"so {text} here")[0] == toxicity.BASE_WEIGHT
+
+
+@pytest.mark.parametrize("text", [
+    "the trash can", "tr@sh bin", "the U.S.A. and the E.U.", "a b c d e f", "$100 or $ 5", "naïve façade über İstanbul",
+    "circus clown", "idiotic-free", "", "   ", "stup id", "@user said", "x+y", "i.d.",
+])
+def test_folding_leaves_clean_texts_alone(text):
+    assert toxicity.base_model().matcher()(text)[0] == 0
+
+
+def _plain_match(model, text):
+    """Weights by a search for each term at each place, without an automaton."""
+    words = toxicity.fold(text)
+    line = f" {' '.join(words)} " + "".join(f" {w} " for w in toxicity.second_reading(text))
+    best = {}
+    for term, weight in model.terms:
+        for at in range(len(line)):
+            if line.startswith(term, at):
+                best[at] = max(best.get(at, 0.0), weight)
+    for phrase in model.exceptions:
+        term = f" {' '.join(toxicity.fold(phrase))} "
+        for at in range(len(line)):
+            if line.startswith(term, at):
+                for k in range(at, at + len(term) - 1):
+                    best.pop(k, None)
+    return sum(best.values()), max(best.values(), default=0.0), len(words)
+
+
+def test_toxicity_scores_equal_brute_force(spark, docs, rows, empty):
+    rnd = random.Random(15)
+    bits = [*toxicity.BASE_LEXICON, *toxicity.EXCEPTIONS, "fine", "idiots", "clownish", "$tupid", "trash.can", "é", "0", "@"]
+    texts = [" ".join(rnd.choices(bits, k=rnd.randint(0, 14))) for _ in range(300)]
+    start = toxicity.base_model()
+    model = toxicity.ToxicityModel((*start.terms, (" id", 1.5), (" clown", 2.0)), start.exceptions, start.coef)
+    all_rows = [(i, t) for i, t, _ in rows if len(t or "") < 5000] + list(enumerate(texts)) + [(3, texts[3])] * 2
+    df = spark.createDataFrame(all_rows, "doc_id long, text string")
+    got = toxicity.score(df, model).collect()
+    want = []
+    for i, t in all_rows:
+        p = model.probability(*_plain_match(model, t or ""))
+        want.append((i, round(p, 9), int(p >= 0.5)))
+    assert _key((r.doc_id, round(r.score, 9), r.predicted) for r in got) == _key(want)
+    assert toxicity.score(empty, model).count() == 0
