@@ -337,7 +337,7 @@ def _stars(posts: DataFrame, turn: int, percent: int) -> DataFrame:
         pivots = top.select("val", F.col("best.g").alias("top"), F.explode(F.array_distinct(F.array(
             *[F.col(f"best.c{k}") for k in range(PIVOTS)]))).alias("a"))
     # a stands in the list itself, at its own place
-    own = posts.select("val", F.col("c").alias("a"), F.col("n").alias("na"), F.col("at").alias("pa"))
+    own = long.select("val", F.col("c").alias("a"), F.col("n").alias("na"), F.col("at").alias("pa"))
     met = long.join(pivots, "val").where(F.col("g") != F.col("top"))
     met = met.select("val", "a", F.col("c").alias("b"), F.col("n").alias("nb"), F.col("at").alias("pb"))
     return met.join(own, ["val", "a"]).where(_first(percent)).select("a", "b").distinct()
