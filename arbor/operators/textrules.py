@@ -64,10 +64,12 @@ def _clean(match: Column, rule: RU.Extract) -> Column:
     return v.try_cast(rule.dtype)
 
 
-def long_feature_cols(text_col: str,
-                      extracts: Sequence[RU.Extract] = RU.EXTRACTS) -> dict[str, Column]:
+def long_feature_cols(text_col: str, extracts: Sequence[RU.Extract] = RU.EXTRACTS,
+                      basement: bool = False) -> dict[str, Column]:
     """Long feature text -> 11 flags and 11 typed extracts (``str_extract_suite``
-    + cleaning), as named expressions for one projection."""
+    + cleaning), as named expressions for one projection. A basement or
+    semi-basement is floor 0 unless ``basement`` makes it -1, as in the short path
+    (a stated floor -1 or -2 still decides)."""
     raw = F.col(text_col)
     low = F.lower(raw)
     text = F.lower(T.remove_all(raw, RU.LONG_TEXT_REMOVE))
@@ -80,16 +82,18 @@ def long_feature_cols(text_col: str,
     fl = T.extract(no_area, RU.FLOOR_PATTERN)
     fl = F.when(T.contains(low, "mezzanine", lower=False, na=False), F.lit("mezzanine")).otherwise(fl)
     fl = F.coalesce(fl, F.lit("ground"))
+    if basement:
+        fl = F.when(T.contains(low, "basement", lower=False, na=False), F.lit("-1")).otherwise(fl)
     fl = F.when(T.contains(low, "floor -1", lower=False, na=False), F.lit("-1")).otherwise(fl)
     fl = F.when(T.contains(low, "floor -2", lower=False, na=False), F.lit("-2")).otherwise(fl)
     cols["floor"] = T.strip(T.replace_chain(fl, RU.LONG_FLOOR_REPLACES)).try_cast("int")
     return cols
 
 
-def long_features(df: DataFrame, id_col: str, text_col: str,
-                  extracts: Sequence[RU.Extract] = RU.EXTRACTS) -> DataFrame:
+def long_features(df: DataFrame, id_col: str, text_col: str, extracts: Sequence[RU.Extract] = RU.EXTRACTS,
+                  basement: bool = False) -> DataFrame:
     return df.select(F.col(id_col).alias("id"),
-                     *[c.alias(n) for n, c in long_feature_cols(text_col, extracts).items()])
+                     *[c.alias(n) for n, c in long_feature_cols(text_col, extracts, basement).items()])
 
 
 def price_title_place_cols(title: str = "title", place: str = "neighborhood",

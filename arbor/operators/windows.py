@@ -190,14 +190,16 @@ def duplicated(df: DataFrame, key: Sequence[str], order: str,
 
 
 def group_impute(df: DataFrame, key: str, value: str,
-                 method: str = "exact") -> DataFrame:
+                 method: str = "exact", keep_null_key: bool = False) -> DataFrame:
     """``win_group_impute``: fill NULL ``value`` with its group's median;
-    rows with a NULL key get NULL (pandas transform, R8). ``df`` is read three
+    rows with a NULL key get NULL (pandas transform, R8), or keep their own
+    value with ``keep_null_key``. ``df`` is read three
     times (counts, median, rows): it should be a stage table."""
     med = group_median(df, [key], value, "_med", method)
     j = salted_join(df, med, [key], "left")
-    filled = F.when(F.col(key).isNull(), F.lit(None).cast("double")).otherwise(
-        F.coalesce(F.col(value).cast("double"), F.col("_med")))
+    own = F.col(value).cast("double")
+    filled = F.when(F.col(key).isNull(), own if keep_null_key else F.lit(None).cast("double")).otherwise(
+        F.coalesce(own, F.col("_med")))
     return j.withColumn(value, filled).drop("_med").select(*df.columns)
 
 

@@ -109,12 +109,13 @@ ANALYSIS_COLUMNS = [c for c in STRUCTURED_COLUMNS if c not in DROPPED_FOR_ANALYS
 
 
 def analysis_listing(spark, sf, simultaneous_backfill: bool = False,
-                     method: str = "exact", columns: Sequence[str] = ANALYSIS_COLUMNS) -> DataFrame:
+                     method: str = "exact", columns: Sequence[str] = ANALYSIS_COLUMNS,
+                     keep_placeless: bool = False) -> DataFrame:
     """``re_clean``: keep-first dedupe by id (of raw rows, before any text is
     matched), city/neighbourhood backfill in
     the reference's sequence (Q6), year imputed by the neighbourhood median
     (R8, Q7), rows still without a year dropped, the named analysis columns
-    kept. The structured listing is staged before the impute, which reads it
+    kept. Rows without a neighbourhood go even with a year, unless ``keep_placeless``. The structured listing is staged before the impute, which reads it
     more than once: texts are matched once, and only those of kept columns."""
     raw = W.keep_first(raw_listing(spark, sf), ["id"], "ingest_seq")
     df = structured_listing(spark, sf, raw)
@@ -127,7 +128,7 @@ def analysis_listing(spark, sf, simultaneous_backfill: bool = False,
         df = df.withColumn("neighborhood",
                            F.when(F.col("city").isNull(), F.col("address")).otherwise(hood))
     needed = [c for c in ANALYSIS_COLUMNS if c in {*columns, "neighborhood", "year_built"}]
-    df = W.group_impute(stage_table(df.select(*needed), "listing"), "neighborhood", "year_built", method)
+    df = W.group_impute(stage_table(df.select(*needed), "listing"), "neighborhood", "year_built", method, keep_placeless)
     return df.na.drop(subset=["year_built"]).select(*columns)
 
 

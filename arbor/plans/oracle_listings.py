@@ -1,15 +1,48 @@
 """DuckDB oracle texts for the listing queries (``re_*``, listing ``dq_*``).
 
-The SQL restates each rule of ``arbor.functions.rules`` with DuckDB
-functions (``regexp_extract`` + ``NULLIF`` for the NULL-on-no-match
-extract, 1-based list indexing, ``quantile_cont`` for interpolated
-quantiles, UNPIVOT for long forms).
+The SQL states every rule and column list anew, so that a wrong value in the
+library shows as a difference, with DuckDB functions (``regexp_extract`` where
+``regexp_matches``, 1-based list indexing, ``quantile_cont`` for interpolated
+quantiles, unions for long forms).
 """
 
 from __future__ import annotations
 
-from arbor.functions import rules as RU
-from arbor.plans import listings as L
+# What the listing rules say, stated apart from the library.
+LISTING = ["id", "property_type", "address", "neighborhood", "city", "price", "sq_m_built",
+           "sq_m_floor_area", "n_bedrooms", "bathrooms", "floor", "year_built", "exterior", "lift",
+           "terrace", "balcony", "second_hand", "needs_renovating", "parking", "swimming_pool",
+           "garden", "air_conditioning", "heating", "central_heating", "heating_type",
+           "consumption_kwh_m2_year", "emissions_kgco2_m2_year", "orientation"]
+SPARSE = {"sq_m_floor_area", "central_heating", "heating_type", "consumption_kwh_m2_year",
+          "emissions_kgco2_m2_year", "orientation"}
+NUMBERS = ["price", "sq_m_built", "floor", "n_bedrooms", "bathrooms", "year_built"]
+PLACES = ["property_type", "neighborhood", "city"]
+DENSITY = ["price", "sq_m_built", "floor"]
+PRICE_HIST = {"price": 100, "log_price": 30}
+NUMBER_HIST = {"price": 100, "sq_m_built": 36, "floor": 26, "n_bedrooms": 18, "bathrooms": 11, "year_built": 100}
+# flag: the condition on t, the feature text in lower case
+FLAGS = {"terrace": "contains(t, 'terrace')", "balcony": "contains(t, 'balcony')",
+         "exterior": "contains(t, 'exterior')", "heating": "NOT contains(t, 'no heating')",
+         "lift": "contains(t, 'with lift')", "second_hand": "contains(t, 'second hand')",
+         "air_conditioning": "contains(t, 'air conditioning')",
+         "needs_renovating": "contains(t, 'needs renovating')",
+         "parking": "contains(t, 'parking space included')",
+         "swimming_pool": "contains(t, 'swimming pool')", "garden": "contains(t, 'garden')"}
+# extracted column: the pattern whose group is the value, and how it is read
+AMOUNT = r"(\d*,*\d*)"
+VALUES = {"sq_m_built": (AMOUNT + " m² built", "thousands"),
+          "sq_m_floor_area": (AMOUNT + " m² floor area", "thousands"),
+          "bedrooms": (r"(\d*) bedroom", "zero"), "bathrooms": (r"(\d*) bathroom", "zero"),
+          "year_built": (r"built in (\d*)", "number"), "central_heating": (r"(\w*) heating", "text"),
+          "heating_type": (r"heating: (\w*)", "text"),
+          "consumption_kwh_m2_year": (f"consumption:{AMOUNT} kwh/m² year", "decimal"),
+          "emissions_kgco2_m2_year": (f"emissions:{AMOUNT} kg co2/m² year", "decimal"),
+          "orientation": (r"orientation (\w*)", "text")}
+SHORT_FLOOR = [("Mezzanine", "1 floor"), ("Basement", "-1 floor"), ("Semi-basement", "-1 floor"),
+               ("Floor -1", "-1 floor"), ("Floor -2", "-2 floor"), ("Ground", "0")]
+SHORT_NOISE = ["exterior without lift", "interior with lift", "exterior with lift", "with lift",
+               "Parking included", "exterior", "interior without lift", "without lift"]
 
 RAW_LISTING = r"""raw_listing AS (SELECT p_partkey AS id, p_partkey AS ingest_seq,
   concat(p_type, ' home for sale in ', p_name) AS title,
@@ -39,10 +72,6 @@ def remove(expr: str, tokens) -> str:
     return chain(expr, [(t, "") for t in tokens])
 
 
-def extract(expr: str, pattern: str) -> str:
-    return f"NULLIF(regexp_extract({expr}, {q(pattern)}, 1), '')"
-
-
 def first_word(expr: str) -> str:
     return f"string_split_regex(trim({expr}), '\\s+')[1]"
 
@@ -63,49 +92,47 @@ def short_cols() -> dict[str, str]:
     bed = f"CASE WHEN {contains(c1, 'bed', lower=False)} THEN {c1} END"
     n_bed = f"TRY_CAST(coalesce({first_word(remove(bed, ['\'']))}, '0') AS INTEGER)"
     src = f"(CASE WHEN {contains(c1, 'bed', lower=False)} OR {c1} = '' THEN {c2} ELSE {c1} END)"
-    fl = f"split_part({chain(src, RU.FLOOR_WORD_REPLACES)}, ' floor', 1)"
-    fl = remove(remove(fl, RU.FLOOR_NOISE), RU.SHORT_ORDINALS)
+    fl = f"split_part({chain(src, SHORT_FLOOR)}, ' floor', 1)"
+    fl = remove(remove(fl, SHORT_NOISE), ["st", "nd", "th", "rd"])
     return {"size_in_m2": size, "n_bedrooms": n_bed, "floor": f"coalesce({fl}, '404')",
             "exterior": contains(src, "exterior"), "lift": contains(src, "with lift")}
 
 
 # ---------------------------------------------------------------- long path
-_TEXT = f"lower({remove('features', RU.LONG_TEXT_REMOVE)})"
+_TEXT = r"lower(regexp_replace(features, '[\[\]'']', '', 'g'))"
+
+
+def group(expr: str, pattern: str) -> str:
+    """The group of the first match; NULL without one."""
+    return f"(CASE WHEN regexp_matches({expr}, {q(pattern)}) THEN regexp_extract({expr}, {q(pattern)}, 1) END)"
 
 
-def _clean(m: str, rule: RU.Extract) -> str:
-    if rule.zero_token is not None:
-        m = f"(CASE WHEN {m} = {q(rule.zero_token)} THEN {q('0' + rule.zero_token)} ELSE {m} END)"
-    if rule.decimal_comma:
-        return f"TRY_CAST(replace({remove(m, rule.strip)}, ',', '.') AS DOUBLE)"
-    v = remove(m, rule.strip)
-    if rule.dtype == "string":
-        return v
-    return f"TRY_CAST({v} AS {'INTEGER' if rule.dtype == 'int' else 'DOUBLE'})"
+def _value(pattern: str, kind: str) -> str:
+    """A value of the long text; an empty group is no number, or zero where
+    the rule says so."""
+    got = group(_TEXT, pattern)
+    return {"thousands": f"TRY_CAST(replace({got}, ',', '') AS DOUBLE)",
+            "decimal": f"TRY_CAST(replace({got}, ',', '.') AS DOUBLE)",
+            "zero": f"TRY_CAST(CASE {got} WHEN '' THEN '0' ELSE {got} END AS INTEGER)",
+            "number": f"TRY_CAST({got} AS DOUBLE)", "text": got}[kind]
 
 
 def long_cols() -> dict[str, str]:
-    out = {}
-    for name, kw, neg in RU.KEYWORD_FLAGS:
-        hit = contains("features", kw, na=None)
-        out[name] = f"(NOT {hit})" if neg else hit
-    for rule in RU.EXTRACTS:
-        out[rule.name] = _clean(extract(_TEXT, rule.pattern), rule)
-    no_area = f"replace({_TEXT}, {q(RU.FLOOR_AREA_TOKEN)}, '')"
-    low = "lower(features)"
-    fl = extract(no_area, RU.FLOOR_PATTERN)
-    fl = f"(CASE WHEN {contains(low, 'mezzanine', lower=False)} THEN 'mezzanine' ELSE {fl} END)"
-    fl = f"coalesce({fl}, 'ground')"
-    fl = f"(CASE WHEN {contains(low, 'floor -1', lower=False)} THEN '-1' ELSE {fl} END)"
-    fl = f"(CASE WHEN {contains(low, 'floor -2', lower=False)} THEN '-2' ELSE {fl} END)"
-    out["floor"] = f"TRY_CAST(trim({chain(fl, RU.LONG_FLOOR_REPLACES)}) AS INTEGER)"
+    out = {name: f"({said.replace('(t,', '(lower(features),')})" for name, said in FLAGS.items()}
+    out |= {name: _value(*rule) for name, rule in VALUES.items()}
+    number = group(f"replace({_TEXT}, ' m² floor area', '')", r"(\d*\w*) floor")
+    out["floor"] = f"""CASE WHEN contains(lower(features), 'floor -2') THEN -2
+  WHEN contains(lower(features), 'floor -1') THEN -1
+  WHEN contains(lower(features), 'mezzanine') THEN 1
+  WHEN {number} IS NULL THEN 0
+  ELSE TRY_CAST(trim(regexp_replace(replace({number}, 'ground', '0'), 'st|nd|rd|th', '', 'g')) AS INTEGER) END"""
     return out
 
 
 def head_cols() -> dict[str, str]:
-    ptype = f"trim(replace({extract('title', RU.TYPE_PATTERN)}, {q(RU.TYPE_STRIP)}, ''))"
-    addr = f"regexp_replace({extract('title', RU.ADDRESS_PATTERN)}, {q(RU.ADDRESS_PREFIX)}, '')"
-    parts = f"string_split(neighborhood, {q(RU.PLACE_SEPARATOR)})"
+    ptype = f"trim({group('title', '(.*) for sale')})"
+    addr = group("title", "in (.*)")
+    parts = "string_split(neighborhood, ', ')"
     return {"price": "TRY_CAST(replace(price, ',', '') AS DOUBLE)", "property_type": ptype,
             "address": addr, "neighborhood": f"{parts}[1]", "city": f"{parts}[2]"}
 
@@ -122,12 +149,12 @@ def structured_cte() -> str:
     pick = {**long_, **head, "sq_m_built": f"TRY_CAST({long_['sq_m_built']} AS INTEGER)",
             "n_bedrooms": short["n_bedrooms"], "exterior": short["exterior"],
             "lift": short["lift"]}
-    cols = {c: pick[c] for c in L.STRUCTURED_COLUMNS[1:]}
+    cols = {c: pick[c] for c in LISTING[1:]}
     return f"structured AS (SELECT id, {_sel(cols)}, ingest_seq FROM raw_el)"
 
 
 def analysis_ctes() -> str:
-    keep = [c for c in L.STRUCTURED_COLUMNS if c not in L.DROPPED_FOR_ANALYSIS]
+    keep = [c for c in LISTING if c not in SPARSE]
     sel = ", ".join("year_built2 AS year_built" if c == "year_built" else
                     ("city1 AS city" if c == "city" else
                      ("neighborhood1 AS neighborhood" if c == "neighborhood" else c))
@@ -222,7 +249,7 @@ box AS (SELECT {gq}, COUNT(*) AS n, round(q.q1, 6) AS q1, round(q.median, 6) AS
 
 
 def _corr_rows() -> str:
-    cols = L.NUMERIC
+    cols = NUMBERS
     rows = []
     for i, a in enumerate(cols):
         for b in cols[i:]:
@@ -235,7 +262,7 @@ def _corr_rows() -> str:
 def _flags_long() -> str:
     return "\nUNION ALL\n".join(
         f"SELECT {q(f)} AS feature, CAST({f} AS VARCHAR) AS value, log_price FROM analysis_log"
-        for f in L.FLAGS)
+        for f in FLAGS)
 
 
 ORACLE = {
@@ -259,23 +286,23 @@ SELECT attribute, id, left_value, right_value FROM (
   {short_cols()['lift']} AS s_lift, {long_cols()['lift']} AS l_lift,
   {short_cols()['exterior']} AS s_ext, {long_cols()['exterior']} AS l_ext FROM raw_el)"""),
     "re_clean": with_listing("SELECT * FROM analysis"),
-    "re_describe": with_listing(describe_sql("analysis", L.NUMERIC)),
+    "re_describe": with_listing(describe_sql("analysis", NUMBERS)),
     "re_value_counts": with_listing(f"""
 SELECT series AS "column", value, COUNT(*) AS count
-FROM ({unpivot('analysis', L.CATEGORICAL, cast='VARCHAR')}) x WHERE value IS NOT NULL GROUP BY 1, 2"""),
+FROM ({unpivot('analysis', PLACES, cast='VARCHAR')}) x WHERE value IS NOT NULL GROUP BY 1, 2"""),
     "dq_nunique": with_listing("\nUNION ALL\n".join(
         f"SELECT {q(c)} AS \"column\", COUNT(DISTINCT CAST({c} AS VARCHAR)) AS nunique FROM structured"
         for c in ["id", "property_type", "address", "neighborhood", "city", "price"])),
     "dq_null_counts": with_listing("\nUNION ALL\n".join(
         f"SELECT {q(c)} AS \"column\", COUNT(*) FILTER (WHERE {c} IS NULL) AS nulls FROM structured"
-        for c in L.STRUCTURED_COLUMNS)),
-    "re_price_distribution": with_listing("SELECT * FROM h_hist", hist_ctes("analysis_log", L.PRICE_BINS)),
+        for c in LISTING)),
+    "re_price_distribution": with_listing("SELECT * FROM h_hist", hist_ctes("analysis_log", PRICE_HIST)),
     "re_empirical_rule": with_listing("""
 SELECT round(m, 6) AS mean_log, round(s, 6) AS std_log, round(exp(m - s) - 1, 2) AS lo_68,
   round(exp(m + s) - 1, 2) AS hi_68, round(exp(m - 2 * s) - 1, 2) AS lo_95, round(exp(m + 2 * s) - 1, 2) AS hi_95
 FROM (SELECT avg(ln(1 + price)) AS m, stddev_samp(ln(1 + price)) AS s FROM analysis)"""),
     "re_characteristics_hist": with_listing("SELECT * FROM h_hist",
-                                            hist_ctes("analysis", L.CHARACTERISTIC_BINS)),
+                                            hist_ctes("analysis", NUMBER_HIST)),
     "re_feature_counts": with_listing(f"""
 SELECT feature, CAST(value AS BOOLEAN) AS value, COUNT(*) AS count FROM ({_flags_long()}) x
 WHERE value IS NOT NULL GROUP BY 1, 2"""),
@@ -302,5 +329,5 @@ WHERE city IS NOT NULL AND neighborhood IS NOT NULL GROUP BY city, neighborhood"
 }
 
 
-ORACLE["re_price_kde"] = with_listing(KDE_SELECT, kde_ctes("analysis_log", list(L.PRICE_BINS)))
-ORACLE["re_characteristics_kde"] = with_listing(KDE_SELECT, kde_ctes("analysis", L.KDE_COLUMNS))
+ORACLE["re_price_kde"] = with_listing(KDE_SELECT, kde_ctes("analysis_log", list(PRICE_HIST)))
+ORACLE["re_characteristics_kde"] = with_listing(KDE_SELECT, kde_ctes("analysis", DENSITY))

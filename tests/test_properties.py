@@ -6,6 +6,7 @@ import pytest
 
 from arbor.operators import extract as X
 from arbor.operators import stats as S
+from arbor.operators import textrules as TR
 from arbor.operators import windows as W
 from arbor.plans import hr, listings, quality
 from arbor.sources.fixtures import raw_listing, review
@@ -144,3 +145,26 @@ def test_ratio_of_large_sums(spark):
     df = spark.createDataFrame([(9 * 10 ** 17 + 5, 4), (-7, 2), (1, 0)], "n long, d long")
     got = [r[0] for r in df.select(R.round_ratio(F.col("n"), F.col("d"))).collect()]
     assert got == [(9 * 10 ** 17 + 5) / 4, -3.5, None]
+
+
+def test_basements_on_request(spark):
+    texts = ["['50 m² built', 'Semi-basement']", "['50 m² built', 'Basement exterior']",
+             "['50 m² built', 'Basement', 'Floor -2']", "['50 m² built', '3rd floor']", "['50 m² built']", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, t string")
+
+    def floors(**options):
+        return [r.floor for r in TR.long_features(df, "k", "t", **options).orderBy("id").collect()]
+
+    assert floors() == [0, 0, -2, 3, 0, 0]
+    assert floors(basement=True) == [-1, -1, -2, 3, 0, 0]
+
+
+def test_impute_keeps_rows_without_a_key_on_request(spark):
+    df = spark.createDataFrame([("a", 1.0), ("a", 3.0), ("a", None), (None, 7.0), (None, None)], "k string, v double")
+
+    def values(**options):
+        return sorted(((r.k, r.v) for r in W.group_impute(df, "k", "v", **options).collect()), key=str)
+
+    kept = [("a", 1.0), ("a", 2.0), ("a", 3.0)]
+    assert values() == sorted([*kept, (None, None), (None, None)], key=str)
+    assert values(keep_null_key=True) == sorted([*kept, (None, 7.0), (None, None)], key=str)
