@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from arbor.plans import listings as L
-from arbor.plans.oracle_listings import chain, long_cols, q, short_cols, with_listing
+from arbor.plans.oracle_listings import LISTING, chain, long_cols, q, short_cols, with_listing
 
 # Patterns and constants of these texts are their own, not the operators'.
 LI = r"(?s)<li(?:\s[^>]*)?>(.*?)</li>"
@@ -102,4 +101,4 @@ _STRUCTURED_TYPES = {
 ORACLE["dq_info"] = with_listing("\nUNION ALL\n".join(
     f"SELECT {q(c)} AS \"column\", {q(_STRUCTURED_TYPES.get(c, 'boolean'))} AS dtype, "
     f"COUNT({c}) AS non_null, COUNT(*) AS rows FROM structured"
-    for c in L.STRUCTURED_COLUMNS))
+    for c in LISTING))
