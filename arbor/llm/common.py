@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 from collections.abc import Iterable, Iterator, Sequence
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,11 +13,14 @@ from pyspark.sql import functions as F
 from arbor.session import ensure_checkpoint_dir, shared_path, stage_table
 
 __all__ = ["ensure_checkpoint_dir", "shared_path", "stage_table", "ship_code", "fresh",
-           "load", "slices", "join_bounded", "null_safe", "WORDS"]
+           "load", "slices", "text_batches", "join_bounded", "null_safe", "WORDS"]
 
 #: Words of the contracts: runs of anything but ASCII white space.
 WORDS = r"[^\x20\x09-\x0D]+"
 
+#: Rows of an Arrow batch of whole texts.
+TEXT_ROWS = 1_000
+
 _ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
@@ -71,6 +75,21 @@ def slices(batches: Iterable[pa.RecordBatch], column: str,
                 break
 
 
+@contextmanager
+def text_batches(spark: SparkSession) -> Iterator[None]:
+    """For actions that hand whole texts to Python workers: Arrow batches of at
+    most ``TEXT_ROWS`` rows, as a batch stands whole in the executor and once
+    more in its worker. The session's own setting is put back."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    own = spark.conf.get(key)
+    if not 0 < int(own) <= TEXT_ROWS:
+        spark.conf.set(key, str(TEXT_ROWS))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, own)
+
+
 def null_safe(left: DataFrame, right: DataFrame, pairs: Sequence[tuple[str, str]]) -> Column:
     """``<=>`` on each pair of columns, so that null keys meet null keys."""
     cond = F.lit(True)

@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arbor.llm.common import fresh, join_bounded, load, null_safe, ship_code, slices, stage_table
+from arbor.llm.common import fresh, join_bounded, load, null_safe, ship_code, slices, stage_table, text_batches
 
 #: Lists longer than this meet one member first.
 LONG_LIST = 24
@@ -53,6 +53,8 @@ ROUNDS, PIVOTS = 2, 24
 LEAST_BITS, MOST_BITS, CODE_BITS = 16, 28, 4
 #: The table is cut in this many slices, which are summed apart.
 SLICES = 256
+#: Bytes of text whose shingles a task counts before it emits slices.
+TABLE_BYTES = 4 << 20
 #: Tables of up to so many pairs of numbers are broadcast to the texts.
 SMALL_ROWS = 1_000_000
 #: Distinct words whose hashes a worker remembers between batches.
@@ -106,16 +108,25 @@ def count_table(docs: DataFrame, text: str, width: int, bits: int, tasks: int) -
     schema = "slice int, cells binary, n binary"
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "t", 4 << 20):
-            sets = [shingle_hashes(t or "", width) for t in batch.column("t").to_pylist()]
-            cells, n = np.unique(np.concatenate(sets) >> np.uint64(64 - bits), return_counts=True)
-            cuts = np.searchsorted(cells.astype(np.int64), np.arange(SLICES + 1) * per)
-            rows = [(k, x, y) for k, (x, y) in enumerate(zip(cuts[:-1], cuts[1:])) if y > x]
-            yield pa.RecordBatch.from_pydict({
-                "slice": pa.array([k for k, _, _ in rows], pa.int32()),
-                "cells": pa.array([_planes(cells[x:y].astype(np.int64) - k * per, True) for k, x, y in rows],
-                                  pa.binary()),
-                "n": pa.array([_planes(n[x:y], False) for _, x, y in rows], pa.binary())})
+        sets, held = [], 0
+        for batch in slices(batches, "t", TABLE_BYTES):
+            sets += [shingle_hashes(t or "", width) for t in batch.column("t").to_pylist()]
+            held += batch.column("t").nbytes
+            if held >= TABLE_BYTES:
+                yield cut(sets)
+                sets, held = [], 0
+        if sets:
+            yield cut(sets)
+
+    def cut(sets: list[np.ndarray]) -> pa.RecordBatch:
+        cells, n = np.unique(np.concatenate(sets) >> np.uint64(64 - bits), return_counts=True)
+        cuts = np.searchsorted(cells.astype(np.int64), np.arange(SLICES + 1) * per)
+        rows = [(k, x, y) for k, (x, y) in enumerate(zip(cuts[:-1], cuts[1:])) if y > x]
+        return pa.RecordBatch.from_pydict({
+            "slice": pa.array([k for k, _, _ in rows], pa.int32()),
+            "cells": pa.array([_planes(cells[x:y].astype(np.int64) - k * per, True) for k, x, y in rows],
+                              pa.binary()),
+            "n": pa.array([_planes(n[x:y], False) for _, x, y in rows], pa.binary())})
 
     def merge(table: pa.Table) -> pa.Table:
         total = np.zeros(per, np.int64)
@@ -145,9 +156,10 @@ def count_table(docs: DataFrame, text: str, width: int, bits: int, tasks: int) -
                                               "codes": pa.array(codes, pa.binary())})
 
     ones, codes = np.zeros(1 << bits - 3, np.uint8), np.zeros(1 << bits - CODE_BITS, np.uint8)
-    for row in parts.mapInArrow(pack, "slice int, ones binary, codes binary").toLocalIterator():
-        for table, part in ((ones, row["ones"]), (codes, row["codes"])):
-            table[row["slice"] * len(part):(row["slice"] + 1) * len(part)] = np.frombuffer(part, np.uint8)
+    with text_batches(docs.sparkSession):
+        for row in parts.mapInArrow(pack, "slice int, ones binary, codes binary").toLocalIterator():
+            for table, part in ((ones, row["ones"]), (codes, row["codes"])):
+                table[row["slice"] * len(part):(row["slice"] + 1) * len(part)] = np.frombuffer(part, np.uint8)
     return ones, codes
 
 
@@ -236,7 +248,8 @@ def confirm(docs: DataFrame, rows: DataFrame, pairs: DataFrame, doc_id: str, tex
     """The pairs (a, b) of row numbers whose exact Jaccard reaches the limit."""
     ends = pairs.select(F.col("a").alias("rid")).unionByName(pairs.select(F.col("b").alias("rid"))).distinct()
     wanted = stage_table(rows.select("rid", "i", "th").join(ends, "rid", "left_semi"), "near-wanted")
-    full = stage_table(full_sets(docs, wanted, doc_id, text, width), "near-sets")
+    with text_batches(docs.sparkSession):
+        full = stage_table(full_sets(docs, wanted, doc_id, text, width), "near-sets")
     one = full.select(F.col("rid").alias("a"), F.col("hashes").alias("ha"))
     two = full.select(F.col("rid").alias("b"), F.col("hashes").alias("hb"))
     both = (pairs.select("a", "b").join(one, "a").join(two, "b")
@@ -371,7 +384,9 @@ def _kept(n: str, percent: int):
 
 def _grouped(docs: DataFrame, doc_id: str, text: str, width: int, percent: int) -> DataFrame:
     """One row per input row: i, th, n, comp (null without shingles) and component_id."""
-    rows = stage_table(sketches(docs, doc_id, text, width, percent), "near-sketches")
+    sketched = sketches(docs, doc_id, text, width, percent)
+    with text_batches(docs.sparkSession):
+        rows = stage_table(sketched, "near-sketches")
     digest = ["s1", "s2"]  # 128 bits name a set
     classes = stage_table(rows.where(F.col("n") > 0).groupBy(*digest).agg(F.min("rid").alias("rid"), F.min("i").alias("i")),
                           "near-classes")

@@ -17,6 +17,7 @@ pytest.importorskip("arbor.llm")
 import corpus_pipeline  # noqa: E402
 from arbor.llm import (bpe, chat_format, exact_dedup, license_scan, line_dedup, minhash_dedup,  # noqa: E402
                        mixing, quality_rules, token_counts, toxicity)
+from arbor.llm.common import text_batches  # noqa: E402
 
 P = pytest.importorskip("public_tokenizers")
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -592,3 +593,13 @@ def test_toxicity_scores_equal_brute_force(spark, docs, rows, empty):
         want.append((i, round(p, 9), int(p >= 0.5)))
     assert _key((r.doc_id, round(r.score, 9), r.predicted) for r in got) == _key(want)
     assert toxicity.score(empty, model).count() == 0
+
+
+def test_text_batches_puts_the_setting_back(spark):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    own = spark.conf.get(key)
+    with pytest.raises(ValueError):
+        with text_batches(spark):
+            assert int(spark.conf.get(key)) <= 1000
+            raise ValueError
+    assert spark.conf.get(key) == own
