@@ -11,8 +11,9 @@ k = n - ceil(s * n) + 1 in any common order, so sketches of that k lose no link.
    places in both sets that leave enough of each after them. Values that no
    other document can hold (their cell of the table counts one) are not listed.
 3. The union sketch of a pair bounds its similarity from the number of values
-   that both sketches hold; pairs that cannot reach s go. The rest are
-   confirmed by exact Jaccard on full sets.
+   that both sketches hold, and bitmaps of the full sets bound it from the
+   cells that only one of them fills; pairs that cannot reach s go. The rest
+   are confirmed by exact Jaccard on full sets.
 4. Links are joined to components by alternating star contraction.
 
 The table has at most 2^28 cells: a bit for each cell that counts one, and a
@@ -188,7 +189,8 @@ def _unplanes(raw: bytes, deltas: bool) -> np.ndarray:
 def sketches(docs: DataFrame, doc_id: str, text: str, width: int, percent: int) -> DataFrame:
     """One row per input row: rid, i, th (hash of the text), n, s1 and s2 (two
     digests of the set; null if empty), vals (retained values that another
-    document may hold) and places (theirs in the set's order)."""
+    document may hold), places (theirs in the set's order) and bits (the cells
+    of a bitmap that the set's values fall in)."""
     spark = docs.sparkSession
     bits, tasks = table_size(docs, text)
     table = spark.sparkContext.broadcast(count_table(docs, text, width, bits, tasks))  # at most 48 MB
@@ -198,7 +200,7 @@ def sketches(docs: DataFrame, doc_id: str, text: str, width: int, percent: int)
 
         ones, codes = table.value
         for batch in slices(batches, "t", 2 << 20):
-            n, one, two, vals, places = [], [], [], [], []
+            n, one, two, vals, places, maps = [], [], [], [], [], []
             for t in batch.column("t").to_pylist():
                 found = shingle_hashes(t or "", width)
                 raw = found.tobytes()
@@ -212,20 +214,31 @@ def sketches(docs: DataFrame, doc_id: str, text: str, width: int, percent: int)
                 alone = (ones[cell >> 3] >> (cell & 7).astype(np.uint8)) & 1
                 places.append(np.flatnonzero(alone == 0).astype(np.int32))
                 vals.append(found[keep[places[-1]]].view(np.int64))
+                maps.append(bitmap(found))
             ends = np.cumsum([0, *map(len, vals)]).astype(np.int32)
             yield pa.RecordBatch.from_pydict({
                 "i": batch.column("i"), "th": batch.column("th"), "n": pa.array(n, pa.int64()),
                 "s1": pa.array(one, pa.int64()), "s2": pa.array(two, pa.int64()),
                 "vals": pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(vals))),
-                "places": pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(places)))})
+                "places": pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(places))),
+                "bits": pa.array(maps, pa.list_(pa.int64()))})
 
     kind = docs.schema[doc_id].dataType.simpleString()
     rows = (docs.select(F.col(doc_id).alias("i"), F.xxhash64(text).alias("th"), F.col(text).alias("t"))
             .mapInArrow(run, f"i {kind}, th long, n long, s1 long, s2 long, vals array<long>, "
-                             "places array<int>"))
+                             "places array<int>, bits array<long>"))
     return rows.select(F.monotonically_increasing_id().alias("rid"), "*")
 
 
+def bitmap(found: np.ndarray) -> np.ndarray:
+    """A bit for each value's cell, in 64-bit words: a power of two of them,
+    with four cells to a value at least."""
+    words = 1 << max(0, math.ceil(math.log2(max(found.size, 1) / 16)))
+    flags = np.zeros(64 * words, np.uint8)
+    flags[(found & np.uint64(64 * words - 1)).astype(np.int64)] = 1
+    return np.packbits(flags, bitorder="little").view("<i8")
+
+
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
@@ -318,13 +331,12 @@ def link_sets(docs: DataFrame, sets: DataFrame, doc_id: str, text: str, width: i
         posts = posts.join(mixed.where(F.col("g1") != F.col("g2")).select("val"), "val", "left_semi")
 
     pairs = stage_table(_overlaps(posts, percent).distinct(), "near-overlaps")
-    one = sets.select(F.col("rid").alias("a"), F.col("vals").alias("va"))
-    two = sets.select(F.col("rid").alias("b"), F.col("vals").alias("vb"))
+    near = _both(pairs, sets, "bits").where(_reach(_common("na", "bits_a", "nb", "bits_b"), percent))
+    pairs = stage_table(near.select("a", "b", "na", "nb"), "near-bitmaps")
     # union sketch: what both sketches hold, and at most all that lies beyond one of them
     beyond = F.greatest(_kept("na", percent), _kept("nb", percent)) - 1
-    shared = F.size(F.array_intersect("va", "vb"))
-    pairs = stage_table(pairs.join(one, "a").join(two, "b").where(_reach(shared + beyond, percent))
-                        .select("a", "b"), "near-pairs")
+    shared = F.size(F.array_intersect("vals_a", "vals_b"))
+    pairs = stage_table(_both(pairs, sets, "vals").where(_reach(shared + beyond, percent)).select("a", "b"), "near-pairs")
     links = stage_table(confirm(docs, sets, pairs, doc_id, text, width, percent), "near-links")
     if known is not None:
         links = links.unionByName(known.select(F.col("c").alias("a"), F.col("comp").alias("b")))
@@ -365,6 +377,17 @@ def _overlaps(posts: DataFrame, percent: int) -> DataFrame:
             .select("a", "b", "na", "nb"))
 
 
+def _both(pairs: DataFrame, sets: DataFrame, column: str) -> DataFrame:
+    """Pairs with a column of both members, ``_a`` and ``_b``; rows of sets in
+    no pair stay where they are."""
+    ends = stage_table(pairs.select(F.col("a").alias("rid")).unionByName(pairs.select(F.col("b").alias("rid"))).distinct(),
+                       "near-ends")
+    met = join_bounded(sets.select("rid", column), ends, ["rid"], "left_semi", SMALL_ROWS)
+    for end in ("a", "b"):
+        pairs = pairs.join(met.select(F.col("rid").alias(end), F.col(column).alias(f"{column}_{end}")), end)
+    return pairs
+
+
 def _reach(overlap, percent: int):
     """Whether an overlap makes sets of na and nb similar."""
     return (100 + percent) * overlap >= percent * (F.col("na") + F.col("nb"))
@@ -377,6 +400,23 @@ def _first(percent: int):
     return _reach(F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"), most), percent)
 
 
+def _common(na: str, ba: str, nb: str, bb: str):
+    """At most so many values are in both sets: one whose cell the other's
+    bitmap leaves empty is not. The larger of two bitmaps is folded once; sets
+    of more different sizes are bounded by the smaller alone."""
+    a, b = F.col(ba), F.col(bb)
+    folded = [F.when(F.size(x) > F.size(y), F.zip_with(
+        F.slice(x, F.lit(1), F.size(y)), F.slice(x, F.size(y) + 1, F.size(y)), lambda p, q: p.bitwiseOR(q))).otherwise(x)
+        for x, y in ((a, b), (b, a))]
+
+    def apart(x, y):
+        each = F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseAND(F.bitwise_not(q))))
+        return F.aggregate(each, F.lit(0), lambda s, k: s + k)
+
+    near = (F.size(a) <= 2 * F.size(b)) & (F.size(b) <= 2 * F.size(a))
+    return F.when(near, F.least(F.col(na) - apart(*folded), F.col(nb) - apart(*folded[::-1]))).otherwise(F.least(na, nb))
+
+
 def _kept(n: str, percent: int):
     """ceil(n * percent / 100) in whole numbers."""
     return F.floor((F.col(n) * percent + 99) / 100)

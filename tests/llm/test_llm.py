@@ -9,6 +9,7 @@ import os
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -595,6 +596,22 @@ def test_toxicity_scores_equal_brute_force(spark, docs, rows, empty):
     assert toxicity.score(empty, model).count() == 0
 
 
+def test_bitmaps_bound_what_two_sets_share(spark):
+    """Never fewer than the sets share, and near the truth for sets of some hundred values."""
+    rng = np.random.default_rng(7)
+    rows = []
+    for n, share in [(1, 1), (3, 2), (16, 16), (17, 12), (40, 0), (65, 60), (300, 240), (300, 299), (520, 400), (500, 20)]:
+        a = np.unique(rng.integers(0, 2**64 - 1, n, np.uint64))
+        for size in (n, max(share, n // 5), 2 * n):
+            b = np.unique(np.concatenate([a[:share], rng.integers(0, 2**64 - 1, max(0, size - share), np.uint64)]))
+            rows.append((len(a), minhash_dedup.bitmap(a).tolist(), len(b), minhash_dedup.bitmap(b).tolist(),
+                         len(np.intersect1d(a, b))))
+    df = spark.createDataFrame(rows, "na long, ba array<long>, nb long, bb array<long>, both long")
+    got = df.select("na", "nb", "both", minhash_dedup._common("na", "ba", "nb", "bb").alias("most")).collect()
+    assert all(r.both <= r.most <= min(r.na, r.nb) for r in got)
+    assert next(r for r in got if (r.na, r.nb, r.both) == (300, 300, 240)).most < 256
+
+
 def test_text_batches_puts_the_setting_back(spark):
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     own = spark.conf.get(key)
