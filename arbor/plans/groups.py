@@ -25,10 +25,13 @@ from arbor.sources.tables import load, named
 
 
 def join_group_stat(spark: SparkSession, sf: str) -> DataFrame:
-    """Each employee's salary against the mean of the department."""
+    """Each employee's salary against the mean of the department. The gap is
+    rounded as the SQL rounds: scaled, then to a whole number; Spark's own ROUND
+    goes by the shortest decimal text, which parts from it on ties."""
     e = employee(spark, sf).select("EmployeeID", "Department", "Salary")
     out = J.group_transform(e, ["Department"], {"_mean": F.avg("Salary"), "_n": F.count("Salary")},
-                            {"gap": lambda mean, n: F.round(F.col("Salary") - mean, 4), "colleagues": lambda mean, n: n - 1})
+                            {"gap": lambda mean, n: F.round((F.col("Salary") - mean) * 10_000) / 10_000,
+                             "colleagues": lambda mean, n: n - 1})
     return out.drop("Salary")
 
 
